@@ -110,3 +110,116 @@ def scored_chain(t: Tables) -> DataFrame:
     return s.outcome_chain(s.rollup_estimates(results(t)), s.latest_prices(priced_treatments(t)),
                            bought_treatments(t), slots(t), ehr_slots(t),
                            s.latest_outcomes(outcome_claims(t)))
+
+
+def requests(t: Tables) -> DataFrame:
+    """Pricing requests: one per order."""
+    return (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+            .select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("member_id"),
+                    F.col("c_nationkey").alias("org_id"), F.col("o_custkey").alias("patientid"),
+                    F.col("c_mktsegment").alias("group_number"), day("o_orderdate").alias("asof")))
+
+
+def canonical_claims(t: Tables) -> DataFrame:
+    """Settled claims by member; orders still in progress have no responsibility."""
+    return (t.orders.where(F.col("o_orderstatus") != "P")
+            .select(F.col("o_custkey").alias("member_id"), day("o_orderdate").alias("date_of_service"),
+                    F.col("o_orderkey").alias("claim_ref"), money("o_totalprice").alias("pnr")))
+
+
+def _context(nation: str) -> Column:
+    return F.concat(F.lit("ctx-"), F.col(nation))
+
+
+def _lines_with_customer(t: Tables) -> DataFrame:
+    who = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+           .select("o_orderkey", "o_custkey", "c_nationkey"))
+    return t.lineitem.join(who, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def ledger_star(t: Tables) -> DataFrame:
+    from ..operators.ledger import claim_star
+
+    key = F.col("o_orderkey")
+    claim = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+             .select(key.alias("claimid"), _context("c_nationkey").alias("contextid"),
+                     F.col("o_custkey").alias("patientid"),
+                     F.when(key % 7 != 0, F.col("o_custkey") % 3).alias("claimappointmentid"),
+                     F.trunc("o_orderdate", "month").alias("claimservicedate"),
+                     F.when(key % 11 != 0, F.col("o_custkey") * 10 + key % 2).alias("claimprimarypatientinsid"),
+                     F.when(key % 3 == 0, F.col("o_custkey") * 10 + 1 - key % 2).alias("claimsecondarypatientinsid"),
+                     F.lit("CLOSED").alias("primaryclaimstatus"),
+                     F.when((F.col("o_orderstatus") != "P") | (key % 2 == 1), "CLOSED").alias("secondaryclaimstatus")))
+    patient = t.customer.select(F.col("c_custkey").alias("patientid"), _context("c_nationkey").alias("contextid"))
+    insurance = (t.customer.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+                 .select((F.col("c_custkey") * 10 + F.col("i")).alias("patientinsuranceid"),
+                         _context("c_nationkey").alias("contextid"), F.col("c_custkey").alias("patientid"),
+                         ((F.col("c_custkey") + F.col("i")) % 4).alias("insurancepackageid"),
+                         F.concat(F.lit("M"), F.col("c_custkey"), F.lit("-"), F.col("i")).alias("policyidnumber"),
+                         F.when(F.col("c_custkey") % 13 != 0, F.col("c_mktsegment")).alias("policygroupnumber")))
+    package = (insurance.select("insurancepackageid", "contextid").distinct()
+               .withColumn("name", F.concat(F.lit("plan "), F.col("insurancepackageid"))))
+    slot = F.col("l_suppkey") % 10
+    reason = (F.when(slot == 7, F.when(F.col("l_linenumber") % 2 == 0, "DEDUCTIBLE").otherwise("DEDUCT"))
+              .when(slot == 8, F.when(F.col("l_linenumber") % 2 == 0, "COINSURANCE").otherwise("COPAY"))
+              .when((slot == 9) & (F.col("l_linenumber") % 3 == 1), "COPAY")
+              .when((slot == 9) & (F.col("l_linenumber") % 3 == 2), "NONCOVERED"))
+    sign = F.when(slot.isin(4, 5, 6), -1).otherwise(1)
+    transaction = _lines_with_customer(t).select(
+        F.col("l_orderkey").alias("claimid"), _context("c_nationkey").alias("contextid"),
+        F.col("l_partkey").alias("parentchargeid"),
+        F.when(slot <= 3, "CHARGE").when(slot == 4, "ADJUSTMENT").when(slot <= 6, "PAYMENT")
+        .when(slot <= 8, "TRANSFERIN").otherwise("TRANSFEROUT").alias("transactiontype"),
+        F.when(slot <= 5, "Primary").when(slot == 6, "Secondary").otherwise("Patient").alias("transactiontransfertype"),
+        reason.alias("transactionreason"),
+        F.when(F.col("l_quantity") != 11, money("l_extendedprice") * sign).cast("decimal(12,2)").alias("amount"),
+        F.col("l_shipdate").alias("transactioncreateddatetime"),
+        F.when(F.col("l_quantity") == 3, F.col("l_shipdate")).alias("voideddate"))
+    charge = (_lines_with_customer(t).select(F.col("l_partkey").alias("chargeid"), _context("c_nationkey").alias("contextid"))
+              .distinct()
+              .withColumn("procedurecode", F.when(F.col("chargeid") % 17 != 0,
+                                                  F.concat(F.lit("P"), F.col("chargeid") % 5))))
+    organization = t.nation.select(F.col("n_nationkey").alias("org_id"), _context("n_nationkey").alias("ehr_context_id"))
+    return claim_star(claim, patient, insurance, package, transaction, charge, organization)
+
+
+def _minutes(base: Column, minutes: Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(base) + minutes.cast("long") * F.lit(60000000).cast("long"))
+
+
+def eligibility_tracks(t: Tables) -> DataFrame:
+    """Signup events as eligibility tracks, created up to five days after their service day."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    ts = F.col("ts").cast("timestamp")
+    return (t.events.where(F.col("event_type") == "signup")
+            .select(F.lit("c1").alias("contextid"), F.col("user_id").alias("patientinsuranceid"),
+                    F.col("event_id").alias("eligibilitytrackid"),
+                    F.date_format(ts, "yyyy-MM-dd'T'HH:mm").alias("dateofservicedatetime"),
+                    _minutes(ts, (k % 6) * 1440).alias("createddatetime"),
+                    F.when(k % 9 == 0, "<b class=errortext>failed").otherwise("<b class=successtext>ok").alias("verificationnote"),
+                    F.when(k % 8 != 0, F.col("props")).alias("incomingtransaction")))
+
+
+def event_lines(t: Tables) -> DataFrame:
+    """Purchase events as claim lines; the request that looks back comes two days later."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return (t.events.where(F.col("event_type") == "purchase")
+            .select(F.col("event_id").alias("claimid"), F.lit("c1").alias("contextid"),
+                    F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("patientinsuranceid"),
+                    day("ts").alias("claimservicedate"), (k % 4).alias("procedurecode"),
+                    F.date_add(day("ts"), 2).alias("asof")))
+
+
+def eligibility_benefits(t: Tables) -> DataFrame:
+    """Order lines as benefit rows of one track per order."""
+    line = F.col("l_linenumber")
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("eligibilitytrackid"), F.lit("c1").alias("contextid"),
+        F.when(F.col("l_returnflag") == "R", "C").when(F.col("l_returnflag") == "A", "G").otherwise("B").alias("benefitinfo"),
+        F.when(F.col("l_linestatus") == "O", "IND").otherwise("FAM").alias("coveragelevel"),
+        F.element_at(F.array(*[F.lit(p) for p in ("25", "23", "22", "29", "24", "27", "29")]), line).alias("timeperiodtype"),
+        F.when(F.col("l_quantity") < 5, "98").otherwise("30").alias("servicetypecode"),
+        F.when(F.col("l_suppkey") % 7 == 0, "N").when(F.col("l_suppkey") % 7 != 1, "Y").alias("plannetwork"),
+        F.when(F.col("l_quantity") == 20, "abc").when(F.col("l_quantity") == 21, "")
+        .otherwise(money("l_extendedprice").cast("string")).alias("monetaryamount"),
+        F.when(F.col("l_quantity") > 40, F.concat(F.lit("plan "), F.col("l_partkey"))).alias("plancoveragedesc"))

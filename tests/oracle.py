@@ -68,7 +68,8 @@ def main(argv):
     if argv and argv[0] == "--sf":
         sf, argv = argv[1], argv[2:]
     spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8",
-                          "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+                          "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+                          "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     qs, os_ = e.queries(), e.oracle_sql()
