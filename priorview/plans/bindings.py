@@ -223,3 +223,101 @@ def eligibility_benefits(t: Tables) -> DataFrame:
         F.when(F.col("l_quantity") == 20, "abc").when(F.col("l_quantity") == 21, "")
         .otherwise(money("l_extendedprice").cast("string")).alias("monetaryamount"),
         F.when(F.col("l_quantity") > 40, F.concat(F.lit("plan "), F.col("l_partkey"))).alias("plancoveragedesc"))
+
+
+# Payer texts of the service-type requests; every rule of the override table can be reached.
+PAYER_TEXTS = ("Aetna PPO", "BCBS of NJ", "Cigna", "UHC Choice", "Medicaid NJ", "Oxford Health",
+               "CareFirst BlueCross", "United", "GHI", "Blue Cross Cigna", "NJ Plan", "New Jersey Medicaid")
+STATES = ("bolt", "ri", "RED", "")
+
+
+def payers(t: Tables) -> DataFrame:
+    """Parts as payers: many rows per name, code lists with blanks, repeats and leading zeros."""
+    size = F.lpad(F.col("p_size").cast("string"), 3, "0")
+    codes = F.concat(size, F.lit(", "), F.lpad((F.col("p_partkey") % 7).cast("string"), 2, "0"), F.lit(",, "), size)
+    return t.part.select(F.when(F.col("p_size") != 9, codes).alias("availity_payer_code"),
+                         F.col("p_name").alias("payer_name"))
+
+
+def payer_requests(t: Tables) -> DataFrame:
+    words = F.split("p_name", " ")
+    kind = F.col("o_orderkey") % 4
+    text = (F.when(kind == 0, words[0]).when(kind == 1, F.upper(words[1])).when(kind == 2, F.col("p_type"))
+            .otherwise(F.concat(F.substring("p_name", 1, 2), F.lit("%"))))
+    state = F.element_at(F.array(*[F.lit(s) for s in STATES]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return (t.orders.join(t.part, F.col("o_custkey") == F.col("p_partkey"))
+            .select(F.col("o_orderkey").alias("request_id"), text.alias("payer"),
+                    F.when(F.col("o_orderkey") % 5 < 4, state).alias("state")))
+
+
+def default_providers(t: Tables) -> DataFrame:
+    key = F.col("s_suppkey")
+    npi = (F.when(key % 7 == 0, F.lit(None).cast("string")).when(key % 5 == 0, F.concat(F.lit("TEST"), key))
+           .otherwise(F.concat(F.lit("1"), F.lpad(key.cast("string"), 9, "0"))))
+    state = F.when(key % 3 == 0, "NY").when(key % 3 == 1, "nj")
+    return t.supplier.select(F.col("s_nationkey").alias("org_id"), npi.alias("npi"), state.alias("state"))
+
+
+def providers(t: Tables) -> DataFrame:
+    """Two rows for some NPIs, no names for others."""
+    key = F.col("s_suppkey")
+    twice = t.supplier.withColumn("i", F.explode(F.when(key % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return twice.select(F.concat(F.lit("1"), F.lpad(key.cast("string"), 9, "0")).alias("npi"),
+                        F.when(key % 6 != 0, F.concat(F.lit("F"), F.col("i"))).alias("first_name"),
+                        F.concat(F.lit("L"), key % 11, F.lit("-"), F.col("i")).alias("last_name"))
+
+
+def provider_requests(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    known = F.concat(F.lit(" 1"), F.lpad((F.col("o_custkey") % 100).cast("string"), 9, "0"), F.lit(" "))
+    npi = F.when(key % 4 == 0, known).when(key % 4 == 1, "12345ABC90").when(key % 4 == 2, "123456789")
+    return (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+            .select(key.alias("request_id"), F.col("c_nationkey").alias("org_id"), npi.alias("npi"),
+                    F.when(key % 3 == 0, "Ann").when(key % 3 == 1, "").alias("provider_first_name"),
+                    F.when(key % 5 == 0, "Request").alias("provider_last_name"),
+                    F.when(key % 6 == 0, "ny").when(key % 6 == 1, "NJ").when(key % 6 == 2, "").when(key % 6 == 3, "TX").alias("state")))
+
+
+def request_lines(t: Tables) -> DataFrame:
+    """Order lines as request lines, spread over the organisations and ids the rules name."""
+    lines = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    name = F.when(F.col("l_linenumber") == 7, "Weight Management visit").when(F.col("l_linenumber") == 6, "OBSTETRICS - new patient")
+    payer = F.element_at(F.array(*[F.lit(p) for p in PAYER_TEXTS]), (F.col("o_custkey") % 12 + 1).cast("int"))
+    return lines.select(F.col("l_orderkey").alias("request_id"),
+                        (F.col("c_nationkey") + (F.col("l_orderkey") % 2) * 20).alias("org_id"), payer.alias("payer"),
+                        (F.col("l_partkey") % 90 + 935).alias("hrt_id"), name.alias("hrt_name"),
+                        F.col("l_partkey").alias("srt_id"), F.col("l_linenumber").alias("line_no"))
+
+
+def srt(t: Tables) -> DataFrame:
+    """Parts as priced lines; every 29th part is missing from the table."""
+    size = F.col("p_size")
+    primary = F.when(size % 5 == 1, "2").when(size % 5 == 2, "98").when(size % 5 == 3, "MH").when(size % 5 == 4, "5")
+    secondary = F.when(size % 4 == 0, " 96, ,98 ").when(size % 4 == 1, "UC").when(size % 4 == 2, "")
+    return (t.part.where(F.col("p_partkey") % 29 != 0)
+            .select(F.col("p_partkey").alias("srt_id"), F.col("p_name").alias("srt_name"),
+                    F.col("p_type").alias("srt_description"),
+                    F.when(size % 6 == 0, "22").otherwise("11").alias("pos_code"), (size > 25).alias("is_specialist"),
+                    primary.alias("primary_service_type"), secondary.alias("secondary_service_type"),
+                    F.lit(None).cast("string").alias("tertiary_service_type")))
+
+
+def srt_codes(t: Tables) -> DataFrame:
+    """The nations that supply a part are its billing codes."""
+    return (t.lineitem.select("l_partkey", "l_suppkey").distinct()
+            .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .select(F.col("l_partkey").alias("srt_id"), billing_code_text("s_nationkey").alias("billing_code")).distinct())
+
+
+def billing_code_text(nation: str) -> Column:
+    return F.concat(F.lit("992"), F.lpad(F.col(nation).cast("string"), 2, "0"))
+
+
+def billing_codes(t: Tables) -> DataFrame:
+    key = F.col("n_nationkey")
+    return (t.nation.where(key != 3).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+            .select(billing_code_text("n_nationkey").alias("billing_code"),
+                    F.when(key % 8 == 0, "Surgery").otherwise(F.col("r_name")).alias("code_group"),
+                    F.col("n_name").alias("category"), F.concat(F.lit("code "), key).alias("description"),
+                    (key * 1.5).cast("double").alias("rvu"), F.when(key % 12 == 1, 90).otherwise(0).alias("global_days")))
