@@ -321,3 +321,140 @@ def billing_codes(t: Tables) -> DataFrame:
                     F.when(key % 8 == 0, "Surgery").otherwise(F.col("r_name")).alias("code_group"),
                     F.col("n_name").alias("category"), F.concat(F.lit("code "), key).alias("description"),
                     (key * 1.5).cast("double").alias("rvu"), F.when(key % 12 == 1, 90).otherwise(0).alias("global_days")))
+
+
+def _fill(template: str, **values: Column) -> Column:
+    """A text with ``<name>`` places filled from columns; NULL fills in nothing."""
+    import re
+
+    parts = []
+    for piece in re.split(r"(<\w+>)", template):
+        if re.fullmatch(r"<\w+>", piece):
+            parts.append(F.coalesce(values[piece[1:-1]].cast("string"), F.lit("")))
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
+
+
+# Request bodies: place 0 is whole, the others break one rule each, 10 and 11 are whole again.
+_REQ = ('{"requestId":"r<k>","dto":{"firstName":"A","dateOfBirth":"1980-02-03","serviceDate":"<d>T10:00:00Z","extra":{"x":1},'
+        '"primaryInsurance":{"memberId":"M<c>","payer":"Aetna PPO","state":"NY"},"orgId":10,'
+        '"hrtToSrts":[{"hrtId":949,"srtIds":[<s>,7]}]}<sampling>}')
+REQUEST_BODIES = (
+    _REQ.replace("<sampling>", ',"sampling":{"stratum":"org:10","inclusionProbability":0.5,"requestType":"live"},"more":true'),
+    _REQ.replace('"requestId":"r<k>",', "").replace("<sampling>", ""),
+    _REQ.replace('"r<k>"', '""').replace("<sampling>", ""),
+    _REQ.replace('"dateOfBirth":"1980-02-03",', "").replace("<sampling>", ""),
+    _REQ.replace('"M<c>"', "<c>").replace("<sampling>", ""),
+    _REQ.replace('[{"hrtId":949,"srtIds":[<s>,7]}]', "[]").replace("<sampling>", ""),
+    _REQ.replace("[<s>,7]", "[]").replace("<sampling>", ""),
+    _REQ.replace("<sampling>", ',"sampling":{"inclusionProbability":1.2}'),
+    _REQ.replace('"orgId":10', '"orgId":"10"').replace("<sampling>", ""),
+    '{"requestId":"r<k>","dto":{',
+    _REQ.replace("<sampling>", ',"sampling":{"inclusionProbability":0}'),
+    _REQ.replace("<d>T10", "on <d>T10").replace("<sampling>", ""),
+)
+
+
+def request_bodies(t: Tables) -> DataFrame:
+    values = {"k": F.col("o_orderkey"), "d": day("o_orderdate"), "c": F.col("o_custkey"), "s": F.col("o_custkey") % 500}
+    body = F.lit(None).cast("string")
+    for i, template in enumerate(REQUEST_BODIES):
+        body = F.when(F.col("o_orderkey") % 12 == i, _fill(template, **values)).otherwise(body)
+    return t.orders.select(F.col("o_orderkey").alias("source_key"), body.alias("body"))
+
+
+def entities(t: Tables) -> DataFrame:
+    """Stored entities with number-typed ids, missing dates and both coverage-spend fields."""
+    k = F.col("o_orderkey")
+    text = _fill('{"firstName":"B","dateOfBirth":"1990-01-01","ehrPatientId":<c>,<when>"orgId":"<n>",'
+                 '"primaryInsurance":{"memberId":<c>,"payer":"Cigna","groupNumber":<k>},"npi":1234567890,'
+                 '"hrtToSrts":[{"hrtId":"<h>","srtIds":["<s>",12]}],"coverageSpend":{"left":<k>}<over>}',
+                 c=F.col("o_custkey"), n=k % 40, k=k, h=k % 5, s=k % 9,
+                 when=F.when(k % 3 != 0, F.concat(F.lit('"serviceDate":"'), day("o_orderdate").cast("string"), F.lit('T08:00:00Z",'))),
+                 over=F.when(k % 4 == 0, F.lit(',"coverageSpendOverride":{"left":5}')).when(k % 4 == 1, F.lit(',"coverageSpendOverride":null')))
+    return t.orders.select(k.cast("string").alias("id"), F.parse_json(text).alias("requestinfo"))
+
+
+# Forwarded eligibility by event type: an array, a wrapped list, another vendor's shape,
+# nothing, an empty list.
+FORWARDED = {
+    "view": '[{"stc":"30","response":{"benefitsInformation":[{"code":"C","benefitAmount":"<v>","timeQualifierCode":"29",'
+            '"coverageLevelCode":"IND"},{"code":"A","benefitPercent":"0.2"},{"code":"G","benefitAmount":"n/a"}],'
+            '"subscriber":{"groupNumber":"<g>"}}},{"stc":98,"response":{"benefitsInformation":[{"code":"B","benefitAmount":"<k>"}],'
+            '"planInformation":{"groupNumber":"P<k>"}}},{"stc":"98","response":{"benefitsInformation":[]}}]',
+    "click": '{"results":[{"stc":"30","response":{"benefitsInformation":[{"code":"C","benefitAmount":"<k>.5"}],'
+             '"planInformation":{"groupNumber":"P<k>"}}},{"stc":"","response":{"benefitsInformation":[]}},{"stc":"7","response":null}]}',
+    "purchase": '[{"stc":"30","response":{"coverage":"active"}}]',
+    "signup": "[]",
+}
+
+
+def _k() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def _value_text() -> Column:
+    return F.col("value").cast("decimal(10,2)").cast("string")
+
+
+def forwarded_requests(t: Tables) -> DataFrame:
+    body = F.lit(None).cast("string")
+    for kind, template in FORWARDED.items():
+        group = F.when(_k() % 3 != 0, F.concat(F.lit("G"), _k()))
+        text = _fill(template, v=_value_text(), k=_k(), g=group)
+        body = F.when(F.col("event_type") == kind, text).otherwise(body)
+    return t.events.select(F.col("event_id").alias("request_id"),
+                           F.when(_k() % 5 == 0, "REQ").when(_k() % 5 == 1, "").alias("group_number"),
+                           F.parse_json(body).alias("eligibility"))
+
+
+def own_responses(t: Tables) -> DataFrame:
+    """Two own checks per event: HTTP error, payer rejection, broken text or a good answer."""
+    pos = F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")
+    base = t.events.select("event_id", "value", "props", pos)
+    place = (_k() + F.col("pos")) % 5
+    good = _fill('{"benefitsInformation":[{"code":"B","benefitAmount":"<v>"}],"subscriber":{"groupNumber":"S<k>"}}',
+                 v=_value_text(), k=_k())
+    body = (F.when(place == 0, F.lit('{"message":"no provider"}')).when(place == 1, F.lit('{"errors":[{"code":"44"}]}'))
+            .when(place == 2, F.lit("not json")).when(place == 3, F.lit('{"errors":[],"benefitsInformation":[]}')).otherwise(good))
+    return base.select(F.col("event_id").alias("request_id"), "pos", F.when(F.col("pos") == 0, "30").otherwise("98").alias("stc"),
+                       F.when(place == 0, 400).otherwise(200).alias("http_status"), body.alias("body"))
+
+
+def tiles(t: Tables) -> DataFrame:
+    from ..operators.eligibility import choose_tiles, forwarded_tiles
+    from ..sources.eligibility import classify_responses
+
+    return choose_tiles(forwarded_tiles(forwarded_requests(t)), classify_responses(own_responses(t)))
+
+
+def model_answers(t: Tables) -> DataFrame:
+    """One stored answer per order under each of the answer keys, some of them broken, with
+    both usage namings."""
+    k = F.col("o_orderkey")
+    key = F.when(k % 3 == 0, "object").when(k % 3 == 1, "structuredOutput").otherwise("experimental_output")
+    price = ('{"hrtId":<h>,"srtId":<s>,"estimatedPatientResponsibility":<e>,"benefitType":"COPAY","confidence":"<conf>",'
+             '"reasoning":"because",<breakdown>}')
+    breakdown = ('"sourceBreakdown":{"stedi":"a","ownHistoricals":"b","groupHistoricals":"c","webSearch":"d","allowableSource":"e"}')
+    amount = F.when(k % 5 == 0, "null").otherwise(money("o_totalprice").cast("string"))
+    conf = F.when(k % 11 == 0, "SURE").when(k % 5 == 0, "UNABLE_TO_PRICE").when(k % 2 == 0, "HIGH").otherwise("LOW")
+    parts = F.when(k % 13 == 0, F.lit('"x":1')).otherwise(F.lit(breakdown))
+    one = lambda n: _fill(price, h=k % 7, s=k % 50 + n, e=amount, conf=conf, breakdown=parts)
+    body = _fill('{"<key>":{"srtPrices":[<a>,<b>]<w>}}', key=key, a=one(0), b=one(1),
+                 w=F.when(k % 4 == 0, F.lit(',"warnings":["w1","w2"]')))
+    usage = _fill('{"<i>":<n>,"<o>":<m><c>}',
+                  i=F.when(k % 2 == 0, "inputTokens").otherwise("promptTokens"), n=k * 7 % 100003,
+                  o=F.when(k % 2 == 0, "outputTokens").otherwise("completionTokens"), m=k * 3 % 5003,
+                  c=F.when(k % 6 == 0, F.concat(F.lit(',"cachedInputTokens":'), k % 4001))
+                  .when(k % 6 == 1, F.concat(F.lit(',"cacheReadInputTokens":'), k % 4001)))
+    return t.orders.select(
+        k.cast("string").alias("request_id"),
+        F.when(k % 17 == 0, F.lit("soon")).otherwise(F.concat(day("o_orderdate").cast("string"), F.lit("T09:00:00Z"))).alias("service_date"),
+        F.concat(F.lit('{"orgId":'), k % 40, F.lit("}")).alias("dto_json"),
+        F.concat(F.lit("prio:"), F.col("o_orderpriority")).alias("sampling_stratum"),
+        _priority_p().alias("inclusion_probability"), F.lit("floor").alias("sampling_reason"),
+        F.lit(None).cast("string").alias("caller_request_type"),
+        F.element_at(F.array(F.lit("large"), F.lit("medium"), F.lit("small"), F.lit("unknown")), (k % 4 + 1).cast("int")).alias("model_id"),
+        F.parse_json(body).alias("answer"), F.parse_json(usage).alias("usage"), F.lit("self").alias("eligibility_source"),
+        (k % 9000).alias("total_latency_ms"))
