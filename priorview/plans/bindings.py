@@ -356,12 +356,16 @@ REQUEST_BODIES = (
 )
 
 
-def request_bodies(t: Tables) -> DataFrame:
-    values = {"k": F.col("o_orderkey"), "d": day("o_orderdate"), "c": F.col("o_custkey"), "s": F.col("o_custkey") % 500}
+def request_body(values: dict[str, Column]) -> Column:
     body = F.lit(None).cast("string")
     for i, template in enumerate(REQUEST_BODIES):
-        body = F.when(F.col("o_orderkey") % 12 == i, _fill(template, **values)).otherwise(body)
-    return t.orders.select(F.col("o_orderkey").alias("source_key"), body.alias("body"))
+        body = F.when(values["k"] % 12 == i, _fill(template, **values)).otherwise(body)
+    return body
+
+
+def request_bodies(t: Tables) -> DataFrame:
+    values = {"k": F.col("o_orderkey"), "d": day("o_orderdate"), "c": F.col("o_custkey"), "s": F.col("o_custkey") % 500}
+    return t.orders.select(F.col("o_orderkey").alias("source_key"), request_body(values).alias("body"))
 
 
 def entities(t: Tables) -> DataFrame:
