@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import date_prefix, try_number
+from ..functions import computed_once, date_prefix, try_number
 from .asof import running_best
 
 # Note prefix of a successful check, and the 271 codes of the accumulators.
@@ -135,7 +135,7 @@ def forwarded_tiles(requests: DataFrame, request_id: str = "request_id", eligibi
     """
     whole = F.col(eligibility)
     entries = F.when(_kind(whole).startswith("ARRAY"), whole).otherwise(F.try_variant_get(whole, "$.results", "variant"))
-    exploded = (requests.select(request_id, entries.alias("_entries"))
+    exploded = (computed_once(requests, _entries=entries).select(request_id, "_entries")
                 .where(_kind(F.col("_entries")).startswith("ARRAY"))
                 .lateralJoin(_explode("_entries")))
     response = F.try_variant_get(F.col("value"), "$.response", "variant")

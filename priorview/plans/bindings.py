@@ -9,18 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import computed_once
+
 # Powers of two, so that the weights 1/p are exact.
 PRIORITY_P = {"1-URGENT": 1.0, "2-HIGH": 0.5, "3-MEDIUM": 0.25, "4-NOT SPECIFIED": 0.125, "5-LOW": 0.0625}
 
 
 class Tables:
-    """The parquet tables of one folder, read on demand."""
+    """The parquet tables of one folder, each opened once, on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
 
 def money(col: str) -> Column:
@@ -365,7 +369,8 @@ def request_body(values: dict[str, Column]) -> Column:
 
 def request_bodies(t: Tables) -> DataFrame:
     values = {"k": F.col("o_orderkey"), "d": day("o_orderdate"), "c": F.col("o_custkey"), "s": F.col("o_custkey") % 500}
-    return t.orders.select(F.col("o_orderkey").alias("source_key"), request_body(values).alias("body"))
+    return (computed_once(t.orders, body=request_body(values))
+            .select(F.col("o_orderkey").alias("source_key"), "body"))
 
 
 def entities(t: Tables) -> DataFrame:
@@ -377,7 +382,7 @@ def entities(t: Tables) -> DataFrame:
                  c=F.col("o_custkey"), n=k % 40, k=k, h=k % 5, s=k % 9,
                  when=F.when(k % 3 != 0, F.concat(F.lit('"serviceDate":"'), day("o_orderdate").cast("string"), F.lit('T08:00:00Z",'))),
                  over=F.when(k % 4 == 0, F.lit(',"coverageSpendOverride":{"left":5}')).when(k % 4 == 1, F.lit(',"coverageSpendOverride":null')))
-    return t.orders.select(k.cast("string").alias("id"), F.parse_json(text).alias("requestinfo"))
+    return computed_once(t.orders, requestinfo=F.parse_json(text)).select(k.cast("string").alias("id"), "requestinfo")
 
 
 # Forwarded eligibility by event type: an array, a wrapped list, another vendor's shape,
@@ -408,9 +413,9 @@ def forwarded_requests(t: Tables) -> DataFrame:
         group = F.when(_k() % 3 != 0, F.concat(F.lit("G"), _k()))
         text = _fill(template, v=_value_text(), k=_k(), g=group)
         body = F.when(F.col("event_type") == kind, text).otherwise(body)
-    return t.events.select(F.col("event_id").alias("request_id"),
-                           F.when(_k() % 5 == 0, "REQ").when(_k() % 5 == 1, "").alias("group_number"),
-                           F.parse_json(body).alias("eligibility"))
+    return (computed_once(t.events, eligibility=F.parse_json(body))
+            .select(F.col("event_id").alias("request_id"),
+                    F.when(_k() % 5 == 0, "REQ").when(_k() % 5 == 1, "").alias("group_number"), "eligibility"))
 
 
 def own_responses(t: Tables) -> DataFrame:
@@ -422,8 +427,9 @@ def own_responses(t: Tables) -> DataFrame:
                  v=_value_text(), k=_k())
     body = (F.when(place == 0, F.lit('{"message":"no provider"}')).when(place == 1, F.lit('{"errors":[{"code":"44"}]}'))
             .when(place == 2, F.lit("not json")).when(place == 3, F.lit('{"errors":[],"benefitsInformation":[]}')).otherwise(good))
-    return base.select(F.col("event_id").alias("request_id"), "pos", F.when(F.col("pos") == 0, "30").otherwise("98").alias("stc"),
-                       F.when(place == 0, 400).otherwise(200).alias("http_status"), body.alias("body"))
+    return (computed_once(base, body=body)
+            .select(F.col("event_id").alias("request_id"), "pos", F.when(F.col("pos") == 0, "30").otherwise("98").alias("stc"),
+                    F.when(place == 0, 400).otherwise(200).alias("http_status"), "body"))
 
 
 def tiles(t: Tables) -> DataFrame:
@@ -452,7 +458,7 @@ def model_answers(t: Tables) -> DataFrame:
                   o=F.when(k % 2 == 0, "outputTokens").otherwise("completionTokens"), m=k * 3 % 5003,
                   c=F.when(k % 6 == 0, F.concat(F.lit(',"cachedInputTokens":'), k % 4001))
                   .when(k % 6 == 1, F.concat(F.lit(',"cacheReadInputTokens":'), k % 4001)))
-    return t.orders.select(
+    return computed_once(t.orders, answer=F.parse_json(body), usage=F.parse_json(usage)).select(
         k.cast("string").alias("request_id"),
         F.when(k % 17 == 0, F.lit("soon")).otherwise(F.concat(day("o_orderdate").cast("string"), F.lit("T09:00:00Z"))).alias("service_date"),
         F.concat(F.lit('{"orgId":'), k % 40, F.lit("}")).alias("dto_json"),
@@ -460,5 +466,5 @@ def model_answers(t: Tables) -> DataFrame:
         _priority_p().alias("inclusion_probability"), F.lit("floor").alias("sampling_reason"),
         F.lit(None).cast("string").alias("caller_request_type"),
         F.element_at(F.array(F.lit("large"), F.lit("medium"), F.lit("small"), F.lit("unknown")), (k % 4 + 1).cast("int")).alias("model_id"),
-        F.parse_json(body).alias("answer"), F.parse_json(usage).alias("usage"), F.lit("self").alias("eligibility_source"),
+        "answer", "usage", F.lit("self").alias("eligibility_source"),
         (k % 9000).alias("total_latency_ms"))

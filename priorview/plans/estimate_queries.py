@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import short_digest
+from ..functions import computed_once, short_digest
 from ..operators import asof as a
 from ..operators import estimate as es
 from ..operators import jsonsearch
@@ -248,7 +248,7 @@ def stream_results(t):
     k = F.col("o_orderkey")
     posts = orders.withColumn("post", F.explode(F.when(k % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     values = {"k": k, "d": b.day("o_orderdate"), "c": F.col("o_custkey"), "s": F.col("o_custkey") % 500}
-    posts = posts.select(F.col("o_orderdate").cast("timestamp").alias("posted_at"), b.request_body(values).alias("body"))
+    posts = computed_once(posts, body=b.request_body(values)).select(F.col("o_orderdate").cast("timestamp").alias("posted_at"), "body")
     first = stream.first_posts(rq.validate(posts).where("is_valid")
                                .withColumn("request_id", F.try_variant_get("raw", "$.requestId", "string")),
                                "request_id", "posted_at", "4000 days")

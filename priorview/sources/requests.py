@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import date_prefix
+from ..functions import computed_once, date_prefix
 from ..schemas import HRT_DDL
 
 
@@ -31,8 +31,9 @@ def _optional(path: str, ok: Column) -> Column:
 
 
 def validation_rules() -> dict[str, Column]:
-    """Reason -> condition that must hold. Unknown keys are allowed everywhere."""
-    lines = _at("$.dto.hrtToSrts", HRT_DDL)
+    """Reason -> condition that must hold, over the parsed ``raw`` and its ``_lines``. Unknown
+    keys are allowed everywhere."""
+    lines = F.col("_lines")
     p = _at("$.sampling.inclusionProbability", "double")
     no_id = lambda h: h["hrtId"].isNull()
     no_srt = lambda h: F.coalesce(F.size(h["srtIds"]), F.lit(0)) < 1
@@ -56,11 +57,12 @@ def validation_rules() -> dict[str, Column]:
 
 def validate(feed: DataFrame, body: str = "body") -> DataFrame:
     """Adds ``raw`` (the whole request, unknown keys included), ``reasons`` and ``is_valid``."""
-    parsed = feed.withColumn("raw", F.try_parse_json(F.col(body)))
+    parsed = computed_once(feed, raw=F.try_parse_json(F.col(body)))
+    parsed = computed_once(parsed, _lines=_at("$.dto.hrtToSrts", HRT_DDL))
     reasons = F.array_compact(F.array(*[
         F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in validation_rules().items()]))
     reasons = F.when(F.col("raw").isNull(), F.array(F.lit("json"))).otherwise(reasons)
-    return parsed.withColumn("reasons", reasons).withColumn("is_valid", F.size("reasons") == 0)
+    return computed_once(parsed, reasons=reasons).drop("_lines").withColumn("is_valid", F.size("reasons") == 0)
 
 
 def accepted(validated: DataFrame, request_type_key: str = "requestType") -> DataFrame:
