@@ -93,15 +93,19 @@ def asof_topn(probes: DataFrame, states: DataFrame, scope: Sequence[str], asof:
     needed = (visible.withColumn("_before", F.coalesce(before, F.lit(0)))
               .withColumn("total_rows", total)
               .where(F.col("_before") < n)
-              .select(*scope, asof, "_tier", "total_rows"))
+              .select(*scope, asof, "_tier", "_before", "total_rows"))
 
     # 3. States that are alike in date and visibility: rows past the n-th can never be chosen.
     alike = top_n_per_key(live, [*scope, event, "valid_from", "valid_to"], order, n, "_alike")
 
+    # 4. Rank inside each tier and add what newer tiers hold. The join is partitioned on
+    #    (scope, tier), which serves this window too, so the pairs are not shuffled again.
     pairs = (needed.join(alike, [*scope, "_tier"])
              .where((F.col("valid_from") <= F.col(asof)) & (F.col(asof) < F.col("valid_to"))))
-    ranked = top_n_per_key(pairs, [*scope, asof], [newest(event), *order], n)
-    return ranked.drop("_tier", "_alike", "valid_from", "valid_to")
+    in_tier = Window.partitionBy(*scope, "_tier", asof).orderBy(newest(event), *order)
+    return (pairs.withColumn("rank", (F.col("_before") + F.row_number().over(in_tier)).cast("int"))
+            .where(F.col("rank") <= n)
+            .drop("_tier", "_before", "_alike", "valid_from", "valid_to"))
 
 
 def asof_history(requests: DataFrame, facts: DataFrame, scope: Sequence[str], asof: str, event: str,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import last_asof_date
+from ..session import stored
 from .asof import asof_topn, distinct_asof
 
 LINE_KEY = ["procedurecode", "patientid", "claimappointmentid", "claimservicedate"]
@@ -118,11 +119,12 @@ def line_states(star: DataFrame, scope: Sequence[str], lookback_months: int = 24
     line_key = LINE_KEY + (["claimid"] if totals_per_claim else [])
     scoped = star.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*scope, "posted_on"]]))
 
-    # Postings of one line and day in one row; everything below works on this reduced table.
+    # Postings of one line and day in one row; everything below works on this reduced table,
+    # which is stored because both the versions and the choice of lines start from it.
     parts = []
     for name, (cond, value) in amount_rules().items():
         parts += [F.sum(F.when(cond, value)).alias(name), F.count(F.when(cond, value)).alias(f"n_{name}")]
-    daily = scoped.groupBy(*_unique(*scope, *CODE_KEY, "posted_on")).agg(*parts)
+    daily = stored(scoped.groupBy(*_unique(*scope, *CODE_KEY, "posted_on")).agg(*parts), "ledger_days")
 
     # Running totals per line key, one version per posting day.
     by_line = _unique(*scope, *line_key)
@@ -158,17 +160,16 @@ def line_states(star: DataFrame, scope: Sequence[str], lookback_months: int = 24
 
 
 def code_order() -> list[Column]:
-    """Total order among the lines of one rank key, lowest claim id first."""
-    cols = ["claimid", "patientid", "claimappointmentid", "context_id", "primary_memberid",
-            "primary_package", "secondary_memberid", "secondary_package"]
-    return [F.col(c).asc_nulls_last() for c in cols]
+    """Order among the lines of one rank key, lowest claim id first. It is total as a claim id
+    is unique within an organisation's context and a claim has one insurance pair."""
+    return [F.col("claimid").asc_nulls_last(), F.col("patientid").asc_nulls_last()]
 
 
 def ledger_history(requests: DataFrame, star: DataFrame, scope: Sequence[str], asof: str, n: int,
                    lookback_months: int = 24, **options) -> DataFrame:
     """Per (scope, as-of) the newest ``n`` claim lines with their cost-share amounts, and
     ``total_rows``. Join it to the requests on (scope, as-of)."""
-    states = line_states(star, scope, lookback_months, **options)
-    order = [F.col("procedurecode").asc_nulls_last(), *code_order(), F.col("patientinsuranceid").asc_nulls_last()]
+    states = stored(line_states(star, scope, lookback_months, **options), "line_states")
+    order = [F.col("procedurecode").asc_nulls_last(), *code_order()]
     return asof_topn(distinct_asof(requests, scope, asof), states, scope, asof, "claimservicedate",
                      order, n, lookback_months)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the size checks for broadcasts and splits skewed join
 # partitions, so no operator in this package carries a broadcast hint.
@@ -32,6 +33,15 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         return tempfile.mkdtemp(prefix="priorview-")
-    import uuid
-
     return f"{shared.rstrip('/')}/priorview-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several steps read to the shared scratch folder, and read it back.
+
+    The steps then share one computation, read only their own columns, and a lost executor
+    costs no recomputation of what came before.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
