@@ -250,7 +250,7 @@ def stream_results(t):
     values = {"k": k, "d": b.day("o_orderdate"), "c": F.col("o_custkey"), "s": F.col("o_custkey") % 500}
     posts = computed_once(posts, body=b.request_body(values)).select(F.col("o_orderdate").cast("timestamp").alias("posted_at"), "body")
     first = stream.first_posts(rq.validate(posts).where("is_valid")
-                               .withColumn("request_id", F.try_variant_get("raw", "$.requestId", "string")),
+                               .withColumn("request_id", F.try_variant_get("_top.requestId", "$", "string")),
                                "request_id", "posted_at", "4000 days")
     valid = rq.accepted(first).select(
         "request_id", F.lit("COMPLETED").alias("status"),

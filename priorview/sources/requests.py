@@ -9,92 +9,101 @@ from ..functions import computed_once, date_prefix
 from ..schemas import HRT_DDL
 
 
-def _at(path: str, kind: str, v: str = "raw") -> Column:
-    return F.try_variant_get(F.col(v), path, kind)
+# Text fields of a request. The first tuple of each pair is required.
+DTO_TEXTS = (("dateOfBirth", "serviceDate"),
+             ("consumerId", "firstName", "lastName", "ehrPatientId", "npi", "providerFirstName", "providerLastName"))
+INSURANCE_TEXTS = (("memberId", "payer"),
+                   ("planName", "state", "groupNumber", "insuredFirstName", "insuredLastName"))
+SAMPLING_TEXTS = ("stratum", "reason")
 
 
-def _kind(path: str, v: str = "raw") -> Column:
-    """JSON type at a path: VOID for null, NULL when absent."""
-    return F.schema_of_variant(F.try_variant_get(F.col(v), path, "variant"))
+def _variants(*names: str) -> str:
+    return "struct<" + ",".join(f"{name}:variant" for name in names) + ">"
 
 
-def _is_number(kind: Column) -> Column:
-    return F.coalesce(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.lit(False))
+def _text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
 
-def _is_text(path: str) -> Column:
-    return F.coalesce(_kind(path) == "STRING", F.lit(False))
+def _is_text(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
-def _optional(path: str, ok: Column) -> Column:
-    return _kind(path).isNull() | ok
+def _is_number(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.lit(False))
 
 
-def validation_rules() -> dict[str, Column]:
-    """Reason -> condition that must hold, over the parsed ``raw`` and its ``_lines``. Unknown
-    keys are allowed everywhere."""
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def validation_rules(request_type_key: str = "requestType") -> dict[str, Column]:
+    """Reason -> condition that must hold, over the parts that ``validate`` splits off.
+    Unknown keys are allowed everywhere."""
     lines = F.col("_lines")
-    p = _at("$.sampling.inclusionProbability", "double")
+    dto, ins, sampling = (lambda n: F.col(f"_dto.{n}")), (lambda n: F.col(f"_ins.{n}")), (lambda n: F.col(f"_sampling.{n}"))
+    p = sampling("inclusionProbability")
     no_id = lambda h: h["hrtId"].isNull()
     no_srt = lambda h: F.coalesce(F.size(h["srtIds"]), F.lit(0)) < 1
     null_srt = lambda h: F.exists(F.coalesce(h["srtIds"], F.array().cast("array<double>")), lambda s: s.isNull())
     some = F.coalesce(F.size(lines) > 0, F.lit(False))
-    return {
-        "requestId": _is_text("$.requestId") & (_at("$.requestId", "string") != ""),
-        "dto": F.coalesce(_kind("$.dto").startswith("OBJECT"), F.lit(False)),
-        "dateOfBirth": _is_text("$.dto.dateOfBirth"),
-        "serviceDate": _is_text("$.dto.serviceDate"),
-        "memberId": _is_text("$.dto.primaryInsurance.memberId"),
-        "payer": _is_text("$.dto.primaryInsurance.payer"),
-        "orgId": _is_number(_kind("$.dto.orgId")),
-        "hrtToSrts": some,
-        "hrtId": ~some | ~F.exists(lines, no_id),
-        "srtIds": ~some | ~F.exists(lines, lambda h: no_srt(h) | null_srt(h)),
-        "inclusionProbability": _optional("$.sampling.inclusionProbability",
-                                          _is_number(_kind("$.sampling.inclusionProbability")) & p.between(0, 1)),
-    }
-
-
-def validate(feed: DataFrame, body: str = "body") -> DataFrame:
-    """Adds ``raw`` (the whole request, unknown keys included), ``reasons`` and ``is_valid``."""
+    rules = {"requestId": _is_text(F.col("_top.requestId")) & (_text(F.col("_top.requestId")) != ""),
+             "dto": _is_object(F.col("_top.dto"))}
+    rules |= {name: _is_text(dto(name)) for name in DTO_TEXTS[0]}
+    rules |= {name: _is_text(ins(name)) for name in INSURANCE_TEXTS[0]}
+    rules |= {"orgId": _is_number(dto("orgId")), "hrtToSrts": some,
+              "hrtId": ~some | ~F.exists(lines, no_id),
+              "srtIds": ~some | ~F.exists(lines, lambda h: no_srt(h) | null_srt(h)),
+              "inclusionProbability": p.isNull() | (_is_number(p) & F.try_variant_get(p, "$", "double").between(0, 1))}
+    optional = [(n, dto(n)) for n in DTO_TEXTS[1]] + [(n, ins(n)) for n in INSURANCE_TEXTS[1]]
+    optional += [(n, sampling(n)) for n in (*SAMPLING_TEXTS, request_type_key)]
+    return rules | {name: value.isNull() | _is_text(value) for name, value in optional}
+
+
+def validate(feed: DataFrame, body: str = "body", request_type_key: str = "requestType") -> DataFrame:
+    """Adds ``raw`` (the whole request, unknown keys included), ``reasons`` and ``is_valid``.
+
+    The request is split into its objects once; the rules then look at single fields.
+    ``request_type_key`` is the name under which the caller's sampler sends its request type.
+    """
     parsed = computed_once(feed, raw=F.try_parse_json(F.col(body)))
-    parsed = computed_once(parsed, _lines=_at("$.dto.hrtToSrts", HRT_DDL))
+    part = lambda path, kind: F.try_variant_get("raw", path, kind)
+    split = computed_once(
+        parsed, _top=part("$", _variants("requestId", "dto", "sampling")),
+        _dto=part("$.dto", _variants(*DTO_TEXTS[0], *DTO_TEXTS[1], "orgId", "coverageSpend", "eligibility")),
+        _ins=part("$.dto.primaryInsurance", _variants(*INSURANCE_TEXTS[0], *INSURANCE_TEXTS[1])),
+        _sampling=part("$.sampling", _variants(*SAMPLING_TEXTS, "inclusionProbability", request_type_key)),
+        _lines=part("$.dto.hrtToSrts", HRT_DDL))
     reasons = F.array_compact(F.array(*[
-        F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in validation_rules().items()]))
+        F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in validation_rules(request_type_key).items()]))
     reasons = F.when(F.col("raw").isNull(), F.array(F.lit("json"))).otherwise(reasons)
-    return computed_once(parsed, reasons=reasons).drop("_lines").withColumn("is_valid", F.size("reasons") == 0)
+    return computed_once(split, reasons=reasons).withColumn("is_valid", F.size("reasons") == 0)
 
 
 def accepted(validated: DataFrame, request_type_key: str = "requestType") -> DataFrame:
-    """Typed columns of the valid requests. ``request_type_key`` is the name under which the
-    caller's sampler sends its request type."""
-    dto, ins = "$.dto", "$.dto.primaryInsurance"
-    text = lambda path: _at(path, "string")
+    """Typed columns of the valid requests."""
+    dto, ins = (lambda n: _text(F.col(f"_dto.{n}"))), (lambda n: _text(F.col(f"_ins.{n}")))
+    sampling = lambda n: F.col(f"_sampling.{n}")
     return validated.where("is_valid").select(
-        text("$.requestId").alias("request_id"),
-        text(f"{dto}.consumerId").alias("consumer_id"), text(f"{dto}.firstName").alias("first_name"),
-        text(f"{dto}.lastName").alias("last_name"), text(f"{dto}.dateOfBirth").alias("date_of_birth"),
-        text(f"{dto}.ehrPatientId").alias("ehr_patient_id"), text(f"{dto}.serviceDate").alias("service_date"),
-        date_prefix(text(f"{dto}.serviceDate")).alias("asof"),
-        text(f"{ins}.memberId").alias("member_id"), text(f"{ins}.payer").alias("payer"),
-        text(f"{ins}.planName").alias("plan_name"), text(f"{ins}.state").alias("state"),
-        text(f"{ins}.groupNumber").alias("group_number"),
-        text(f"{ins}.insuredFirstName").alias("insured_first_name"),
-        text(f"{ins}.insuredLastName").alias("insured_last_name"),
-        text(f"{dto}.npi").alias("npi"), text(f"{dto}.providerFirstName").alias("provider_first_name"),
-        text(f"{dto}.providerLastName").alias("provider_last_name"), _at(f"{dto}.orgId", "bigint").alias("org_id"),
-        _at(f"{dto}.hrtToSrts", HRT_DDL).alias("hrt_to_srts"),
-        F.try_variant_get("raw", f"{dto}.coverageSpend", "variant").alias("coverage_spend"),
-        F.try_variant_get("raw", f"{dto}.eligibility", "variant").alias("eligibility"),
-        text("$.sampling.stratum").alias("sampling_stratum"),
-        _at("$.sampling.inclusionProbability", "double").alias("inclusion_probability"),
-        text("$.sampling.reason").alias("sampling_reason"),
-        text(f"$.sampling.{request_type_key}").alias("caller_request_type"),
-        F.to_json(F.try_variant_get("raw", dto, "variant")).alias("dto_json"), "raw")
+        _text(F.col("_top.requestId")).alias("request_id"),
+        dto("consumerId").alias("consumer_id"), dto("firstName").alias("first_name"), dto("lastName").alias("last_name"),
+        dto("dateOfBirth").alias("date_of_birth"), dto("ehrPatientId").alias("ehr_patient_id"),
+        dto("serviceDate").alias("service_date"), date_prefix(dto("serviceDate")).alias("asof"),
+        ins("memberId").alias("member_id"), ins("payer").alias("payer"), ins("planName").alias("plan_name"),
+        ins("state").alias("state"), ins("groupNumber").alias("group_number"),
+        ins("insuredFirstName").alias("insured_first_name"), ins("insuredLastName").alias("insured_last_name"),
+        dto("npi").alias("npi"), dto("providerFirstName").alias("provider_first_name"),
+        dto("providerLastName").alias("provider_last_name"),
+        F.try_variant_get("_dto.orgId", "$", "bigint").alias("org_id"), F.col("_lines").alias("hrt_to_srts"),
+        F.col("_dto.coverageSpend").alias("coverage_spend"), F.col("_dto.eligibility").alias("eligibility"),
+        _text(sampling("stratum")).alias("sampling_stratum"),
+        F.try_variant_get(sampling("inclusionProbability"), "$", "double").alias("inclusion_probability"),
+        _text(sampling("reason")).alias("sampling_reason"), _text(sampling(request_type_key)).alias("caller_request_type"),
+        F.to_json("_top.dto").alias("dto_json"), "raw")
 
 
 def rejects(validated: DataFrame) -> DataFrame:
-    return validated.where(~F.col("is_valid"))
+    return validated.where(~F.col("is_valid")).drop("_top", "_dto", "_ins", "_sampling", "_lines")
 
 
 def request_lines(requests: DataFrame, *keep: str) -> DataFrame:
