@@ -187,19 +187,15 @@ def ledger_star(t: Tables) -> DataFrame:
     return claim_star(claim, patient, insurance, package, transaction, charge, organization)
 
 
-def _minutes(base: Column, minutes: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(base) + minutes.cast("long") * F.lit(60000000).cast("long"))
-
-
 def eligibility_tracks(t: Tables) -> DataFrame:
     """Signup events as eligibility tracks, created up to five days after their service day."""
     k = F.get_json_object("props", "$.k").cast("int")
-    ts = F.col("ts").cast("timestamp")
+    ts = F.col("ts")
     return (t.events.where(F.col("event_type") == "signup")
             .select(F.lit("c1").alias("contextid"), F.col("user_id").alias("patientinsuranceid"),
                     F.col("event_id").alias("eligibilitytrackid"),
                     F.date_format(ts, "yyyy-MM-dd'T'HH:mm").alias("dateofservicedatetime"),
-                    _minutes(ts, (k % 6) * 1440).alias("createddatetime"),
+                    (ts + F.make_dt_interval(k % 6)).alias("createddatetime"),
                     F.when(k % 9 == 0, "<b class=errortext>failed").otherwise("<b class=successtext>ok").alias("verificationnote"),
                     F.when(k % 8 != 0, F.col("props")).alias("incomingtransaction")))
 

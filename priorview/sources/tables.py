@@ -31,6 +31,11 @@ def keep_numeric_ids(ids: DataFrame, col: str) -> DataFrame:
     return ids.where(finite).select(F.col(col).cast("double").cast("bigint").alias(col)).distinct()
 
 
+def sample_rows(df: DataFrame, n: int = 3) -> DataFrame:
+    """A few rows to look at; which ones is left open, as in the source."""
+    return df.limit(n)
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """Type, NULL count, distinct estimate, min and max of each column, in one pass."""
     aggs, rows = [], []
