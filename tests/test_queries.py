@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, duck
+from priorview.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
