@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import lines, simhash
 
 QUERIES = {
+    "op4_line_dedup": lines.op4_line_dedup,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": lines.OP4_SQL,
+}
