@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, simhash
+from . import lines, packing, simhash
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_line_dedup": lines.op4_line_dedup,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
