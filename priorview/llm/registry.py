@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chunks, lines, packing, pii, simhash
+from . import chunks, language, lines, packing, pii, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op5_language_id": language.op5_language_id,
     "op7_personal_data": pii.op7_personal_data,
     "op10_document_fingerprints": chunks.op10_document_fingerprints,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
