@@ -17,6 +17,7 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE = 8_000        # labelled rows that a model is fitted on, expected
 WORDS = 50_000        # most words of a language in a model
 LONGEST = 5           # letters of the longest n-gram
+MIX = 0.01            # share of the mean over the languages in each frequency
 EVIDENCE = 25         # words that a score counts at most
 CACHE = 300_000       # chunks of text that a Python worker remembers
 UNKNOWN = "und"
@@ -43,8 +44,10 @@ class Model:
         at = {x: k for k, x in enumerate(languages)}
 
         def logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-            total = sum(counts.values(), np.zeros(len(languages))) + 0.5 * len(counts)
-            return {x: np.log((c + 0.5) / total) for x, c in counts.items()}
+            # Relative frequencies, mixed with a little of their mean over the languages: the
+            # sizes of the languages' samples cancel out, and no single word decides alone.
+            total = np.maximum(sum(counts.values(), np.zeros(len(languages))), 1)
+            return {x: np.log((1 - MIX) * c / total + MIX * (c / total).mean()) for x, c in counts.items()}
 
         zero = lambda: np.zeros(len(languages))
         words, grams = defaultdict(zero), [defaultdict(zero) for _ in range(longest)]
