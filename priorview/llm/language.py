@@ -28,6 +28,11 @@ def words_of(chunk: str) -> list[str]:
     return [w for w in WORD.findall(chunk) if not w.isnumeric()]
 
 
+def _grams(marked: str, size: int) -> list[str]:
+    """n-grams of ^word$; the marks count only beside letters."""
+    return list(marked[1:-1]) if size == 1 else [marked[j:j + size] for j in range(len(marked) - size + 1)]
+
+
 @dataclass
 class Model:
     """Per-language logarithms of relative frequency, of words and of n-grams."""
@@ -56,7 +61,7 @@ class Model:
             marked = f"^{word}$"
             for k, counts in enumerate(grams):
                 size = longest - k
-                for g in {marked[j:j + size] for j in range(len(marked) - size + 1)}:
+                for g in set(_grams(marked, size)):
                     counts[g][at[language]] += 1
         return cls(languages, logs(words), [logs(g) for g in grams])
 
@@ -67,8 +72,7 @@ class Model:
             return known
         marked = f"^{word}$"
         for k, grams in enumerate(self.grams):
-            size = len(self.grams) - k
-            found = [grams[g] for j in range(len(marked) - size + 1) if (g := marked[j:j + size]) in grams]
+            found = [grams[g] for g in _grams(marked, len(self.grams) - k) if g in grams]
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.languages))
