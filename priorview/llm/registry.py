@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chunks, language, lines, packing, pii, simhash
+from . import chunks, decontaminate, language, lines, packing, pii, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_language_id": language.op5_language_id,
+    "op6_benchmark_passages": decontaminate.op6_benchmark_passages,
     "op7_personal_data": pii.op7_personal_data,
     "op10_document_fingerprints": chunks.op10_document_fingerprints,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
