@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, language, lines, packing, pii, simhash
+from . import chunks, decontaminate, language, licenses, lines, packing, pii, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,8 +10,9 @@ QUERIES = {
     "op5_language_id": language.op5_language_id,
     "op6_benchmark_passages": decontaminate.op6_benchmark_passages,
     "op7_personal_data": pii.op7_personal_data,
-    "op10_document_fingerprints": chunks.op10_document_fingerprints,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_document_fingerprints": chunks.op10_document_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
