@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, language, licenses, lines, packing, pii, simhash, urls
+from . import chat, chunks, decontaminate, language, licenses, lines, packing, pii, simhash, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_url_filter": urls.op2_url_filter,
+    "op3_chat_format": chat.op3_chat_format,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_language_id": language.op5_language_id,
     "op6_benchmark_passages": decontaminate.op6_benchmark_passages,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": urls.OP2_SQL,
+    "op3_chat_format": chat.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
 }
