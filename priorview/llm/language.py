@@ -177,6 +177,20 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
     return docs.select(text, *columns).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows whose language is known with a score of `least` or more, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        score = Scorer(held.value)
+        for batch in batches:
+            found = [score(t.as_py()) for t in batch.column(place)]
+            yield batch.take(pa.array([k for k, (x, s) in enumerate(found) if x != UNKNOWN and s >= least], pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for the fold that no model learns from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

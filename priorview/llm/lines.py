@@ -83,8 +83,9 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 4,
-                fanout: int = 2) -> DataFrame:
-    """Documents without the lines that a document of smaller id holds; adds n_lines and n_dropped.
+                fanout: int = 2, counts: bool = True) -> DataFrame:
+    """Documents without the lines that a document of smaller id holds; `counts` adds n_lines and
+    n_dropped.
 
     Texts split at newlines; null and empty texts are one empty line and become empty texts.
     Lines compare by `line_key`; keys under ten code points are never dropped, and all lines of
@@ -128,8 +129,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     kept = F.when(F.col(gone).isNull(), text).otherwise(
         F.array_join(F.transform(stay, lambda i: F.col(parts)[i]), "\n"))
-    return out.withColumns({text_col: kept, "n_lines": F.size(parts).cast("long"),
-                            "n_dropped": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")}).drop(key, row, gone, parts)
+    new = {"n_lines": F.size(parts).cast("long"), "n_dropped": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")}
+    return out.withColumns({text_col: kept, **(new if counts else {})}).drop(key, row, gone, parts)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

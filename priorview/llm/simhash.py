@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import fresh, stored, table
 from .components import connected, forest
 
 SEED = 42      # fixed value: the hash seed of a shingle
@@ -107,26 +107,26 @@ def _stars(batches, radius: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
-def links(fps: DataFrame, radius: int = 4, agree: int | None = None, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of `fp` within the radius.
+def _tiles(fps: DataFrame, masks: list[int], radius: int, tile: int) -> list[DataFrame]:
+    """Rows (a, b) of tiles to be compared (b null: the tile with itself) such that all pairs of
+    distinct `fp` that are equal under a mask and within the radius meet. Tiles are arrays of
+    fp, or of (fp, label) if fps has a label.
 
-    `fps` has distinct fingerprints. They are grouped by the bits under each mask; a group of
-    up to `tile` is compared whole. A larger one is cut into tiles by population count and a
-    hash; pairs of tiles whose counts differ beyond the radius are skipped, and the others are
-    compared in separate rows, so no task holds more than two tiles at once. A pair of tiles
-    returns a spanning forest of its links instead of all of them. Repeated fingerprints are
-    harmless.
+    Fingerprints are grouped by the bits under each mask; a group of up to `tile` is compared
+    whole. A larger one is cut into tiles by population count and a hash; pairs of tiles whose
+    counts differ beyond the radius are skipped, and the others are separate rows, so no task
+    holds more than two tiles at once.
     """
-    masks = _masks(radius, agree or agreeing_blocks(fps.count(), radius))
-    keyed = stored(fps.select("fp", F.bit_count("fp").cast("int").alias("ones"),
+    item = F.struct("fp", "label") if "label" in fps.columns else F.col("fp")
+    keyed = stored(fps.select(*fps.columns, F.bit_count("fp").cast("int").alias("ones"),
                        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")),
                    "simhash-keys")
     counts = keyed.groupBy("mask", "key", "ones").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("mask", "key").agg(F.sum("n").alias("total")).where("total > 1")
 
     whole = (keyed.join(sizes.where(F.col("total") <= tile), ["mask", "key"])
-             .groupBy("mask", "key").agg(F.collect_list("fp").alias("a"))
-             .select("a", F.lit(None).cast("array<bigint>").alias("b")))
+             .groupBy("mask", "key").agg(F.collect_list(item).alias("a")).select("a"))
+    whole = whole.withColumn("b", F.lit(None).cast(whole.schema["a"].dataType))
 
     # Tiles of the large groups: (mask, key, ones, part).
     large = stored(counts.join(sizes.where(F.col("total") > tile), ["mask", "key"])
@@ -134,7 +134,7 @@ def links(fps: DataFrame, radius: int = 4, agree: int | None = None, tile: int =
     named = large.select("mask", "key", "ones", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     tiles = (keyed.join(large, ["mask", "key", "ones"])
              .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-             .groupBy("mask", "key", "ones", "part").agg(F.collect_list("fp").alias("fps")))
+             .groupBy("mask", "key", "ones", "part").agg(F.collect_list(item).alias("fps")))
     tiles = stored(tiles, "simhash-tiles")
     other = named.select("mask", "key", F.col("ones").alias("ones2"), F.col("part").alias("part2"))
     pairs = (named.join(other, ["mask", "key"])
@@ -145,7 +145,18 @@ def links(fps: DataFrame, radius: int = 4, agree: int | None = None, tile: int =
                                 F.col("fps").alias("b")), ["mask", "key", "ones2", "part2"])
              .select("a", F.when((F.col("ones") != F.col("ones2")) | (F.col("part") != F.col("part2")),
                                  F.col("b")).alias("b")))
+    return [whole, split]
+
+
+def links(fps: DataFrame, radius: int = 4, agree: int | None = None, tile: int = TILE) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of `fp` within the radius.
+
+    `fps` has distinct fingerprints; repeated ones are harmless. A pair of tiles returns a
+    spanning forest of its links instead of all of them.
+    """
+    masks = _masks(radius, agree or agreeing_blocks(fps.count(), radius))
     run = lambda batches: _stars(batches, radius)
+    whole, split = _tiles(fps, masks, radius, tile)
     return whole.mapInArrow(run, "u long, v long").unionAll(split.mapInArrow(run, "u long, v long"))
 
 
@@ -168,6 +179,168 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("id", "fp", "component")
 
 
+def _sampled_masks(n: int, differing: int, recall: float, seed: int = 9) -> list[int]:
+    """Random masks, with as many bits as leave about 64 of n fingerprints to a group, and as
+    many of them as let two fingerprints with so many differing bits meet with the given
+    probability."""
+    bits = min(28, max(8, ceil(log2(max(n, 1) / 64))))
+    meet = comb(BITS - differing, bits) / comb(BITS, bits)
+    rng, masks = np.random.default_rng(seed), []
+    for _ in range(ceil(log(1 - recall) / log(1 - meet))):
+        m = sum(1 << int(k) for k in rng.choice(BITS, bits, replace=False))
+        masks.append(m - (1 << BITS) if m >> (BITS - 1) else m)
+    return masks
+
+
+def _nearest(batches, radius: int):
+    """Rows (a, b) of two tiles -> (fp, other, apart): for each fingerprint its nearest one, and
+    its nearest among the smaller ones, where these are within the radius."""
+    far = np.uint8(255)
+    for batch in batches:
+        out = []
+        for row in range(batch.num_rows):
+            lists = [batch.column(k)[row] for k in range(2)]
+            a = lists[0].values.to_numpy(zero_copy_only=False)
+            b = lists[1].values.to_numpy(zero_copy_only=False) if lists[1].is_valid else a
+            for x, y in [(a, b)] if b is a else [(a, b), (b, a)]:
+                strip = max(1, (1 << 20) // max(1, len(y)))
+                for at in range(0, len(x), strip):
+                    own = x[at:at + strip]
+                    apart = np.bitwise_count(own[:, None] ^ y[None, :])
+                    apart = np.where((apart > radius) | (own[:, None] == y[None, :]), far, apart)
+                    for look in (apart, np.where(y[None, :] < own[:, None], apart, far)):
+                        best = look.argmin(1)
+                        least = look[np.arange(len(own)), best]
+                        hit = np.nonzero(least < far)[0]
+                        if len(hit):
+                            out.append((own[hit], y[best[hit]], least[hit].astype(np.int32)))
+        if out:
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "other", "apart"])
+
+
+def _across(batches, radius: int):
+    """Rows (a, b) of two tiles of (fp, label) -> (fp, other): each fingerprint and its nearest one
+    of every other label within the radius."""
+    for batch in batches:
+        us, vs = [], []
+        for row in range(batch.num_rows):
+            lists = [batch.column(k)[row] for k in range(2)]
+            a = [lists[0].values.field(k).to_numpy(zero_copy_only=False) for k in range(2)]
+            b = [lists[1].values.field(k).to_numpy(zero_copy_only=False) for k in range(2)] if lists[1].is_valid else a
+            strip = max(1, (1 << 20) // max(1, len(b[0])))
+            for at in range(0, len(a[0]), strip):
+                own, label = a[0][at:at + strip], a[1][at:at + strip]
+                apart = np.bitwise_count(own[:, None] ^ b[0][None, :])
+                i, j = np.nonzero((apart <= radius) & (label[:, None] != b[1][None, :]))
+                order = np.lexsort((apart[i, j], b[1][j], i))
+                i, j = i[order], j[order]
+                first = np.ones(len(i), bool)
+                first[1:] = (i[1:] != i[:-1]) | (b[1][j][1:] != b[1][j][:-1])
+                us.append(own[i[first]])
+                vs.append(b[0][j[first]])
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["fp", "other"])
+
+
+def shingle_set(text: str | None, shingle: int) -> set[bytes]:
+    """The distinct shingles; all words of a shorter text are one; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k = min(shingle, len(words))
+    return {b" ".join(words[j:j + k]) for j in range(len(words) - k + 1)} if k else set()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The (u, v) whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (shingle_set(t.as_py(), shingle) for t in (x, y))
+                if len(x & y) >= similarity * len(x | y):
+                    keep.append(k)
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    both = (pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("text_u")), "u")
+            .join(texts.select(F.col("key").alias("v"), F.col("text").alias("text_v")), "v"))
+    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u string, v string")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
+                      similarity: float = 0.8, radius: int = 13, recall: float = 0.9, tile: int = TILE) -> DataFrame:
+    """(key, id, root): each distinct pair of text (by its MD5) and id, and the key of its group.
+
+    Texts with a Jaccard similarity of `similarity` between their sets of word shingles belong
+    together. SimHash proposes, the sets decide. Fingerprints of such texts differ in more bits
+    than exact blocks can serve, so the masks under which they meet are sampled: two that differ
+    in radius - 1 bits meet with probability `recall`, nearer ones sooner. Tiles are compared
+    as for `links`. First each fingerprint's nearest link and its nearest to a smaller one are
+    verified on the whole texts, two at most whatever the size of its group; that joins nearly
+    all of a group. Then so is every fingerprint's nearest link to each other group in reach, so
+    that no link between groups is left out. Exact copies always belong together, and so do texts without words. Null texts
+    are empty, null ids are kept, other columns are not read, an empty table gives no rows.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
+    keyed = own.withColumn("pair", F.struct("key", "id"))
+    marked = stored(with_fingerprints(keyed, "pair", "text", shingle).select("id.*", "fp").distinct(), "similar-fps")
+    texts = marked.groupBy("key").agg(F.first("fp").alias("fp"), F.min("id").alias("first"))
+    texts = stored(texts, "similar-texts")
+    fps = stored(texts.groupBy("fp").agg(F.min("key").alias("low")), "similar-distinct")
+    masks = _sampled_masks(fps.count(), radius - 1, recall)
+    run = lambda batches: _nearest(batches, radius)
+    kinds = "fp long, other long, apart int"
+    whole, split = _tiles(fps.select("fp"), masks, radius, tile)
+    found = whole.mapInArrow(run, kinds).unionAll(split.mapInArrow(run, kinds))
+    near = F.struct("apart", "other")
+    best = found.groupBy("fp").agg(F.min(near).alias("any"), F.min(F.when(F.col("other") < F.col("fp"), near)).alias("less"))
+    best = stored(best, "similar-nearest")
+    first = best.select("fp", F.explode(F.array_distinct(F.array("any.other", "less.other"))).alias("other")).where("other is not null")
+    low = fps.select(F.col("fp").alias("other"), F.col("low").alias("v"))
+
+    def keys(found: DataFrame) -> DataFrame:
+        return found.join(fps, "fp").join(low, "other").select(F.col("low").alias("u"), "v")
+
+    def edges(pairs: DataFrame) -> DataFrame:
+        # The texts of the pairs, one row of each: that of the smallest id.
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(texts, "key").select("key", "first")
+        bodies = own.join(nodes, "key").where(F.col("id").eqNullSafe(F.col("first"))).select("key", "text")
+        return stored(_verified(pairs, bodies, shingle, similarity), "similar-edges")
+
+    ordered = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
+    within = texts.join(fps, "fp").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v"))
+    pairs = stored(keys(first).unionAll(within).select(*ordered).distinct(), "similar-pairs")
+    sure = edges(pairs)
+    # What the nearest links leave apart: every two groups with members in reach of each other.
+    roots = connected(sure)
+    label = (best.select("fp").join(fps, "fp").join(roots.withColumnRenamed("node", "low"), "low", "left")
+             .select("fp", F.xxhash64(F.coalesce("root", "low")).alias("label")))
+    run2 = lambda batches: _across(batches, radius)
+    whole, split = _tiles(label, masks, radius, tile)
+    more = whole.mapInArrow(run2, "fp long, other long").unionAll(split.mapInArrow(run2, "fp long, other long")).distinct()
+    more = stored(keys(more).select(*ordered).distinct().join(pairs, ["u", "v"], "left_anti"), "similar-pairs")
+    roots = connected(sure.unionAll(edges(more)))
+    return (marked.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left")
+            .select("key", "id", F.coalesce("root", "key").alias("root")))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents with one of each group of `similar_documents`: that of the smallest id
+    (nulls last), then of the smallest MD5; of rows equal in both, one. All columns stay."""
+    groups = stored(similar_documents(docs, id_col, text_col, **how), "similar-groups")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    winners = groups.groupBy("root").agg(F.min(order).alias("best")).select("best.none", "best.id", "best.key")
+    key, none, ident, place = fresh(docs, "near_key", "near_none", "near_id", "near_place")
+    winners = winners.select(F.col("key").alias(key), F.col("none").alias(none),
+                             F.coalesce(F.col("id").cast("string"), F.lit("")).alias(ident))
+    rows = docs.withColumns({key: F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), none: F.col(id_col).isNull(),
+                             ident: F.coalesce(F.col(id_col).cast("string"), F.lit(""))})
+    first = Window.partitionBy(key, none, ident).orderBy(F.lit(0))
+    return (rows.join(winners, [key, none, ident], "left_semi").withColumn(place, F.row_number().over(first))
+            .where(F.col(place) == 1).drop(key, none, ident, place))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

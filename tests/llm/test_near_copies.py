@@ -1,0 +1,70 @@
+import random
+
+import pytest
+
+from priorview.llm import simhash
+
+SCHEMA = "doc_id long, text string, near_key string, root int, place int"
+
+
+def jaccard(a, b):
+    x, y = (simhash.shingle_set(t, 5) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def fixture():
+    rng = random.Random(11)
+    words = ["w%d" % k for k in range(3000)]
+    base = [" ".join(rng.choices(words, k=rng.randint(60, 400))) for _ in range(60)]
+    texts = list(base)
+    for t in base[:30]:
+        for _ in range(rng.randint(1, 6)):
+            w = t.split()
+            for _ in range(rng.randint(1, max(1, len(w) // 60))):
+                w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    texts += base[:5] + [t.upper().replace(" ", "\n") for t in base[5:8]] + ["", None, " \t", "one two", "ONE  two", "one three"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(None, base[0]), (None, "alone without id"), (None, "alone without id"), (500, "long " * 50_000)]
+    return rows + rows[:4]
+
+
+def slow_groups(texts):
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for a in texts:
+        for b in texts:
+            if a < b and jaccard(a, b) >= 0.8:
+                root[find(a)] = find(b)
+    return {t: find(t) for t in texts}
+
+
+@pytest.mark.parametrize("tile", [2048, 8])
+def test_against_brute_force(spark, tile):
+    rows = fixture()
+    docs = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], SCHEMA)
+    groups = slow_groups({t or "" for _, t in rows})
+    members = {}
+    for i, t in rows:
+        members.setdefault(groups[t or ""], set()).add(i)
+    got = simhash.without_near_copies(docs, tile=tile).collect()
+    kept = {}
+    for r in got:
+        kept.setdefault(groups[r.text or ""], []).append(r.doc_id)
+    assert set(kept) == set(members)  # every group keeps a document
+    extra = sum(len(v) - 1 for v in kept.values())
+    assert extra <= 0.05 * len(rows)  # links missed by the sampled masks
+    for g, ids in kept.items():
+        if len(ids) == 1:
+            known = [i for i in members[g] if i is not None]
+            assert ids[0] == (min(known) if known else None)
+    assert docs.schema == simhash.without_near_copies(docs).schema
+
+
+def test_empty(spark):
+    assert simhash.without_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
