@@ -25,10 +25,12 @@ def newest(col: str, nulls: str = "last") -> Column:
     return F.col(col).desc_nulls_first() if nulls == "first" else F.col(col).desc_nulls_last()
 
 
-def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
+def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None = None,
                   rank_col: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each key with their rank; all rows without ``n``."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(window)).where(F.col(rank_col) <= n)
+    ranked = df.withColumn(rank_col, F.row_number().over(window))
+    return ranked if n is None else ranked.where(F.col(rank_col) <= n)
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (),
@@ -53,9 +55,10 @@ def event_states(facts: DataFrame, event: str, lookback_months: int = 24) -> Dat
 
 
 def asof_topn(probes: DataFrame, states: DataFrame, scope: Sequence[str], asof: str, event: str,
-              order: Sequence[Column], n: int, lookback_months: int = 24,
+              order: Sequence[Column], n: int | None = None, lookback_months: int = 24,
               tier_months: int = 3) -> DataFrame:
-    """Newest ``n`` states of each (scope, as-of) probe, plus the count of all visible ones.
+    """Newest ``n`` states of each (scope, as-of) probe, plus the count of all visible ones;
+    every visible state without ``n``.
 
     ``probes`` has one row per (scope, as-of). ``states`` holds the scope columns, ``event``
     (a date), ``valid_from`` and ``valid_to``: visible when valid_from <= as-of < valid_to,
@@ -68,6 +71,14 @@ def asof_topn(probes: DataFrame, states: DataFrame, scope: Sequence[str], asof:
         return F.floor(month_index(day) / tier_months).cast("int")
 
     live = states.where(F.col("valid_from") < F.col("valid_to")).withColumn("_tier", tier(event))
+    tiers = F.explode(F.sequence(tier(F.add_months(F.col(asof), -lookback_months)), tier(asof)))
+    visible_at = (F.col("valid_from") <= F.col(asof)) & (F.col(asof) < F.col("valid_to"))
+    of_probe = Window.partitionBy(*scope, asof)
+    in_order = of_probe.orderBy(newest(event), *order)
+    if n is None:
+        pairs = probes.select(*scope, asof, tiers.alias("_tier")).join(live, [*scope, "_tier"]).where(visible_at)
+        return (pairs.withColumn("total_rows", F.count(F.lit(1)).over(of_probe))
+                .withColumn("rank", F.row_number().over(in_order)).drop("_tier", "valid_from", "valid_to"))
 
     # 1. Visible states per (scope, tier) as a step function of the as-of date.
     changes = F.explode(F.array(F.struct(F.col("valid_from").alias("day"), F.lit(1).alias("step")),
@@ -76,7 +87,6 @@ def asof_topn(probes: DataFrame, states: DataFrame, scope: Sequence[str], asof:
              .groupBy(*scope, "_tier", F.col("c.day").alias("_day"))
              .agg(F.sum("c.step").alias("_step"))
              .withColumn("_probe", F.lit(0)))
-    tiers = F.explode(F.sequence(tier(F.add_months(F.col(asof), -lookback_months)), tier(asof)))
     asked = probes.select(*scope, tiers.alias("_tier"), F.col(asof).alias("_day"),
                           F.lit(0).cast("long").alias("_step"), F.lit(1).alias("_probe"))
     timeline = (Window.partitionBy(*scope, "_tier").orderBy("_day", "_probe")
@@ -98,20 +108,39 @@ def asof_topn(probes: DataFrame, states: DataFrame, scope: Sequence[str], asof:
     # 3. States that are alike in date and visibility: rows past the n-th can never be chosen.
     alike = top_n_per_key(live, [*scope, event, "valid_from", "valid_to"], order, n, "_alike")
 
-    # 4. Rank inside each tier and add what newer tiers hold. The join is partitioned on
-    #    (scope, tier), which serves this window too, so the pairs are not shuffled again.
-    pairs = (needed.join(alike, [*scope, "_tier"])
-             .where((F.col("valid_from") <= F.col(asof)) & (F.col(asof) < F.col("valid_to"))))
-    in_tier = Window.partitionBy(*scope, "_tier", asof).orderBy(newest(event), *order)
-    return (pairs.withColumn("rank", (F.col("_before") + F.row_number().over(in_tier)).cast("int"))
-            .where(F.col("rank") <= n)
+    # 4. Rank over the tiers. The window is not on the join's keys, so the join can be split
+    #    where a (scope, tier) is hot; the limit on the rank is applied to each part of it
+    #    before the exchange, so a part sends at most n rows for each probe.
+    pairs = needed.join(alike, [*scope, "_tier"]).where(visible_at)
+    return (pairs.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= n)
             .drop("_tier", "_before", "_alike", "valid_from", "valid_to"))
 
 
+def visible_sums(probes: DataFrame, states: DataFrame, scope: Sequence[str], asof: str, event: str,
+                 sums: dict[str, Column]) -> DataFrame:
+    """Per (scope, as-of) the number of visible states, their newest and oldest event and sums.
+
+    A scope's states and probes meet by equi-join inside (scope, event month), whose rows are
+    reduced to partial sums of each probe before they move on."""
+    scope = list(scope)
+    month = lambda day: month_index(day)
+    live = states.where(F.col("valid_from") < F.col("valid_to"))
+    # States alike in date and visibility are one row.
+    alike = (live.groupBy(*scope, event, "valid_from", "valid_to")
+             .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(name) for name, c in sums.items()])
+             .withColumn("_month", month(event)))
+    months = F.explode(F.sequence(month(F.add_months(F.col(asof), -24)), month(asof)))
+    pairs = (probes.select(*scope, asof, months.alias("_month")).join(alike, [*scope, "_month"])
+             .where((F.col("valid_from") <= F.col(asof)) & (F.col(asof) < F.col("valid_to"))))
+    return pairs.groupBy(*scope, asof).agg(
+        F.sum("_n").alias("n_rows"), F.max(event).alias("newest"), F.min(event).alias("oldest"),
+        *[F.sum(name).alias(name) for name in sums])
+
+
 def asof_history(requests: DataFrame, facts: DataFrame, scope: Sequence[str], asof: str, event: str,
-                 order: Sequence[Column], n: int = 400, lookback_months: int = 24) -> DataFrame:
-    """Per request the newest ``n`` facts of its scope dated strictly before the as-of date and
-    within the lookback."""
+                 order: Sequence[Column], n: int | None = None, lookback_months: int = 24) -> DataFrame:
+    """Per request the newest ``n`` facts of its scope (all without ``n``) dated strictly before
+    the as-of date and within the lookback."""
     probes = distinct_asof(requests, scope, asof)
     found = asof_topn(probes, event_states(facts, event, lookback_months), scope, asof, event,
                       order, n, lookback_months)

@@ -204,9 +204,9 @@ def gate(requests: DataFrame, tiles: DataFrame, no_payer: Column | None = None)
     per_request = tiles.groupBy("request_id").agg(
         F.count_if("ok").alias("ok_tiles"),
         F.min(F.when(~F.col("ok"), F.struct("pos", "error"))).alias("_first"))
-    fallback = F.lit("eligibility returned no usable tiles")
+    fallback = F.lit("no tile came back")
     if no_payer is not None:
-        fallback = F.when(no_payer, "no working payer id could be resolved").otherwise(fallback)
+        fallback = F.when(no_payer, "none of the payer ids works").otherwise(fallback)
     ok = F.coalesce(F.col("ok_tiles"), F.lit(0))
     return (requests.join(per_request, "request_id", "left")
             .withColumn("ok_tiles", ok).withColumn("gate_open", F.col("ok_tiles") > 0)

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import last_asof_date
-from ..session import stored
 from .asof import asof_topn, distinct_asof
 
 LINE_KEY = ["procedurecode", "patientid", "claimappointmentid", "claimservicedate"]
@@ -119,12 +118,11 @@ def line_states(star: DataFrame, scope: Sequence[str], lookback_months: int = 24
     line_key = LINE_KEY + (["claimid"] if totals_per_claim else [])
     scoped = star.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*scope, "posted_on"]]))
 
-    # Postings of one line and day in one row; everything below works on this reduced table,
-    # which is stored because both the versions and the choice of lines start from it.
+    # Postings of one line and day in one row; everything below works on this reduced table.
     parts = []
     for name, (cond, value) in amount_rules().items():
         parts += [F.sum(F.when(cond, value)).alias(name), F.count(F.when(cond, value)).alias(f"n_{name}")]
-    daily = stored(scoped.groupBy(*_unique(*scope, *CODE_KEY, "posted_on")).agg(*parts), "ledger_days")
+    daily = scoped.groupBy(*_unique(*scope, *CODE_KEY, "posted_on")).agg(*parts)
 
     # Running totals per line key, one version per posting day.
     by_line = _unique(*scope, *line_key)
@@ -165,11 +163,41 @@ def code_order() -> list[Column]:
     return [F.col("claimid").asc_nulls_last(), F.col("patientid").asc_nulls_last()]
 
 
-def ledger_history(requests: DataFrame, star: DataFrame, scope: Sequence[str], asof: str, n: int,
-                   lookback_months: int = 24, **options) -> DataFrame:
-    """Per (scope, as-of) the newest ``n`` claim lines with their cost-share amounts, and
-    ``total_rows``. Join it to the requests on (scope, as-of)."""
-    states = stored(line_states(star, scope, lookback_months, **options), "line_states")
+def build_line_states(star: DataFrame, scope: Sequence[str], path: str, lookback_months: int = 24, **options) -> None:
+    """Write the states of a whole ledger, partitioned by service month, for many later look-ups
+    with ``ledger_lookup``. This is the maintained form of the table; it is the only function
+    here that runs a job."""
+    states = line_states(star, scope, lookback_months, **options)
+    months = states.withColumn("service_month", F.trunc("claimservicedate", "month"))
+    months.repartition("service_month", F.pmod(F.xxhash64(*scope), F.lit(64))).write.partitionBy("service_month").parquet(path)
+
+
+def asked_part(rows: DataFrame, probes: DataFrame, scope: Sequence[str], asof: str, lookback_months: int = 24) -> DataFrame:
+    """The ledger rows that some probe can see: of its scopes, and of service dates from the
+    first probe's lookback up to the last probe. Both are part of the plan and start no job."""
+    bounds = probes.agg(F.add_months(F.min(asof), -lookback_months).alias("first"), F.max(asof).alias("last"))
+    day = F.col("claimservicedate")
+    return (rows.where((day >= bounds.select("first").scalar()) & (day < bounds.select("last").scalar()))
+            .join(probes.select(*scope).distinct(), list(scope), "left_semi"))
+
+
+def ledger_lookup(requests: DataFrame, states: DataFrame, scope: Sequence[str], asof: str, n: int | None = None,
+                  lookback_months: int = 24) -> DataFrame:
+    """``ledger_history`` from stored states, of which only the asked scopes and months are read."""
+    probes = distinct_asof(requests, scope, asof)
+    if "service_month" in states.columns:
+        bounds = probes.agg(F.trunc(F.add_months(F.min(asof), -lookback_months), "month").alias("first"), F.max(asof).alias("last"))
+        month = F.col("service_month")
+        states = states.where((month >= bounds.select("first").scalar()) & (month <= bounds.select("last").scalar())).drop("service_month")
     order = [F.col("procedurecode").asc_nulls_last(), *code_order()]
-    return asof_topn(distinct_asof(requests, scope, asof), states, scope, asof, "claimservicedate",
+    return asof_topn(probes, asked_part(states, probes, scope, asof, lookback_months), scope, asof, "claimservicedate",
                      order, n, lookback_months)
+
+
+def ledger_history(requests: DataFrame, star: DataFrame, scope: Sequence[str], asof: str, n: int | None = None,
+                   lookback_months: int = 24, **options) -> DataFrame:
+    """Per (scope, as-of) the newest ``n`` claim lines (all without ``n``) with their cost-share
+    amounts, and ``total_rows``. Join it to the requests on (scope, as-of). Only the part of the
+    ledger that the requests can see is worked on, and nothing runs before the result is asked for."""
+    part = asked_part(star, distinct_asof(requests, scope, asof), scope, asof, lookback_months)
+    return ledger_lookup(requests, line_states(part, scope, lookback_months, **options), scope, asof, n, lookback_months)

@@ -12,6 +12,7 @@ from ..operators import ledger as lg
 from ..operators import resolve as r
 from ..operators import results as rs
 from ..operators import stc_rules as st
+from ..schemas import as_result_rows
 from ..session import scratch_dir
 from ..sources import requests as rq
 from ..streaming import requests as stream
@@ -160,12 +161,12 @@ def estimate_cost_share(t):
 
 @query("confidence_caps", f"""WITH {OWN_SQL},
 g AS (SELECT *, request_id AS k, COALESCE(ABS(mean - est) > 5 AND ABS(mean - est) > 0.25 * ABS(est), FALSE) AS dif FROM e3)
-SELECT request_id, dif AS own_differs, CASE WHEN est IS NULL OR k % 12 = 5 THEN 0 ELSE
+SELECT request_id, dif AS own_differs, CAST(CASE WHEN k % 12 <> 5 THEN est END AS DOUBLE) AS estimate, CASE WHEN est IS NULL OR k % 12 = 5 THEN 0 ELSE
   LEAST(k % 3 + 1, CASE WHEN dif THEN 1 ELSE 3 END, CASE WHEN source = 'MARKET ESTIMATE' AND kind <> 'COPAY' THEN 2 ELSE 3 END,
         CASE WHEN k % 5 = 2 THEN 2 ELSE 3 END) END AS conf_rank FROM g""")
 def confidence_caps(t):
-    """D23."""
-    return es.cap_confidence(_estimated(t)).select("request_id", "own_differs", "conf_rank")
+    """D19, D23."""
+    return as_double(es.cap_confidence(_estimated(t)).select("request_id", "own_differs", "conf_rank", "estimate"), "estimate")
 
 
 @query("dto_digest", "SELECT doc_id, left(sha256(text), 16) AS digest FROM documents")
@@ -186,32 +187,38 @@ def deid_sample(t):
                            F.col("o_orderdate").cast("date").cast("string").alias("date_of_service"),
                            b.money("o_totalprice").alias("pnr"), F.lit(None).cast("decimal(12,2)").alias("payment"),
                            F.lit(None).cast("string").alias("payer_plan_name"))
-    out = rs.deidentified(rows, ["member_id"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+    out = rs.deidentified(rows, ["member_id"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], n=5)
     return as_double(out.drop("modifier", "payment", "payer_plan_name"), "pnr")
 
 
-@query("evidence_bundle", ledger_sql("patientid", 200) + f""", {MEMBER_FACTS_SQL},
+@query("evidence_bundle", ledger_sql("group_number", 200) + f""", {MEMBER_FACTS_SQL}, {TILES_SQL}, {LINES_SQL},
 h AS (SELECT r.request_id, f.*, ROW_NUMBER() OVER (PARTITION BY r.request_id ORDER BY dos DESC, claim_ref DESC) AS rank
       FROM requests r JOIN facts f ON f.member_id = r.member_id AND {LOOKBACK_SQL.format(d='f.dos')}),
-o AS (SELECT request_id, COUNT(*) AS n, left('[' || string_agg('{{"claim_ref":' || claim_ref || ',"pnr":' || pnr || '}}', ',' ORDER BY rank) || ']', 40000) AS j
+o AS (SELECT request_id, COUNT(*) AS n, '[' || string_agg('{{"claim_ref":' || claim_ref || ',"pnr":' || pnr || '}}', ',' ORDER BY rank) || ']' AS j
       FROM h WHERE rank <= 400 GROUP BY 1),
-g AS (SELECT rid AS request_id, COUNT(*) AS n, left('[' || string_agg('{{"claimid":' || claimid || ',"allowable":' || allowable || '}}', ',' ORDER BY rank) || ']', 60000) AS j
-      FROM topn GROUP BY 1)
+g AS (SELECT rid AS request_id, COUNT(*) AS n, '[' || string_agg('{{"claimid":' || claimid || ',"allowable":' || allowable || '}}', ',' ORDER BY rank) || ']' AS j
+      FROM topn GROUP BY 1),
+tl AS (SELECT request_id, COUNT(*) AS n, '[' || string_agg('{{"stc":"' || stc || '","eligibility_source":"' || eligibility_source || '"}}', ',' ORDER BY pos) || ']' AS j
+      FROM tiles WHERE ok GROUP BY 1),
+li AS (SELECT c.request_id, COUNT(*) AS n, '[' || string_agg('{{"srt_id":' || c.srt || CASE WHEN c.srt % 29 <> 0 THEN ',"srt_name":"' || p.p_name || '"' ELSE '' END
+        || ',"primary":"' || prim || '","secondaries":["' || array_to_string(secs, '","') || '"]}}', ',' ORDER BY c.srt) || ']' AS j
+      FROM per_srt c JOIN part p ON p.p_partkey = c.srt GROUP BY 1)
 SELECT r.request_id, '{{"org_id":' || org_id || ',"asof":"' || r.asof || '"}}' AS header, o.n AS n_own, left(sha256(o.j), 16) AS own_digest,
-       g.n AS n_grp, left(sha256(g.j), 16) AS grp_digest, '["' || (r.request_id % 3) || '"]' AS tiles
-FROM requests r LEFT JOIN o USING (request_id) LEFT JOIN g USING (request_id)""")
+       g.n AS n_grp, left(sha256(g.j), 16) AS grp_digest, tl.j AS tiles, li.n AS n_lines, left(sha256(replace(li.j, '[""]', '[]')), 16) AS lines_digest
+FROM requests r LEFT JOIN o USING (request_id) LEFT JOIN g USING (request_id) LEFT JOIN tl USING (request_id) LEFT JOIN li USING (request_id)""")
 def evidence_bundle(t):
-    """D16, F13."""
-    scope = ["org_id", "patientid"]
+    """What a request is priced from: its lines with names and service-type chains, its
+    good tiles, its member's newest claims and its group's newest ledger lines. Whole JSON."""
     reqs = b.requests(t)
-    own = member_history(t).select("request_id", "rank", F.struct("claim_ref", "pnr").alias("entry"))
-    ledger = lg.ledger_history(reqs, b.ledger_star(t), scope, "asof", n=200)
-    grp = (reqs.select("request_id", *scope, "asof").join(ledger, [*scope, "asof"])
-           .select("request_id", "rank", F.struct("claimid", "allowable").alias("entry")))
-    tiles = reqs.select("request_id", F.lit(0).alias("pos"), (F.col("request_id") % 3).cast("string").alias("entry"))
-    out = rs.evidence_bundles(reqs.select("request_id", "org_id", "asof"), tiles, own, grp)
+    own = member_history(t).select("request_id", F.col("rank").alias("pos"), F.struct("claim_ref", "pnr").alias("entry"))
+    grp = (reqs.select("request_id", *GROUP_SCOPE, "asof").join(_group_ledger(t, reqs), [*GROUP_SCOPE, "asof"])
+           .select("request_id", F.col("rank").alias("pos"), F.struct("claimid", "allowable").alias("entry")))
+    tiles = b.tiles(t).where("ok").select("request_id", "pos", F.struct("stc", "eligibility_source").alias("entry"))
+    lines = chains(t).join(b.srt(t).select("srt_id", "srt_name"), "srt_id", "left").select(
+        "request_id", F.col("srt_id").alias("pos"), F.struct("srt_id", "srt_name", "primary", "secondaries").alias("entry"))
+    out = rs.evidence_bundles(reqs.select("request_id", "org_id", "asof"), {"tiles": tiles, "own": own, "grp": grp, "lines": lines})
     return out.select("request_id", "header", "n_own", short_digest("own").alias("own_digest"), "n_grp",
-                      short_digest("grp").alias("grp_digest"), "tiles")
+                      short_digest("grp").alias("grp_digest"), "tiles", "n_lines", short_digest("lines").alias("lines_digest"))
 
 
 @query("json_key_search", f"""WITH ev AS (SELECT event_id, {K_SQL} AS k, CAST(CAST(value AS DECIMAL(10,2)) AS VARCHAR) AS v FROM events)
@@ -238,27 +245,44 @@ def json_extract(t):
 
 
 @query("stream_results", """
-SELECT 'r' || o_orderkey AS request_id, 'COMPLETED' AS status, o_custkey % 500 AS first_srt,
-       CASE WHEN o_orderkey % 12 <> 11 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS pricing_date
-FROM orders WHERE o_orderkey % 12 IN (0, 10, 11)""")
+SELECT 'r' || o_orderkey AS request_id, CASE WHEN o_orderkey % 12 = 11 THEN 'ERROR' ELSE 'COMPLETED' END AS status,
+       CASE WHEN o_orderkey % 12 <> 11 THEN o_custkey % 500 END AS srt_id,
+       CASE WHEN o_orderkey % 12 <> 11 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS pricing_date, NULL AS reasons
+FROM orders WHERE o_orderkey % 12 IN (0, 10, 11)
+UNION ALL SELECT NULL, 'REJECTED', NULL, NULL, CASE o_orderkey % 12 WHEN 1 THEN 'requestId' WHEN 2 THEN 'requestId' WHEN 3 THEN 'dateOfBirth'
+    WHEN 4 THEN 'memberId' WHEN 5 THEN 'hrtToSrts' WHEN 6 THEN 'srtIds' WHEN 7 THEN 'inclusionProbability' WHEN 8 THEN 'orgId' ELSE 'json' END
+FROM orders, (VALUES (0), (1)) AS v(again) WHERE o_orderkey % 12 NOT IN (0, 10, 11) AND (again = 0 OR o_orderkey % 10 = 0)""")
 def stream_results(t):
-    """Posts as a stream, repeats dropped, appended once to parquet."""
+    """Posts as a stream. Accepted ones are stored once in the result schema, those
+    with a bad date as errors; rejected ones go to a table of their own with the reasons. Posts
+    carry their posting time, in which repeats come minutes apart, so state is kept for a day."""
     home = scratch_dir(t.spark)
     orders = stream.request_stream(t.spark, t.sf_dir, t.orders.schema, "parquet", pathGlobFilter="orders.parquet")
     k = F.col("o_orderkey")
     posts = orders.withColumn("post", F.explode(F.when(k % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     values = {"k": k, "d": b.day("o_orderdate"), "c": F.col("o_custkey"), "s": F.col("o_custkey") % 500}
-    posts = computed_once(posts, body=b.request_body(values)).select(F.col("o_orderdate").cast("timestamp").alias("posted_at"), "body")
-    first = stream.first_posts(rq.validate(posts).where("is_valid")
+    posted = F.timestamp_seconds(F.lit(1_700_000_000) + k % 3600 + F.col("post") * 60)
+    posts = computed_once(posts, body=b.request_body(values)).select(posted.alias("posted_at"), "body")
+    checked = rq.validate(posts)
+    first = stream.first_posts(checked.where("is_valid")
                                .withColumn("request_id", F.try_variant_get("_top.requestId", "$", "string")),
-                               "request_id", "posted_at", "4000 days")
-    valid = rq.accepted(first).select(
-        "request_id", F.lit("COMPLETED").alias("status"),
-        F.col("hrt_to_srts")[0]["srtIds"][0].cast("bigint").alias("first_srt"),
-        F.col("asof").cast("string").alias("pricing_date"))
-    run = stream.start_sink(valid, f"{home}/results", f"{home}/state", once=True)
-    run.awaitTermination()
-    return t.spark.read.schema(valid.schema).parquet(f"{home}/results")
+                               "request_id", "posted_at", "1 day")
+    runs = rs.with_failure(rq.accepted(first))
+    line = F.col("hrt_to_srts")[0]
+    good = F.col("failure").isNull()
+    rows = as_result_rows(runs.withColumns({
+        "run_id": F.col("request_id"), "status": F.when(good, "COMPLETED").otherwise("ERROR"), "error_message": F.col("failure"),
+        "hrt_id": F.when(good, line["hrtId"].cast("bigint")), "srt_id": F.when(good, line["srtIds"][0].cast("bigint")),
+        "pricing_date": F.col("asof"), "dto_digest": short_digest("dto_json")}))
+    bad = rq.rejects(checked).select("posted_at", "body", F.array_join("reasons", ",").alias("reasons"))
+    for name, part in (("results", rows), ("rejects", bad)):
+        stream.start_sink(part, f"{home}/{name}", f"{home}/state-{name}", once=True).awaitTermination()
+    stored = t.spark.read.schema(rows.schema).parquet(f"{home}/results")
+    left = t.spark.read.schema(bad.schema).parquet(f"{home}/rejects")
+    none = F.lit(None)
+    return (stored.select("request_id", "status", "srt_id", F.col("pricing_date").cast("string").alias("pricing_date"),
+                          none.cast("string").alias("reasons"))
+            .unionAll(left.select(none.cast("string"), F.lit("REJECTED"), none.cast("bigint"), none.cast("string"), "reasons")))
 
 
 @query("late_outcome_join", """

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import eligibility as e
 from ..operators import results as rs
 from ..operators import scorecard as s
+from ..schemas import BREAKDOWN_KEYS, LATER_COLUMNS, as_result_rows
+from ..session import scratch_dir
 from ..sources import eligibility as se
 from ..sources import requests as rq
 from ..sources import tables as tb
@@ -81,14 +83,14 @@ def result_lookup(t):
 
 
 @query("column_profile", """
-SELECT 0 AS ordinal, 's_suppkey' AS column_name, COUNT(*) FILTER (WHERE s_suppkey IS NULL) AS null_count,
+SELECT 0 AS ordinal, 's_suppkey' AS column_name, 'bigint' AS data_type, COUNT(*) FILTER (WHERE s_suppkey IS NULL) AS null_count,
        CAST(MIN(s_suppkey) AS VARCHAR) AS min_value, CAST(MAX(s_suppkey) AS VARCHAR) AS max_value FROM supplier
-UNION ALL SELECT 1, 's_name', COUNT(*) FILTER (WHERE s_name IS NULL), MIN(s_name), MAX(s_name) FROM supplier
-UNION ALL SELECT 2, 's_nationkey', COUNT(*) FILTER (WHERE s_nationkey IS NULL), CAST(MIN(s_nationkey) AS VARCHAR), CAST(MAX(s_nationkey) AS VARCHAR) FROM supplier
-UNION ALL SELECT 3, 's_acctbal', COUNT(*) FILTER (WHERE s_acctbal IS NULL), CAST(MIN(s_acctbal) AS VARCHAR), CAST(MAX(s_acctbal) AS VARCHAR) FROM supplier""")
+UNION ALL SELECT 1, 's_name', 'string', COUNT(*) FILTER (WHERE s_name IS NULL), MIN(s_name), MAX(s_name) FROM supplier
+UNION ALL SELECT 2, 's_nationkey', 'int', COUNT(*) FILTER (WHERE s_nationkey IS NULL), CAST(MIN(s_nationkey) AS VARCHAR), CAST(MAX(s_nationkey) AS VARCHAR) FROM supplier
+UNION ALL SELECT 3, 's_acctbal', 'double', COUNT(*) FILTER (WHERE s_acctbal IS NULL), CAST(MIN(s_acctbal) AS VARCHAR), CAST(MAX(s_acctbal) AS VARCHAR) FROM supplier""")
 def column_profile(t):
     """S8, without the distinct estimate, which another engine computes differently."""
-    return tb.column_profile(t.supplier).select("ordinal", "column_name", "null_count", "min_value", "max_value")
+    return tb.column_profile(t.supplier).select("ordinal", "column_name", "data_type", "null_count", "min_value", "max_value")
 
 
 @query("eligibility_requests", f"""WITH {LINES_SQL},
@@ -152,33 +154,41 @@ def group_number(t):
     return e.group_numbers(b.forwarded_requests(t), b.tiles(t))
 
 
-def _gated(t):
-    reqs = b.forwarded_requests(t).select("request_id")
-    return e.gate(reqs, b.tiles(t))
+GATE_SQL = """g AS (SELECT request_id, COUNT(*) FILTER (WHERE ok) AS ok_tiles, arg_min(error, pos) FILTER (WHERE NOT ok) AS err FROM tiles GROUP BY 1),
+srt_line AS (SELECT DISTINCT request_id, hrt, srt FROM ln),
+gated AS (SELECT l.request_id, l.hrt, l.srt, p.prim, COALESCE(g.err, 'no tile came back') AS err,
+    CASE WHEN s.p_partkey % 29 <> 0 THEN s.p_name END AS srt_name
+  FROM srt_line l JOIN per_srt p USING (request_id, srt) LEFT JOIN g USING (request_id) LEFT JOIN part s ON s.p_partkey = l.srt
+  WHERE COALESCE(g.ok_tiles, 0) = 0)"""
+GATE_REASON_SQL = ("'Left unpriced, as benefits are unknown: ' || err || '. Earlier claims do not replace them.' || "
+                   "COALESCE(' Item: ' || srt_name || '.', '') || ' Service type: ' || prim || '.'")
 
 
-@query("gate_rows", f"""WITH {TILES_SQL},
-g AS (SELECT request_id, COUNT(*) FILTER (WHERE ok) AS ok_tiles, arg_min(error, pos) FILTER (WHERE NOT ok) AS err FROM tiles GROUP BY 1)
-SELECT CAST(request_id AS VARCHAR) AS request_id, n AS srt_id, 'UNABLE_TO_PRICE' AS confidence, 'COMPLETED' AS status,
-  'No price produced: eligibility check did not succeed (' || err || '). A good check is required before pricing; history is no substitute. Procedure: item ' || n || '. Primary service type: 98.' AS reasoning,
-  'call failed / no usable tile (' || err || ')' AS breakdown, 0 AS input_tokens, 0.0 AS estimated_cost_usd
-FROM g, (VALUES (1), (2)) AS p(n) WHERE ok_tiles = 0""")
+def _gated_lines(t):
+    """The lines of requests without a good tile, with their chains and names."""
+    lines = b.request_lines(t).select("request_id", "hrt_id", "srt_id").distinct()
+    blocked = e.gate(lines.select("request_id").distinct(), b.tiles(t)).where(~F.col("gate_open")).select("request_id", "gate_error")
+    return (lines.join(blocked, "request_id").join(chains(t).select("request_id", "srt_id", "primary"), ["request_id", "srt_id"])
+            .join(b.srt(t).select("srt_id", "srt_name"), "srt_id", "left"))
+
+
+@query("gate_rows", f"""WITH {TILES_SQL}, {LINES_SQL}, {GATE_SQL}
+SELECT CAST(request_id AS VARCHAR) AS request_id, hrt AS hrt_id, srt AS srt_id, 'UNABLE_TO_PRICE' AS confidence, 'COMPLETED' AS status,
+  {GATE_REASON_SQL} AS reasoning, 'no answer to build on: ' || err AS breakdown, 0 AS input_tokens, 0.0 AS estimated_cost_usd
+FROM gated""")
 def gate_rows(t):
     """Every line of a request without a good tile."""
-    blocked = _gated(t).where(~F.col("gate_open"))
-    lines = (blocked.select(F.col("request_id").cast("string").alias("request_id"), "gate_error",
-                            F.explode(F.array(F.lit(1), F.lit(2))).alias("srt_id"))
-             .withColumns({"srt_name": F.concat(F.lit("item "), F.col("srt_id")), "primary": F.lit("98"),
-                           "service_date": F.lit("2024-02-01"), "dto_json": F.lit("{}")}))
+    lines = _gated_lines(t).withColumns({"request_id": F.col("request_id").cast("string"), "service_date": F.lit("2024-02-01"),
+                                         "dto_json": F.lit("{}")})
     rows = rs.gated_rows(lines, rs.version_columns("0123456789abcdef", None))
-    return as_double(rows.select("request_id", "srt_id", "confidence", "status", "reasoning",
-                                 F.try_variant_get("source_breakdown", "$.stedi", "string").alias("breakdown"),
+    return as_double(rows.select("request_id", "hrt_id", "srt_id", "confidence", "status", "reasoning",
+                                 F.try_variant_get("source_breakdown", f"$.{BREAKDOWN_KEYS[0]}", "string").alias("breakdown"),
                                  "input_tokens", "estimated_cost_usd"), "estimated_cost_usd")
 
 
 def _runs(t):
     answers = rs.parse_answers(b.model_answers(t))
-    return answers.withColumns(rs.normalize_usage(F.col("usage")))
+    return rs.with_failure(answers.withColumns(rs.normalize_usage(F.col("usage"))))
 
 
 ANSWERS_SQL = """ans AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS request_id, o_totalprice, o_orderpriority,
@@ -197,7 +207,7 @@ SELECT request_id, request_id AS run_id, k % 7 AS hrt_id, k % 50 + n AS srt_id,
        tin AS input_tokens, tout AS output_tokens, tcache AS cache_read_tokens, micro / 1000000.0 AS estimated_cost_usd, model_id,
        pricing_date, left(sha256('{{"orgId":' || (k % 40) || '}}'), 16) AS dto_digest, '0123456789ab' AS pricer_version,
        CASE WHEN k % 4 = 0 THEN '["w1","w2"]' ELSE '[]' END AS warnings, 'prio:' || o_orderpriority AS sampling_stratum
-FROM cost, (VALUES (0), (1)) AS p(n) WHERE NOT bad""")
+FROM cost, (VALUES (0), (1)) AS p(n) WHERE NOT bad AND pricing_date IS NOT NULL""")
 def result_rows(t):
     """D11, D13, D14, D15, D27."""
     rows = rs.priced_rows(_runs(t), rs.model_rates(t.spark), rs.version_columns(" 0123456789abcdef ", ""))
@@ -208,21 +218,59 @@ def result_rows(t):
     return as_double(out, "estimated_patient_resp", "estimated_cost_usd")
 
 
+FAILURE_SQL = """CASE WHEN pricing_date IS NULL THEN 'no calendar date at the start of the service date: soon'
+    WHEN bad THEN 'a price breaks the answer schema' END"""
+
+
 @query("error_rows", f"""WITH {ANSWERS_SQL}
-SELECT request_id, 'UNABLE_TO_PRICE' AS confidence, 'ERROR' AS status, 'none' AS eligibility_source, pricing_date,
-       CASE WHEN bad THEN 'a price breaks the answer schema' ELSE 'service date must start with YYYY-MM-DD, got: soon' END AS error_message
-FROM ans WHERE bad OR k % 17 = 0""")
+SELECT request_id, 'UNABLE_TO_PRICE' AS confidence, 'ERROR' AS status, 'none' AS eligibility_source, pricing_date, {FAILURE_SQL} AS error_message
+FROM ans WHERE bad OR pricing_date IS NULL""")
 def error_rows(t):
-    """Runs whose answer breaks the schema, and requests with a bad date."""
-    runs = _runs(t)
-    broken = runs.where(F.col("parse_error").isNotNull()).withColumn("error_message", F.col("parse_error"))
-    undated = rs.date_failures(runs.where(F.col("parse_error").isNull()))
-    version = rs.version_columns(None, None)
-    rows = rs.all_rows(rs.error_rows(broken, version), rs.error_rows(undated, version))
+    """Runs with a bad date or an answer that breaks the schema."""
+    rows = rs.error_rows(_runs(t), rs.version_columns(None, None))
     return rows.select("request_id", "confidence", "status", "eligibility_source",
                        F.col("pricing_date").cast("string").alias("pricing_date"), "error_message")
 
 
+@query("result_table", f"""WITH {TILES_SQL}, {LINES_SQL}, {GATE_SQL}, {ANSWERS_SQL},
+shut AS (SELECT DISTINCT request_id FROM gated),
+early AS (SELECT 'old-' || o_orderkey AS request_id, CAST(o_custkey AS BIGINT) AS srt_id, CAST(o_totalprice AS DECIMAL(12,2)) AS est,
+    'COMPLETED' AS status, NULL AS error_message, NULL AS pricer_version, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS pricing_date
+  FROM orders WHERE o_orderkey % 50 = 0)
+SELECT request_id, srt_id, CAST(est AS DOUBLE) AS estimated_patient_resp, status, error_message, pricer_version, pricing_date FROM early
+UNION ALL SELECT request_id, k % 50 + n, CASE WHEN k % 5 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) END, 'COMPLETED', NULL, '0123456789ab', pricing_date
+FROM ans, (VALUES (0), (1)) AS p(n) WHERE NOT bad AND pricing_date IS NOT NULL AND k NOT IN (SELECT request_id FROM shut)
+UNION ALL SELECT request_id, NULL, NULL, 'ERROR', {FAILURE_SQL}, '0123456789ab', pricing_date
+FROM ans WHERE pricing_date IS NULL OR bad AND k NOT IN (SELECT request_id FROM shut)
+UNION ALL SELECT a.request_id, g.srt, NULL, 'COMPLETED', NULL, '0123456789ab', a.pricing_date
+FROM ans a JOIN gated g ON g.request_id = a.k WHERE a.pricing_date IS NOT NULL""")
+def result_table(t):
+    """Priced, gated and failed requests in one stored table, over a part
+    of it that an earlier version wrote without the later columns. A bad date fails a request; else
+    a shut gate leaves its lines unpriced; else its answer counts."""
+    home = scratch_dir(t.spark)
+    version = rs.version_columns("0123456789abcdef", None)
+    runs = _runs(t)
+    gated = _gated_lines(t).withColumn("request_id", F.col("request_id").cast("string"))
+    shut = gated.select("request_id").distinct()
+    dated = F.col("failure").isNull() | F.col("failure").eqNullSafe(F.col("parse_error"))
+    reached = runs.where(dated).join(shut, "request_id", "left_anti")
+    undated = runs.where(~dated)
+    request = runs.where(dated).select("request_id", "service_date", "dto_json", *rs.SAMPLING)
+    early = t.orders.where(F.col("o_orderkey") % 50 == 0).select(
+        F.concat(F.lit("old-"), F.col("o_orderkey")).alias("request_id"), F.col("o_custkey").cast("bigint").alias("srt_id"),
+        b.money("o_totalprice").alias("estimated_patient_resp"), F.lit("COMPLETED").alias("status"),
+        b.day("o_orderdate").alias("pricing_date"))
+    old = as_result_rows(early).drop(*LATER_COLUMNS)
+    old.write.parquet(f"{home}/results")
+    new = rs.all_rows(rs.priced_rows(reached, rs.model_rates(t.spark), version), rs.error_rows(reached, version),
+                      rs.error_rows(undated, version), rs.gated_rows(gated.join(request, "request_id"), version))
+    tb.append_results(new, f"{home}/results", partition=None)
+    rows = tb.read_results(t.spark, f"{home}/results")
+    return as_double(rows.select("request_id", "srt_id", "estimated_patient_resp", "status", "error_message", "pricer_version",
+                                 F.col("pricing_date").cast("string").alias("pricing_date")), "estimated_patient_resp")
+
+
 @query("token_cost", f"""WITH {ANSWERS_SQL}
 SELECT request_id, model_id, tin AS input_tokens, tout AS output_tokens, tcache AS cache_read_tokens, micro / 1000000.0 AS estimated_cost_usd
 FROM cost""")

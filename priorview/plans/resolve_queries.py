@@ -9,7 +9,7 @@ from ..operators import resolve as r
 from ..operators import stc_rules as st
 from . import bindings as b
 from .catalog import query
-from .history_queries import LOOKBACK_SQL, MEMBER_FACTS_SQL, ledger_sql, member_history
+from .history_queries import LOOKBACK_SQL, MEMBER_FACTS_SQL, ledger_sql
 
 PAYER_SQL = """payer AS (
   SELECT CASE WHEN p_size <> 9 THEN lpad(CAST(p_size AS VARCHAR), 3, '0') || ', ' || lpad(CAST(p_partkey % 7 AS VARCHAR), 2, '0')
@@ -42,7 +42,7 @@ cand AS (SELECT q.request_id, c.code, ROW_NUMBER() OVER (PARTITION BY q.request_
 SELECT needle, row_no, name AS payer_name, code AS availity_payer_code FROM matched""")
 def payer_lookup_top5(t):
     """J1, F4, T3."""
-    return r.payer_matches(b.payer_requests(t), b.payers(t))
+    return r.payer_matches(b.payer_requests(t), b.payers(t), n=5)
 
 
 @query("payer_candidates", f"""WITH {CAND_SQL}
@@ -50,7 +50,7 @@ SELECT q.request_id, COALESCE(string_agg(c.code, '|' ORDER BY c.nth), '') AS can
 FROM preq q LEFT JOIN cand c USING (request_id) GROUP BY q.request_id""")
 def payer_candidates(t):
     """D1."""
-    return (r.request_candidates(b.payer_requests(t), b.payers(t))
+    return (r.request_candidates(b.payer_requests(t), b.payers(t), n=5)
             .select("request_id", F.array_join("candidates", "|").alias("candidates")))
 
 
@@ -62,7 +62,7 @@ FROM preq q LEFT JOIN cand c ON c.request_id = q.request_id
 LEFT JOIN probe p ON p.request_id = c.request_id AND p.code = c.code GROUP BY q.request_id""")
 def payer_first_ok(t):
     """D2 over a table of probe outcomes."""
-    candidates = r.request_candidates(b.payer_requests(t), b.payers(t))
+    candidates = r.request_candidates(b.payer_requests(t), b.payers(t), n=5)
     probes = (candidates.where(F.col("request_id") % 7 != 0)
               .select("request_id", F.explode("candidates").alias("code"))
               .withColumn("ok", (F.col("request_id") + F.col("code").cast("int")) % 3 == 0))
@@ -183,8 +183,7 @@ def srt_context_nested(t):
                       F.array_join(text, "|").alias("codes"))
 
 
-@query("history_routed", ledger_sql("patientid", 400).replace("master AS (SELECT r.request_id AS rid, s.* FROM requests r JOIN star s ON",
-                         "master AS (SELECT r.request_id AS rid, s.* FROM requests r JOIN star s ON r.patientid % 3 <> 0 AND")
+@query("history_routed", ledger_sql("patientid").replace("JOIN star s ON", "JOIN star s ON r.patientid % 3 <> 0 AND")
        + f""", {MEMBER_FACTS_SQL},
 canon AS (SELECT r.request_id, COUNT(*) AS n, SUM(pnr) AS amt FROM requests r JOIN facts f ON f.member_id = r.member_id
           AND {LOOKBACK_SQL.format(d='f.dos')} WHERE r.patientid % 3 = 0 AND r.member_id % 30 <> 0 GROUP BY 1),
@@ -192,12 +191,12 @@ led AS (SELECT rid AS request_id, COUNT(*) AS n, SUM(allowable) AS amt FROM topn
 src AS (SELECT request_id, CASE WHEN patientid % 3 <> 0 THEN 'ledger' WHEN member_id % 30 <> 0 THEN 'canonical' ELSE 'skipped' END AS s
         FROM requests)
 SELECT src.request_id, s AS history_source, COALESCE(led.n, canon.n, 0) AS n_rows, CAST(COALESCE(led.amt, canon.amt) AS DOUBLE) AS amount,
-       CASE WHEN s = 'skipped' THEN 'no patient or member id, history skipped'
-            WHEN COALESCE(led.n, canon.n, 0) = 0 THEN 'no prior claims (new ' || CASE s WHEN 'ledger' THEN 'patient)' ELSE 'member)' END
-            WHEN s = 'ledger' THEN led.n || ' prior closed-claim rows' ELSE canon.n || ' prior claim lines' END AS note
+       CASE WHEN s = 'skipped' THEN 'history left out: neither patient nor member is named'
+            WHEN COALESCE(led.n, canon.n, 0) > 0 THEN CASE s WHEN 'ledger' THEN 'ledger' ELSE 'member' END || ' history of ' || COALESCE(led.n, canon.n) || ' lines'
+            WHEN s = 'ledger' THEN 'the ledger has nothing earlier for this patient' ELSE 'nothing earlier is on file for this member' END AS note
 FROM src LEFT JOIN led USING (request_id) LEFT JOIN canon USING (request_id)""")
 def history_routed(t):
-    """Patient-keyed ledger, else member-keyed claims, else none."""
+    """Patient-keyed ledger, else member-keyed claims, else none. Both in whole."""
     from ..operators import asof as a
 
     reqs = r.route_history(
@@ -205,15 +204,14 @@ def history_routed(t):
         .withColumn("member_id", F.when(F.col("member_id") % 30 != 0, F.col("member_id"))))
     scope = ["org_id", "patientid"]
     by_patient = reqs.where(F.col("history_source") == "ledger").select("request_id", *scope, "asof")
-    ledger = lg.ledger_history(by_patient, b.ledger_star(t), scope, "asof", n=400)
-    ledger_sums = (by_patient.join(ledger.groupBy(*scope, "asof").agg(F.count(F.lit(1)).alias("n_rows"),
-                                                                     F.sum("allowable").alias("amount")), [*scope, "asof"])
-                   .select("request_id", "n_rows", F.col("amount").cast("double").alias("amount")))
+    probes = a.distinct_asof(by_patient, scope, "asof")
+    states = lg.line_states(lg.asked_part(b.ledger_star(t), probes, scope, "asof"), scope)
+    ledger = a.visible_sums(probes, states, scope, "asof", "claimservicedate", {"amount": F.col("allowable")})
     by_member = reqs.where(F.col("history_source") == "canonical").select("request_id", "member_id", "asof")
-    claims = a.asof_history(by_member, b.canonical_claims(t), ["member_id"], "asof", "date_of_service",
-                            [F.col("claim_ref").desc()], n=400)
-    claim_sums = (claims.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("pnr").cast("double").alias("amount")))
-    sums = ledger_sums.unionByName(claim_sums)
+    claims = a.visible_sums(a.distinct_asof(by_member, ["member_id"], "asof"), a.event_states(b.canonical_claims(t), "date_of_service"),
+                            ["member_id"], "asof", "date_of_service", {"amount": F.col("pnr")})
+    shown = lambda df: df.select("request_id", "n_rows", F.col("amount").cast("double").alias("amount"))
+    sums = shown(by_patient.join(ledger, [*scope, "asof"])).unionByName(shown(by_member.join(claims, ["member_id", "asof"])))
     out = reqs.select("request_id", "history_source").join(sums, "request_id", "left")
     return (out.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
             .select("request_id", "history_source", "n_rows", "amount", r.history_note().alias("note")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime re-planning does the size checks for broadcasts and splits skewed join
 # partitions, so no operator in this package carries a broadcast hint.
@@ -31,20 +33,14 @@ def build_session(app: str = "priorview", master: str | None = None, **conf: str
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder for stream state and sinks, under the cluster's shared checkpoint
-    folder. Only a session without that setting (a local test) gets a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="priorview-")
-    return f"{shared.rstrip('/')}/priorview-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table that several steps read to the shared scratch folder, and read it back.
-
-    The steps then share one computation, read only their own columns, and a lost executor
-    costs no recomputation of what came before.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{label}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A fresh folder for stream state and sinks, under the cluster's shared checkpoint folder
+    (spark.checkpoint.dir, else that of setCheckpointDir). Only a local session without either
+    gets a temporary folder, removed when Python ends; elsewhere the absence is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return f"{shared.rstrip('/')}/priorview-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="priorview-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path

@@ -9,9 +9,14 @@ from pyspark.sql import types as T
 from ..schemas import as_result_rows
 
 
-def append_results(rows: DataFrame, path: str) -> None:
-    """Append result rows, partitioned by pricing date."""
-    as_result_rows(rows).write.mode("append").partitionBy("pricing_date").parquet(path)
+def append_results(rows: DataFrame, path: str, partition: str | None = "pricing_date") -> None:
+    """Append result rows, in folders by pricing date. Rows of a date are brought together first,
+    so an append adds few files; a date with many rows is split again."""
+    rows = as_result_rows(rows)
+    if partition is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -31,9 +36,9 @@ def keep_numeric_ids(ids: DataFrame, col: str) -> DataFrame:
     return ids.where(finite).select(F.col(col).cast("double").cast("bigint").alias(col)).distinct()
 
 
-def sample_rows(df: DataFrame, n: int = 3) -> DataFrame:
-    """A few rows to look at; which ones is left open, as in the source."""
-    return df.limit(n)
+def sample_rows(df: DataFrame, n: int | None = None) -> DataFrame:
+    """``n`` rows to look at, whichever come first; all rows without ``n``."""
+    return df if n is None else df.limit(n)
 
 
 def column_profile(df: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def test_forwarded_own_and_gate(spark):
     gate = {x.request_id: x for x in e.gate(reqs, tiles).collect()}
     assert [gate[i].gate_open for i in (1, 2, 3, 4, 5)] == [True, True, True, False, False]
     assert gate[4].gate_error.startswith('HTTP 500: {"m":"x') and len(gate[4].gate_error) == 510
-    assert gate[5].gate_error == "eligibility returned no usable tiles"
+    assert gate[5].gate_error == "no tile came back"
 
 
 def test_request_rules_keep_unknown_keys(spark):

@@ -36,16 +36,16 @@ def random_star(seed, n=500):
     return rows
 
 
-def six_cte(con, scope, n):
+def reference_rows(con, scope, n):
     from priorview.plans.history_queries import ledger_sql
 
     sql = ledger_sql(scope, n)
-    start = sql.index("master AS")
+    start = sql.index("seen AS")
     return con.execute("WITH " + sql[start:] + " SELECT rid, rank, total_rows, code, claimid, dos, pins, deduct, coins, copay, allowable, payment FROM topn").fetchall()
 
 
-def test_states_equal_the_six_aggregate_form(spark):
-    for seed, scope_key, n in ((1, "patientid", 400), (2, "group_number", 400), (3, "patientid", 3)):
+def test_states_equal_the_definition(spark):
+    for seed, scope_key, n in ((1, "patientid", None), (2, "group_number", None), (3, "patientid", 3)):
         rows = random_star(seed)
         rnd = random.Random(seed)
         reqs = [(i, 1, rnd.randrange(1, 6), f"g{rnd.randrange(2)}", date(2023, 1, 1) + timedelta(days=rnd.randrange(900))) for i in range(60)]
@@ -59,7 +59,7 @@ def test_states_equal_the_six_aggregate_form(spark):
             CAST(claimappointmentid AS INTEGER) AS appt, CAST(claimservicedate AS DATE) AS dos, primary_memberid AS m1, primary_package AS k1,
             CAST(NULL AS VARCHAR) AS m2, CAST(NULL AS VARCHAR) AS k2, CAST(patientinsuranceid AS INTEGER) AS pins, transactiontype AS ttype,
             transactiontransfertype AS tto, transactionreason AS why, CAST(amount AS DECIMAL(12,2)) AS amount, CAST(posted_on AS DATE) AS posted FROM star_src""")
-        want = {tuple(map(str, r)) for r in six_cte(con, scope_key, n)}
+        want = {tuple(map(str, r)) for r in reference_rows(con, scope_key, n)}
         found = lg.ledger_history(rdf, star, ["org_id", scope_key], "asof", n=n)
         got = rdf.select("request_id", "org_id", scope_key, "asof").join(found, ["org_id", scope_key, "asof"]).select(
             "request_id", "rank", "total_rows", "procedurecode", "claimid", "claimservicedate", "patientinsuranceid",
@@ -80,3 +80,28 @@ def test_pivot_of_no_posting_is_null_and_null_reason_counts_nowhere(spark):
     rows = [(*base, "TRANSFERIN", "Patient", None, Decimal(5), date(2024, 1, 2)), (*base, "CHARGE", "Primary", None, Decimal(7), date(2024, 1, 2))]
     r = lg.cost_share_pivot(spark.createDataFrame(rows, STAR), ["claimid"]).first()
     assert (r.allowable, r.other, r.copay, r.payment) == (7, None, None, None)
+
+
+def test_whole_ledger_of_a_patient_with_many_lines_and_stored_states(spark, tmp_path):
+    day = date(2023, 1, 1)
+    base = lambda k: (1, "g", f"C{k}", 1, k, "c", 1, day + timedelta(days=k % 300), None, None, None, None, 1)
+    rows = [(*base(k), "CHARGE", "Primary", None, Decimal(7), day + timedelta(days=k % 300 + 1)) for k in range(950)]
+    star = spark.createDataFrame(rows, STAR)
+    reqs = spark.createDataFrame([(1, 1, 1, date(2024, 1, 1)), (2, 1, 1, date(2023, 2, 1))], "request_id int, org_id int, patientid int, asof date")
+    scope = ["org_id", "patientid"]
+    found = lg.ledger_history(reqs, star, scope, "asof").collect()
+    assert len([r for r in found if r.asof == date(2024, 1, 1)]) == 950
+    assert {r.total_rows for r in found if r.asof == date(2024, 1, 1)} == {950}
+    lg.build_line_states(star, scope, str(tmp_path / "states"))
+    again = lg.ledger_lookup(reqs, spark.read.parquet(str(tmp_path / "states")), scope, "asof").collect()
+    key = lambda r: (r.asof, r["rank"], r.claimid, r.allowable)
+    assert sorted(map(key, again)) == sorted(map(key, found))
+
+
+def test_asking_for_a_history_starts_no_job(spark):
+    star = spark.createDataFrame(random_star(6), STAR)
+    reqs = spark.createDataFrame([(1, 1, 1, date(2024, 1, 1))], "request_id int, org_id int, patientid int, asof date")
+    spark.sparkContext.setJobGroup("lazy", "no job")
+    lg.ledger_history(reqs, star, ["org_id", "patientid"], "asof")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
