@@ -44,7 +44,10 @@ def test_forwarded_own_and_gate(spark):
     assert groups == {1: "5", 2: "R", 3: "S", 4: None, 5: "Q"}
     gate = {x.request_id: x for x in e.gate(reqs, tiles).collect()}
     assert [gate[i].gate_open for i in (1, 2, 3, 4, 5)] == [True, True, True, False, False]
-    assert gate[4].gate_error.startswith('HTTP 500: {"m":"x') and len(gate[4].gate_error) == 510
+    assert gate[4].gate_error.startswith('HTTP 500: {"m":"x') and len(gate[4].gate_error) == 618
+    cut = se.classify_responses(spark.createDataFrame([(4, 0, "30", 500, '{"m":"' + "x" * 600 + '"}')],
+                                                      "request_id int, pos int, stc string, http_status int, body string"), limit=500).first()
+    assert len(cut.error) == 510
     assert gate[5].gate_error == "no tile came back"
 
 
@@ -91,20 +94,43 @@ def test_numeric_ids_are_filtered_and_truncated(spark):
     assert sorted(x.id for x in tb.keep_numeric_ids(df, "id").collect()) == [-2, 1]
 
 
-def test_error_rows_cut_the_message(spark):
-    df = spark.createDataFrame([("r", "soon", "{}", "x" * 3000)], "request_id string, service_date string, dto_json string, error_message string")
+def test_a_run_is_good_or_failed_never_both(spark):
+    rows = [("a", "2024-01-02T00", "{}", None), ("b", "soon", "{}", None), ("c", "soon", "{}", "broken"), ("d", "2024-01-02", "{}", "x" * 3000), ("e", None, "{}", None)]
+    df = spark.createDataFrame(rows, "request_id string, service_date string, dto_json string, parse_error string")
     for c, k in (("sampling_stratum", "string"), ("inclusion_probability", "double"), ("sampling_reason", "string"), ("caller_request_type", "string")):
         df = df.withColumn(c, F.lit(None).cast(k))
-    row = rs.error_rows(df, rs.version_columns(None, None)).first()
-    assert len(row.error_message) == 2000 and row.pricing_date is None and row.pricer_version == "dev" and row.run_id is None
-
-
-def test_json_search_has_no_depth_limit(spark):
-    deep = '{"group":' * 150 + "1" + "}" * 150
-    df = spark.createDataFrame([(1, deep), (2, '{"\\u0067roup":{"a":[{"GROUPS":[]}]}}'), (3, "no json group")], "id int, j string")
+    runs = rs.with_failure(df)
+    assert [r.request_id for r in runs.where("failure is null").collect()] == ["a"]
+    got = {r.request_id: r for r in rs.error_rows(runs, rs.version_columns(None, None)).collect()}
+    assert set(got) == {"b", "c", "d", "e"} and got["b"].error_message == got["c"].error_message
+    assert len(got["d"].error_message) == 3000 and got["b"].pricing_date is None and got["b"].pricer_version == "dev" and got["b"].run_id is None
+    assert len({r.request_id: r for r in rs.error_rows(runs, {}, limit=2000).collect()}["d"].error_message) == 2000
+
+
+def test_bundles_are_whole_json_or_drop_whole_entries(spark):
+    import json
+
+    reqs = spark.createDataFrame([(1, "x"), (2, "y")], "request_id int, org string")
+    part = spark.createDataFrame([(1, k, (k, "v" * 10)) for k in range(50)], "request_id int, pos int, entry struct<k:int,v:string>")
+    whole = {r.request_id: r for r in rs.evidence_bundles(reqs, {"own": part}).collect()}
+    assert len(json.loads(whole[1].own)) == whole[1].n_own == 50 and whole[1].dropped_own == 0 and whole[2].own is None
+    cut = {r.request_id: r for r in rs.evidence_bundles(reqs, {"own": part}, {"own": 200}).collect()}[1]
+    kept = json.loads(cut.own)
+    assert [e["k"] for e in kept] == list(range(len(kept))) and len(cut.own) <= 200 and cut.dropped_own == 50 - len(kept) > 0
+
+
+def test_json_search_survives_any_document(spark):
+    nested = '{"group":' * 150 + "1" + "}" * 150
+    deep = "[" * 100_000 + '{"group":[1, 2]}' + "]" * 100_000
+    rows = [(1, nested), (2, '{"\\u0067roup":{"a":[{"GROUPS":[]}]}}'), (3, "no json group"), (4, deep), (5, None), (6, '{"group":1,}'),
+            (7, '{"group" : "a\\"b" } '), (8, '{"group":1} x'), (9, "")]
+    df = spark.createDataFrame(rows, "id int, j string")
     got = jsonsearch.find_keys(df, "id", "j", "Group").collect()
     assert sum(x.id == 1 for x in got) == 150
     assert {(x.path, x.value) for x in got if x.id == 2} == {("$.group", '{"a":[{"GROUPS":[]}]}'), ("$.group.a[0].GROUPS", "[]")}
+    assert [x.value for x in got if x.id == 4] == ["[1, 2]"] and [x.value for x in got if x.id == 7] == ['"a\\"b"']
+    bad = {x.id for x in jsonsearch.search_keys(df, "id", "j", "group").where("error is not null").collect()}
+    assert bad == {3, 6, 8} and {x.id for x in got} == {1, 2, 4, 7}
 
 
 def test_unit_weights_equal_the_unweighted_metric_and_rejects_are_counted(spark):
