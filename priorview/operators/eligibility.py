@@ -58,13 +58,16 @@ def latest_track(lines: DataFrame, tracks: DataFrame, service_date: str, asof: s
         early = running_best(days, eligible, keys, service_date, "_from", best, "_early")
         last_day = F.least(F.date_add(F.col(service_date), grace_days - 1), F.date_sub(F.col(asof), 1))
         next_day = F.date_add(F.col(service_date), 1)
-        # A day between the line's date and the as-of date can hold a later track.
+        # A day between the line's date and the as-of date can hold a later track. The months
+        # of those days, two or so, are the join's keys; the days themselves its condition.
+        month = lambda day: F.trunc(day, "month")
         open_days = (lines.where(F.col("patientinsuranceid").isNotNull() & (last_day >= next_day))
-                     .select(*at, asof).distinct()
-                     .withColumn("created_on", F.explode(F.sequence(next_day, last_day))))
-        per_day = good.groupBy(*keys, "created_on", "serves_on").agg(F.max(best).alias("_best"))
-        late = (open_days.join(per_day, [*keys, "created_on"])
-                .where(F.col("serves_on") <= F.col(service_date))
+                     .select(*at, asof, next_day.alias("_first"), last_day.alias("_last")).distinct()
+                     .withColumn("_month", F.explode(F.sequence(month("_first"), month("_last"), F.expr("INTERVAL 1 MONTH")))))
+        per_day = (good.groupBy(*keys, "created_on", "serves_on").agg(F.max(best).alias("_best"))
+                   .withColumn("_month", month("created_on")))
+        late = (open_days.join(per_day, [*keys, "_month"])
+                .where(F.col("created_on").between(F.col("_first"), F.col("_last")) & (F.col("serves_on") <= F.col(service_date)))
                 .groupBy(*at, asof).agg(F.max("_best").alias("_late")))
         joined = (lines.join(early, at, "left").join(late, [*at, asof], "left")
                   .withColumn("best", F.greatest("_early", "_late")).drop("_early", "_late"))
@@ -72,6 +75,17 @@ def latest_track(lines: DataFrame, tracks: DataFrame, service_date: str, asof: s
             .withColumn("createddatetime", F.col("best.createddatetime")).drop("best"))
 
 
+def ledger_with_eligibility(history: DataFrame, tracks: DataFrame, benefits: DataFrame, asof: str | None = "asof",
+                            grace_days: int = 30) -> DataFrame:
+    """Ledger lines of ``ledger_history`` with their latest track, the payload it came with, plan
+    text and the accumulators of that track. Without ``asof`` tracks are chosen as the source does."""
+    lines = history.withColumnRenamed("context_id", "contextid")
+    out = latest_track(lines, tracks, "claimservicedate", asof=asof, grace_days=grace_days)
+    payload = tracks.select("contextid", "patientinsuranceid", "eligibilitytrackid", "incomingtransaction")
+    out = out.join(payload, ["contextid", "patientinsuranceid", "eligibilitytrackid"], "left")
+    return with_plan_benefits(out, benefits)
+
+
 def plan_descriptions(benefits: DataFrame) -> DataFrame:
     return (benefits.where(F.col("plancoveragedesc").isNotNull())
             .groupBy("eligibilitytrackid", "contextid")

@@ -200,6 +200,22 @@ def eligibility_tracks(t: Tables) -> DataFrame:
                     F.when(k % 8 != 0, F.col("props")).alias("incomingtransaction")))
 
 
+def ledger_tracks(t: Tables) -> DataFrame:
+    """Events of a customer as eligibility tracks of the customer's insurances in the ledger."""
+    k = F.col("event_id")
+    serves = F.date_add(F.lit("1993-01-01").cast("date"), (k * 37 % 2000).cast("int"))
+    return (t.events.join(t.customer, F.col("user_id") == F.col("c_custkey"))
+            .select(_context("c_nationkey").alias("contextid"), (F.col("user_id") * 10 + k % 2).alias("patientinsuranceid"),
+                    k.alias("eligibilitytrackid"), serves.cast("string").alias("dateofservicedatetime"),
+                    F.date_add(serves, (k % 50).cast("int")).cast("timestamp").alias("createddatetime"),
+                    F.when(k % 9 == 0, "<b class=errortext>failed").otherwise("<b class=successtext>ok").alias("verificationnote"),
+                    F.when(k % 8 != 0, F.concat(F.lit("271-"), k)).alias("incomingtransaction")))
+
+
+def ledger_benefits(t: Tables) -> DataFrame:
+    return eligibility_benefits(t).drop("contextid").join(ledger_tracks(t).select("eligibilitytrackid", "contextid"), "eligibilitytrackid")
+
+
 def event_lines(t: Tables) -> DataFrame:
     """Purchase events as claim lines; the request that looks back comes two days later."""
     k = F.get_json_object("props", "$.k").cast("int")
