@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import computed_once, short_digest
-from ..operators import asof as a
+from ..operators import eligibility as e
 from ..operators import estimate as es
 from ..operators import jsonsearch
 from ..operators import ledger as lg
@@ -19,7 +19,7 @@ from ..streaming import requests as stream
 from . import bindings as b
 from .catalog import query
 from .history_queries import LOOKBACK_SQL, MEMBER_FACTS_SQL, REQUESTS_SQL, ledger_sql, member_history
-from .request_queries import K_SQL, TILES_SQL
+from .request_queries import K_SQL, TILES_FLAT_SQL, TILES_SQL
 from .resolve_queries import CONTEXT_SQL, LINES_SQL, chains
 from .scorecard_queries import as_double
 
@@ -121,11 +121,12 @@ e0 AS (SELECT k AS request_id, CASE WHEN k % 4 = 0 THEN 20 + k % 5 END AS copay,
   CASE WHEN k % 3 = 0 THEN 'group median' WHEN k % 5 = 0 THEN 'own claim' WHEN k % 7 = 0 THEN 'eligibility rate' WHEN k % 10 <> 1 THEN 'MARKET ESTIMATE' END AS source,
   CASE WHEN k % 6 = 0 THEN 10 WHEN k % 6 = 1 THEN 20 ELSE CASE WHEN k % 2 = 0 THEN 30 END END AS ded,
   CASE WHEN k % 9 = 0 THEN 50 END AS oop FROM ev),
-e1 AS (SELECT e0.*, LEAST(allowable, COALESCE(ded, 0)) AS d, COALESCE(n >= 2 AND mx = 0 AND mn = 0, FALSE) AS az, own.mean FROM e0 LEFT JOIN own USING (request_id)),
+e1 AS (SELECT e0.*, LEAST(allowable, COALESCE(ded, 0)) AS d, COALESCE(n >= 2 AND mx = 0 AND mn = 0, FALSE) AS az, COALESCE(n >= 2 AND mx = mn, FALSE) AS same, mx, own.mean FROM e0 LEFT JOIN own USING (request_id)),
 e2 AS (SELECT *, pct * (allowable - d) AS coi,
   CASE WHEN copay IS NOT NULL THEN CASE WHEN differs THEN COALESCE(mode, copay) ELSE copay END ELSE d + pct * (allowable - d) END AS owed FROM e1),
-e3 AS (SELECT *, CASE WHEN az THEN 0 WHEN owed IS NULL THEN NULL ELSE ROUND(GREATEST(LEAST(owed, COALESCE(oop, owed)), 0), 2) END AS est,
-  CASE WHEN copay IS NOT NULL THEN 'COPAY' WHEN allowable IS NULL THEN NULL WHEN d > 0 AND coi > 0 THEN 'MIXED' WHEN d > 0 THEN 'DEDUCTIBLE' ELSE 'COINSURANCE' END AS kind FROM e2)"""
+e25 AS (SELECT *, CASE WHEN owed IS NOT NULL THEN ROUND(GREATEST(LEAST(owed, COALESCE(oop, owed)), 0), 2) END AS rule FROM e2),
+e3 AS (SELECT *, CASE WHEN same THEN ROUND(mx, 2) ELSE rule END AS est,
+  CASE WHEN copay IS NOT NULL THEN 'COPAY' WHEN allowable IS NULL THEN NULL WHEN d > 0 AND coi > 0 THEN 'MIXED' WHEN d > 0 THEN 'DEDUCTIBLE' ELSE 'COINSURANCE' END AS kind FROM e25)"""
 
 
 def _estimated(t):
@@ -160,7 +161,7 @@ def estimate_cost_share(t):
 
 
 @query("confidence_caps", f"""WITH {OWN_SQL},
-g AS (SELECT *, request_id AS k, COALESCE(ABS(mean - est) > 5 AND ABS(mean - est) > 0.25 * ABS(est), FALSE) AS dif FROM e3)
+g AS (SELECT *, request_id AS k, COALESCE(NOT az AND ABS(mean - rule) > 5 AND ABS(mean - rule) > 0.25 * ABS(rule), FALSE) AS dif FROM e3)
 SELECT request_id, dif AS own_differs, CAST(CASE WHEN k % 12 <> 5 THEN est END AS DOUBLE) AS estimate, CASE WHEN est IS NULL OR k % 12 = 5 THEN 0 ELSE
   LEAST(k % 3 + 1, CASE WHEN dif THEN 1 ELSE 3 END, CASE WHEN source = 'MARKET ESTIMATE' AND kind <> 'COPAY' THEN 2 ELSE 3 END,
         CASE WHEN k % 5 = 2 THEN 2 ELSE 3 END) END AS conf_rank FROM g""")
@@ -169,6 +170,67 @@ def confidence_caps(t):
     return as_double(es.cap_confidence(_estimated(t)).select("request_id", "own_differs", "conf_rank", "estimate"), "estimate")
 
 
+@query("estimate_from_evidence", ledger_sql("group_number", 200) + f""", {MEMBER_FACTS_SQL}, {TILES_SQL}, {LINES_SQL}, {CONTEXT_SQL},
+flat AS ({TILES_FLAT_SQL}),
+bt AS (SELECT request_id, stc, MAX(CAST(amount AS DECIMAL(12,2))) FILTER (WHERE code = 'B') AS copay, MAX(percent) FILTER (WHERE code = 'A') AS pct,
+         MAX(CAST(amount AS DECIMAL(12,2))) FILTER (WHERE code = 'C') AS ded FROM flat GROUP BY 1, 2),
+good AS (SELECT DISTINCT request_id, stc FROM tiles WHERE ok),
+surg AS (SELECT sc.srt, BOOL_OR(grp = 'Surgery' OR days > 0) AS sc FROM sc JOIN bc USING (code) GROUP BY 1),
+l AS (SELECT c.request_id, c.srt, 'P' || (c.srt % 5) AS code, c.prim, c.srt % 29 <> 0 AND
+        (c.prim = '2' OR p.p_size % 6 = 0 OR COALESCE(surg.sc, FALSE)) OR c.srt % 29 = 0 AND c.prim = '2' AS surgical
+      FROM per_srt c JOIN part p ON p.p_partkey = c.srt LEFT JOIN surg ON surg.srt = c.srt),
+cents AS (SELECT rid, code, allowable FROM topn),
+t1 AS (SELECT rid, code, median(CAST(allowable AS DOUBLE)) AS m FROM cents GROUP BY 1, 2),
+t2 AS (SELECT rid, left(code, 1) AS fam, median(CAST(allowable AS DOUBLE)) AS m FROM cents GROUP BY 1, 2),
+t3 AS (SELECT rid, median(CAST(allowable AS DOUBLE)) AS m FROM cents GROUP BY 1),
+mine AS (SELECT r.request_id, 'P' || (f.claim_ref % 5) AS code, COUNT(*) AS n, MAX(v) AS mx, MIN(v) AS mn, AVG(CAST(v AS DOUBLE)) AS mean
+  FROM requests r JOIN (SELECT *, CASE WHEN member_id % 9 = 0 THEN 0 ELSE ROUND(pnr * CAST(0.001 AS DECIMAL(4,3)), 2) END AS v FROM facts) f
+  ON f.member_id = r.member_id AND {LOOKBACK_SQL.format(d='f.dos')} GROUP BY 1, 2),
+x0 AS (SELECT l.*, bt.copay, COALESCE(bt.pct, 0) AS pct, COALESCE(bt.ded, 0) AS ded, good.stc IS NOT NULL AS has_tile, mine.n, mine.mx, mine.mn, mine.mean,
+    CAST(FLOOR(COALESCE(t1.m, t2.m, t3.m) * 100 + 0.001) / 100 AS DECIMAL(12,2)) AS allowable
+  FROM l LEFT JOIN bt ON bt.request_id = l.request_id AND bt.stc = l.prim LEFT JOIN good ON good.request_id = l.request_id AND good.stc = l.prim
+  LEFT JOIN t1 ON t1.rid = l.request_id AND t1.code = l.code LEFT JOIN t2 ON t2.rid = l.request_id AND t2.fam = left(l.code, 1)
+  LEFT JOIN t3 ON t3.rid = l.request_id LEFT JOIN mine ON mine.request_id = l.request_id AND mine.code = l.code),
+x1 AS (SELECT *, CASE WHEN allowable IS NOT NULL THEN LEAST(allowable, ded) END AS d, COALESCE(n >= 2 AND mx = mn, FALSE) AS same FROM x0),
+x15 AS (SELECT *, COALESCE(copay, d + CAST(pct AS DECIMAL(9,4)) * (allowable - d)) AS owed FROM x1),
+x2 AS (SELECT *, CASE WHEN owed IS NOT NULL THEN ROUND(GREATEST(owed, 0), 2) END AS rule FROM x15),
+x3 AS (SELECT *, CASE WHEN same THEN mx ELSE rule END AS est, COALESCE(NOT (same AND mx = 0) AND ABS(mean - CAST(rule AS DOUBLE)) > 5
+    AND ABS(mean - CAST(rule AS DOUBLE)) > 0.25 * ABS(CAST(rule AS DOUBLE)), FALSE) AS dif FROM x2)
+SELECT request_id, srt AS srt_id, surgical AS is_surgical, has_tile AS has_primary_tile, CAST(CASE WHEN has_tile THEN est END AS DOUBLE) AS estimate,
+  CASE WHEN est IS NULL OR NOT has_tile THEN 0 WHEN dif THEN 1 ELSE 3 END AS conf_rank FROM x3""")
+def estimate_from_evidence(t):
+    """D18-D24 from real evidence: the line's chain, procedure context and tile, the group's ledger
+    without codes of the wrong class, and the member's own outcomes of the same code."""
+    ctx = r.srt_context(b.srt(t), b.srt_codes(t), b.billing_codes(t)).select("srt_id", "pos_code", "billing_codes")
+    lines = (chains(t).select("request_id", "srt_id", "primary").join(ctx, "srt_id", "left")
+             .withColumn("billing_codes", F.coalesce("billing_codes", F.array().cast(ctx.schema["billing_codes"].dataType)))
+             .withColumn("is_surgical", es.is_surgical()).drop("pos_code", "billing_codes")
+             .withColumn("procedurecode", F.concat(F.lit("P"), F.col("srt_id") % 5)))
+    reqs = b.requests(t).select("request_id", *GROUP_SCOPE, "asof")
+    ledger = _group_ledger(t, reqs)
+    # Peers of surgical and of other lines, each without the codes that say nothing about them.
+    classes = F.explode(F.array(F.lit(False), F.lit(True)))
+    peers = ledger.withColumn("is_surgical", classes).where(es.usable_evidence("procedurecode", "is_surgical"))
+    lines = es.tiered_allowable(lines.join(reqs, "request_id"), peers, [*GROUP_SCOPE, "asof", "is_surgical"], family_length=1).drop(*GROUP_SCOPE, "asof")
+    cents = (F.floor(F.col("peer_median") * 100 + 0.001) / 100).cast("decimal(12,2)")
+    cell = lambda code, value: F.max(F.when(F.col("code") == code, F.col(value)))
+    terms = e.tile_benefits(b.tiles(t)).groupBy("request_id", F.col("stc").alias("primary")).agg(
+        cell("B", "amount").alias("copay"), cell("A", "percent").alias("coins_pct"), cell("C", "amount").alias("tile_remaining"))
+    none = F.lit(None).cast("decimal(12,2)")
+    pnr = F.when(F.col("member_id") % 9 == 0, F.lit(0).cast("decimal(12,2)")).otherwise(
+        F.round(F.col("pnr") * F.lit("0.001").cast("decimal(4,3)"), 2).cast("decimal(12,2)"))
+    history = member_history(t, None).withColumns({"pnr": pnr, "procedurecode": F.concat(F.lit("P"), F.col("claim_ref") % 5)})
+    own = es.own_outcomes(history, ["request_id", "procedurecode"])
+    joined = (es.primary_tile_state(lines, b.tiles(t)).join(terms, ["request_id", "primary"], "left")
+              .join(own, ["request_id", "procedurecode"], "left")
+              .withColumns({"peer_median": cents, "own_allowable": none, "tile_rate": none, "market_allowable": none, "copay_mode": none,
+                            "copay_differs": F.lit(False), "oop_remaining": none, "spend": none, "spend_override": none,
+                            "base_rank": F.lit(es.HIGH), "is_split": F.lit(False)})
+              .withColumn("deductible_remaining", es.remaining_amount("spend", "spend_override", "tile_remaining")))
+    out = es.cap_confidence(es.estimate_cost_share(es.choose_allowable(joined)))
+    return as_double(out.select("request_id", "srt_id", "is_surgical", "has_primary_tile", "estimate", "conf_rank"), "estimate")
+
+
 @query("dto_digest", "SELECT doc_id, left(sha256(text), 16) AS digest FROM documents")
 def dto_digest(t):
     """D27 digest over whole texts."""

@@ -133,13 +133,15 @@ def eligibility_adapter(t):
     return b.tiles(t).drop("response")
 
 
-@query("tiles_flat", f"""WITH {TILES_SQL}
-SELECT request_id, 0 AS pos, '30' AS stc, n AS line_no, ['C', 'A', 'G'][n + 1] AS code,
+TILES_FLAT_SQL = """SELECT request_id, 0 AS pos, '30' AS stc, n AS line_no, ['C', 'A', 'G'][n + 1] AS code,
        CASE n WHEN 0 THEN CAST(v AS DOUBLE) END AS amount, CASE n WHEN 1 THEN 0.2 END AS percent
 FROM ev, (VALUES (0), (1), (2)) AS p(n) WHERE ty = 'view'
 UNION ALL SELECT request_id, 1, '98', 0, 'B', k, NULL FROM ev WHERE ty = 'view'
 UNION ALL SELECT request_id, 0, '30', 0, 'C', k + 0.5, NULL FROM ev WHERE ty = 'click'
-UNION ALL SELECT request_id, pos, CASE pos WHEN 0 THEN '30' ELSE '98' END, 0, 'B', CAST(v AS DOUBLE), NULL FROM own WHERE place = 4""")
+UNION ALL SELECT request_id, pos, CASE pos WHEN 0 THEN '30' ELSE '98' END, 0, 'B', CAST(v AS DOUBLE), NULL FROM own WHERE place = 4"""
+
+
+@query("tiles_flat", f"WITH {TILES_SQL} {TILES_FLAT_SQL}")
 def tiles_flat(t):
     """D17."""
     return as_double(e.tile_benefits(b.tiles(t)).drop("period", "level"), "amount", "percent")
