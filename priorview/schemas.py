@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Column order and types of the stored result rows.
 RESULT_COLUMNS: tuple[tuple[str, str], ...] = (
@@ -23,10 +22,6 @@ RESULT_COLUMNS: tuple[tuple[str, str], ...] = (
 LATER_COLUMNS = ("sampling_stratum", "inclusion_probability", "sampling_reason", "caller_request_type",
                  "pricer_version", "pricer_commit_url", "eligibility_source")
 
-RESULT_DDL = ", ".join(f"{name} {kind}" for name, kind in RESULT_COLUMNS)
-
-INSURANCE_DDL = ("struct<memberId:string,payer:string,planName:string,state:string,groupNumber:string,"
-                 "insuredFirstName:string,insuredLastName:string>")
 HRT_DDL = "array<struct<hrtId:double,srtIds:array<double>>>"
 # Keys of a price's source breakdown, as model answers carry them.
 BREAKDOWN_KEYS = ("stedi", "ownHistoricals", "groupHistoricals", "webSearch", "allowableSource")
@@ -38,10 +33,6 @@ CONFIDENCE_LEVELS = ("HIGH", "MEDIUM", "LOW", "UNABLE_TO_PRICE")
 UNABLE = "UNABLE_TO_PRICE"
 
 
-def result_schema() -> T.StructType:
-    return T.StructType.fromDDL(RESULT_DDL)
-
-
 def as_result_rows(df: DataFrame) -> DataFrame:
     """The result columns in order and type; absent ones become NULL."""
     have = set(df.columns)
