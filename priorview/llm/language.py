@@ -19,7 +19,7 @@ WORDS = 50_000        # most words of a language in a model
 LONGEST = 5           # letters of the longest n-gram
 MIX = 0.01            # share of the mean over the languages in each frequency
 EVIDENCE = 25         # words that a score counts at most
-CACHE = 300_000       # chunks of text that a Python worker remembers
+CACHE = 500_000       # chunks of text that a Python worker remembers
 UNKNOWN = "und"
 
 
@@ -35,11 +35,13 @@ def _grams(marked: str, size: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Per-language logarithms of relative frequency, of words and of n-grams."""
+    """Per-language logarithms of relative frequency, of words and of n-grams: a row of `logs` for
+    each, and the dictionaries that find it."""
 
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)  # by length, the longest first
+    logs: np.ndarray | None = None
+    words: dict[str, int] = field(default_factory=dict)
+    grams: list[dict[str, int]] = field(default_factory=list)  # by length, the longest first
 
     @classmethod
     def of(cls, rows: list[tuple[str, str, int]], longest: int = LONGEST) -> Model:
@@ -47,35 +49,45 @@ class Model:
         like the many rare ones, not like the few frequent ones."""
         languages = sorted({r[0] for r in rows})
         at = {x: k for k, x in enumerate(languages)}
+        words, grams = {}, [{} for _ in range(longest)]
+        counts: dict[int, list] = {}
+        keys: list[dict[str, int]] = [words, *grams]
 
-        def logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-            # Relative frequencies, mixed with a little of their mean over the languages: the
-            # sizes of the languages' samples cancel out, and no single word decides alone.
-            total = np.maximum(sum(counts.values(), np.zeros(len(languages))), 1)
-            return {x: np.log((1 - MIX) * c / total + MIX * (c / total).mean()) for x, c in counts.items()}
+        def add(keyed: dict[str, int], key: str, language: int, n: int) -> None:
+            row = keyed.setdefault(key, len(counts))
+            counts.setdefault(row, [0] * len(languages))[language] += n
 
-        zero = lambda: np.zeros(len(languages))
-        words, grams = defaultdict(zero), [defaultdict(zero) for _ in range(longest)]
         for language, word, n in rows:
-            words[word][at[language]] += n
+            add(words, word, at[language], n)
             marked = f"^{word}$"
-            for k, counts in enumerate(grams):
-                size = longest - k
-                for g in set(_grams(marked, size)):
-                    counts[g][at[language]] += 1
-        return cls(languages, logs(words), [logs(g) for g in grams])
-
-    def word(self, word: str) -> np.ndarray:
-        """A known word's logarithms; else the mean over its known n-grams of the greatest
-        length at which it has any; else zeros."""
-        if (known := self.words.get(word)) is not None:
-            return known
+            for k, keyed in enumerate(grams):
+                for g in set(_grams(marked, longest - k)):
+                    add(keyed, g, at[language], 1)
+        table = np.array([counts[k] for k in range(len(counts))], np.float64).reshape(len(counts), len(languages))
+        for keyed in keys:
+            # Relative frequencies, mixed with a little of their mean over the languages: the
+            # sizes of the languages' samples cancel out, and no single word decides alone.
+            own = np.fromiter(keyed.values(), np.int64, len(keyed))
+            share = table[own] / np.maximum(table[own].sum(0), 1)
+            table[own] = np.log((1 - MIX) * share + MIX * share.mean(1, keepdims=True)) if len(own) else 0
+        return cls(languages, table.astype(np.float32), words, grams)
+
+    def rows(self, word: str) -> list[int]:
+        """A known word's row; else those of its known n-grams of the greatest length at which it
+        has any, whose mean is the word's score; else none."""
+        known = self.words.get(word)
+        if known is not None:
+            return [known]
         marked = f"^{word}$"
         for k, grams in enumerate(self.grams):
             found = [grams[g] for g in _grams(marked, len(self.grams) - k) if g in grams]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                return found
+        return []
+
+    def word(self, word: str) -> np.ndarray:
+        found = self.rows(word)
+        return self.logs[found].mean(0) if found else np.zeros(len(self.languages))
 
 
 class Scorer:
@@ -90,18 +102,29 @@ class Scorer:
         self.rows = np.zeros((1024, len(self.model.languages) + 1), np.float32)  # last column: number of words
 
     def _learn(self, chunks: list[str]) -> None:
-        while len(self.index) + len(chunks) > len(self.rows):
+        base = len(self.index)
+        while base + len(chunks) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for chunk in chunks:
-            words = words_of(chunk)
-            row = self.rows[len(self.index)]
-            row[:] = 0
+        self.rows[base:base + len(chunks)] = 0
+        rows, weights, owners = [], [], []
+        for k, chunk in enumerate(chunks):
+            words = [chunk] if chunk.isalpha() else words_of(chunk)
             for w in words:
-                row[:-1] += self.model.word(w)
-            row[-1] = len(words)
-            self.index[chunk] = len(self.index)
+                found = self.model.rows(w)
+                rows += found
+                weights += [1 / len(found)] * len(found) if found else []
+                owners += [k] * len(found)
+            self.rows[base + k, -1] = len(words)
+            self.index[chunk] = base + k
+        if rows:
+            part = self.model.logs[rows] * np.array(weights, np.float32)[:, None]
+            owners = np.array(owners)
+            first = np.nonzero(np.diff(owners, prepend=-1))[0]
+            self.rows[base + owners[first], :-1] = np.add.reduceat(part, first, axis=0)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
+        if not self.model.languages:
+            return UNKNOWN, 0.0
         total = np.zeros(len(self.model.languages) + 1)
         chunks = (text or "").lower().split()
         for at in range(0, len(chunks), 100_000):
@@ -115,7 +138,7 @@ class Scorer:
                 where = np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))
             total += self.rows[where].sum(0, dtype=np.float64)
         n = total[-1]
-        if not n or not self.model.languages:
+        if not n:
             return UNKNOWN, 0.0
         score = total[:-1] / n * min(n, EVIDENCE)
         best = int(np.argmax(score))

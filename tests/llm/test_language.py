@@ -36,11 +36,10 @@ def test_no_labels_and_empty(spark):
 
 def test_word_first_then_shorter_grams():
     model = language.Model.of([("a", "hello", 3), ("b", "jelly", 1)])
-    assert model.word("hello") is model.words["hello"]
-    longest = [g for g in ("^hell", "hello", "ello$") if g in model.grams[0]]
-    assert np.allclose(model.word("ehello"), np.mean([model.grams[0][g] for g in longest[1:]], axis=0))
-    short = [model.grams[3][g] for g in ("xh", "hx", "^x", "x$") if g in model.grams[3]]
-    assert not short and np.allclose(model.word("xhx"), model.grams[4]["h"])
+    row = lambda size, g: model.logs[model.grams[language.LONGEST - size][g]]
+    assert np.allclose(model.word("hello"), model.logs[model.words["hello"]])
+    assert np.allclose(model.word("ehello"), np.mean([row(5, "hello"), row(5, "ello$")], axis=0))
+    assert np.allclose(model.word("xhx"), row(1, "h"))
     assert not language.Model(["a"]).word("x").any()
 
 
