@@ -185,7 +185,8 @@ def _ranked(items: DataFrame) -> DataFrame:
 
 
 def pack(items: DataFrame, limit: int = 4096) -> DataFrame:
-    """Items with a positive `length` of at most `limit` -> the same with sequence_id and offset.
+    """Items with a positive `length` of at most `limit` -> the same with sequence_id and offset. The
+    names slice, inner, before and rank must be free.
 
     Sequences are gapless from offset 0 and hold at most `limit`. The histogram has at most
     `limit` rows; it alone goes to the driver, which plans on it. The plan's slots go back to
