@@ -16,10 +16,11 @@ from .components import connected, forest
 
 SEED = 42      # fixed value: the hash seed of a shingle
 TILE = 2048    # most fingerprints of a tile
+SET_TILE = 256  # the same where fingerprints carry their shingle sets
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
+def fingerprint(text: str | None, shingle: int, seed: int = SEED) -> int:
     """64-bit SimHash of the word shingles, as a signed integer; zero without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -30,7 +31,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
     start = end - size
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in
+    hashes = np.array([digest(joined[a:b], seed) for a, b in
                        zip(start[:len(words) - k + 1].tolist(), end[k - 1:].tolist())], np.uint64)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
@@ -110,14 +111,14 @@ def _stars(batches, radius: int):
 def _tiles(fps: DataFrame, masks: list[int], radius: int, tile: int) -> list[DataFrame]:
     """Rows (a, b) of tiles to be compared (b null: the tile with itself) such that all pairs of
     distinct `fp` that are equal under a mask and within the radius meet. Tiles are arrays of
-    fp, or of (fp, label) if fps has a label.
+    fp, or of structs if fps has more columns.
 
     Fingerprints are grouped by the bits under each mask; a group of up to `tile` is compared
     whole. A larger one is cut into tiles by population count and a hash; pairs of tiles whose
     counts differ beyond the radius are skipped, and the others are separate rows, so no task
     holds more than two tiles at once.
     """
-    item = F.struct("fp", "label") if "label" in fps.columns else F.col("fp")
+    item = F.struct(*fps.columns) if len(fps.columns) > 1 else F.col("fp")
     keyed = stored(fps.select(*fps.columns, F.bit_count("fp").cast("int").alias("ones"),
                        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")),
                    "simhash-keys")
@@ -219,30 +220,84 @@ def _nearest(batches, radius: int):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "other", "apart"])
 
 
-def _across(batches, radius: int):
-    """Rows (a, b) of two tiles of (fp, label) -> (fp, other): each fingerprint and its nearest one
-    of every other label within the radius."""
+def _unsettled(batches, radius: int):
+    """Rows (a, b) of two tiles of (fp, label, again) -> each fp that has one of another label in
+    reach by both fingerprints."""
+    for batch in batches:
+        out = []
+        for row in range(batch.num_rows):
+            a, la, ra = _fields(batch.column(0)[row], 3)
+            b, lb, rb = _fields(batch.column(1)[row], 3) or (a, la, ra)
+            strip = max(1, (1 << 20) // max(1, len(b)))
+            for at in range(0, len(a), strip):
+                near = (np.bitwise_count(a[at:at + strip, None] ^ b[None, :]) <= radius) & (la[at:at + strip, None] != lb[None, :])
+                near &= np.bitwise_count(ra[at:at + strip, None] ^ rb[None, :]) <= radius + 2
+                out += [a[at:at + strip][near.any(1)], b[near.any(0)]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["fp"])
+
+
+def _fields(tile: pa.ListScalar, n: int) -> list[np.ndarray] | None:
+    return [tile.values.field(k).to_numpy(zero_copy_only=False) for k in range(n)] if tile.is_valid else None
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets, each of a with each of b: products of 0/1 matrices over
+    strips of the values."""
+    values, at = np.unique(np.concatenate(a + b), return_inverse=True)
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in a + b])
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    width = 1 << 14
+    for low in range(0, len(values), width):
+        lo, hi = np.searchsorted(at, [low, low + width])
+        held = np.zeros((len(a) + len(b), min(width, len(values) - low)), np.float32)
+        held[owner[lo:hi], at[lo:hi] - low] = 1
+        out += held[:len(a)] @ held[len(a):].T
+    return out
+
+
+def _settled(batches, radius: int, similarity: float):
+    """Rows (a, b) of two tiles of (fp, label, set) -> edges that connect what pairs of different
+    labels in reach and of enough similarity connect, at most one for each fingerprint."""
     for batch in batches:
         us, vs = [], []
         for row in range(batch.num_rows):
-            lists = [batch.column(k)[row] for k in range(2)]
-            a = [lists[0].values.field(k).to_numpy(zero_copy_only=False) for k in range(2)]
-            b = [lists[1].values.field(k).to_numpy(zero_copy_only=False) for k in range(2)] if lists[1].is_valid else a
-            strip = max(1, (1 << 20) // max(1, len(b[0])))
-            for at in range(0, len(a[0]), strip):
-                own, label = a[0][at:at + strip], a[1][at:at + strip]
-                apart = np.bitwise_count(own[:, None] ^ b[0][None, :])
-                i, j = np.nonzero((apart <= radius) & (label[:, None] != b[1][None, :]))
-                order = np.lexsort((apart[i, j], b[1][j], i))
-                i, j = i[order], j[order]
-                first = np.ones(len(i), bool)
-                first[1:] = (i[1:] != i[:-1]) | (b[1][j][1:] != b[1][j][:-1])
-                us.append(own[i[first]])
-                vs.append(b[0][j[first]])
+            tiles = [batch.column(k)[row] for k in range(2)]
+            tiles[1] = tiles[1] if tiles[1].is_valid else tiles[0]
+            (a, la), (b, lb) = (_fields(t, 2) for t in tiles)
+            near = (np.bitwise_count(a[:, None] ^ b[None, :]) <= radius) & (la[:, None] != lb[None, :])
+            i, j = np.nonzero(near.any(1))[0], np.nonzero(near.any(0))[0]
+            if not len(i):
+                continue
+            sets = [[t.values.field(2)[int(k)].values.to_numpy() for k in own] for t, own in zip(tiles, (i, j), strict=True)]
+            both = _shared(*sets)
+            size = [np.array([len(x) for x in own], np.float32) for own in sets]
+            alike = both >= similarity * (size[0][:, None] + size[1][None, :] - both) - 1e-3
+            x, y = np.nonzero(alike & near[np.ix_(i, j)])
+            points = np.concatenate([a[i], b[j]])
+            points, place = np.unique(points, return_inverse=True)
+            root = forest(len(points), place[x], place[len(i) + y])
+            moved = np.nonzero(root != np.arange(len(points)))[0]
+            us.append(points[moved])
+            vs.append(points[root[moved]])
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["fp", "other"])
 
 
+def _with_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(fp, label, text) -> (fp, label, set): the shingles' 32-bit hashes, each once."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(np.array([xxhash.xxh32_intdigest(x, SEED) for x in shingle_set(t.as_py(), shingle)], np.uint32)).view(np.int32)
+                    for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int32()))], ["fp", "label", "set"])
+
+    return texts.select("fp", "label", "text").mapInArrow(run, "fp long, label long, set array<int>")
+
+
 def shingle_set(text: str | None, shingle: int) -> set[bytes]:
     """The distinct shingles; all words of a shorter text are one; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -277,17 +332,27 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     in radius - 1 bits meet with probability `recall`, nearer ones sooner. Tiles are compared
     as for `links`. First each fingerprint's nearest link and its nearest to a smaller one are
     verified on the whole texts, two at most whatever the size of its group; that joins nearly
-    all of a group. Then so is every fingerprint's nearest link to each other group in reach, so
-    that no link between groups is left out. Exact copies always belong together, and so do texts without words. Null texts
+    all of a group. Fingerprints that still have one of another group in reach, by a second fingerprint
+    of other hashes too (within radius + 2; it rules out chance), are then compared in
+    tiles that hold their shingle sets, which settles every such pair inside a task; what comes
+    out is a spanning forest. Exact copies always belong together, and so do texts without words. Null texts
     are empty, null ids are kept, other columns are not read, an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
     keyed = own.withColumn("pair", F.struct("key", "id"))
-    marked = stored(with_fingerprints(keyed, "pair", "text", shingle).select("id.*", "fp").distinct(), "similar-fps")
-    texts = marked.groupBy("key").agg(F.first("fp").alias("fp"), F.min("id").alias("first"))
+    def two(batches):
+        for batch in batches:
+            found = [[fingerprint(t.as_py(), shingle, SEED + k) for t in batch.column(1)] for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f, pa.int64()) for f in found)], ["pair", "fp", "again"])
+
+    kind = keyed.schema["pair"].dataType.simpleString()
+    marked = keyed.select("pair", "text").mapInArrow(two, f"pair {kind}, fp long, again long")
+    marked = stored(marked.select("pair.*", "fp", "again").distinct(), "similar-fps")
+    texts = marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("again").alias("again"), F.min("id").alias("first"))
     texts = stored(texts, "similar-texts")
-    fps = stored(texts.groupBy("fp").agg(F.min("key").alias("low")), "similar-distinct")
+    fps = texts.groupBy("fp").agg(F.min(F.struct("key", "again")).alias("low"))
+    fps = stored(fps.select("fp", F.col("low.key").alias("low"), "low.again"), "similar-distinct")
     masks = _sampled_masks(fps.count(), radius - 1, recall)
     run = lambda batches: _nearest(batches, radius)
     kinds = "fp long, other long, apart int"
@@ -302,25 +367,31 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def keys(found: DataFrame) -> DataFrame:
         return found.join(fps, "fp").join(low, "other").select(F.col("low").alias("u"), "v")
 
-    def edges(pairs: DataFrame) -> DataFrame:
-        # The texts of the pairs, one row of each: that of the smallest id.
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(texts, "key").select("key", "first")
-        bodies = own.join(nodes, "key").where(F.col("id").eqNullSafe(F.col("first"))).select("key", "text")
-        return stored(_verified(pairs, bodies, shingle, similarity), "similar-edges")
+    def bodies(keys: DataFrame) -> DataFrame:
+        # The texts of keys, one row of each: that of the smallest id.
+        nodes = keys.join(texts, "key").select("key", "first")
+        return own.join(nodes, "key").where(F.col("id").eqNullSafe(F.col("first"))).select("key", "text")
 
     ordered = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
-    within = texts.join(fps, "fp").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v"))
+    within = texts.join(fps.drop("again"), "fp").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v"))
     pairs = stored(keys(first).unionAll(within).select(*ordered).distinct(), "similar-pairs")
-    sure = edges(pairs)
-    # What the nearest links leave apart: every two groups with members in reach of each other.
-    roots = connected(sure)
-    label = (best.select("fp").join(fps, "fp").join(roots.withColumnRenamed("node", "low"), "low", "left")
-             .select("fp", F.xxhash64(F.coalesce("root", "low")).alias("label")))
-    run2 = lambda batches: _across(batches, radius)
-    whole, split = _tiles(label, masks, radius, tile)
-    more = whole.mapInArrow(run2, "fp long, other long").unionAll(split.mapInArrow(run2, "fp long, other long")).distinct()
-    more = stored(keys(more).select(*ordered).distinct().join(pairs, ["u", "v"], "left_anti"), "similar-pairs")
-    roots = connected(sure.unionAll(edges(more)))
+    ends = bodies(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
+    roots = connected(_verified(pairs, ends, shingle, similarity))
+
+    # What the nearest links leave apart: fingerprints of different groups in reach of each
+    # other. They carry their sets and are compared tile by tile, so no pair leaves a task.
+    label = stored(best.select("fp").join(fps, "fp").join(roots.withColumnRenamed("node", "low"), "low", "left")
+                   .select("fp", "low", "again", F.xxhash64(F.coalesce("root", "low")).alias("label")), "similar-labels")
+    look = lambda batches: _unsettled(batches, radius)
+    whole, split = _tiles(label.select("fp", "label", "again"), masks, radius, tile)
+    open_ = stored(whole.mapInArrow(look, "fp long").unionAll(split.mapInArrow(look, "fp long")).distinct().join(label, "fp"), "similar-open")
+    sets = _with_sets(open_.join(bodies(open_.select(F.col("low").alias("key"))).withColumnRenamed("key", "low"), "low"), shingle)
+    settle = lambda batches: _settled(batches, radius, similarity)
+    masks = _sampled_masks(open_.count(), radius - 1, recall)
+    whole, split = _tiles(stored(sets, "similar-sets"), masks, radius, min(tile, SET_TILE))
+    more = whole.mapInArrow(settle, "fp long, other long").unionAll(split.mapInArrow(settle, "fp long, other long"))
+    stars = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = connected(stars.unionAll(keys(more.distinct()).select("u", "v")))
     return (marked.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left")
             .select("key", "id", F.coalesce("root", "key").alias("root")))
 
