@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, comb, log, log2
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ SEED = 42      # fixed value: the hash seed of a shingle
 TILE = 2048    # most fingerprints of a tile
 SET_TILE = 256  # the same where fingerprints carry their shingle sets
 BITS = 64
+WIDTH = 1024    # parity bits of a shingle set
+SAMPLE, COMMON = 32_768, 200_000  # texts in which common shingles are counted, and most of these
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = SEED) -> int:
@@ -118,10 +120,15 @@ def _tiles(fps: DataFrame, masks: list[int], radius: int, tile: int) -> list[Dat
     counts differ beyond the radius are skipped, and the others are separate rows, so no task
     holds more than two tiles at once.
     """
-    item = F.struct(*fps.columns) if len(fps.columns) > 1 else F.col("fp")
     keyed = stored(fps.select(*fps.columns, F.bit_count("fp").cast("int").alias("ones"),
                        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")),
                    "simhash-keys")
+    return _met(keyed, fps.columns, radius, tile)
+
+
+def _met(keyed: DataFrame, columns: list[str], radius: int, tile: int) -> list[DataFrame]:
+    """The tiles of rows (columns, mask, key, ones) that share mask and key, as `_tiles` has them."""
+    item = F.struct(*columns) if len(columns) > 1 else F.col("fp")
     counts = keyed.groupBy("mask", "key", "ones").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("mask", "key").agg(F.sum("n").alias("total")).where("total > 1")
 
@@ -180,65 +187,89 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("id", "fp", "component")
 
 
-def _sampled_masks(n: int, differing: int, recall: float, seed: int = 9) -> list[int]:
-    """Random masks, with as many bits as leave about 64 of n fingerprints to a group, and as
-    many of them as let two fingerprints with so many differing bits meet with the given
-    probability."""
-    bits = min(28, max(8, ceil(log2(max(n, 1) / 64))))
-    meet = comb(BITS - differing, bits) / comb(BITS, bits)
-    rng, masks = np.random.default_rng(seed), []
-    for _ in range(ceil(log(1 - recall) / log(1 - meet))):
-        m = sum(1 << int(k) for k in rng.choice(BITS, bits, replace=False))
-        masks.append(m - (1 << BITS) if m >> (BITS - 1) else m)
-    return masks
+def shingle_set(text: str | None, shingle: int) -> set[bytes]:
+    """The distinct shingles; all words of a shorter text are one; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k = min(shingle, len(words))
+    return {b" ".join(words[j:j + k]) for j in range(len(words) - k + 1)} if k else set()
+
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes, sorted."""
+    found = shingle_set(text, shingle)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, len(found)))
+
+
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """The parity of the number of hashes at each of WIDTH places."""
+    count = np.bincount((hashes % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
+def _prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The first hashes in the order of weight (zero where not common) and hash, so many that sets
+    of that similarity share one of them."""
+    n = len(hashes)
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    own = np.where(common[at] == hashes, weight[at], 0) if len(common) else np.zeros(n, np.int64)
+    return hashes[np.lexsort((hashes, own))[:n - ceil(similarity * n - 1e-9) + 1 if n else 0]]
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several texts of a sample hold, sorted, and how many texts do. They
+    only set the order of shingles, so the sample and the limit change the work, never the result."""
+    every = max(1, ceil(texts.count() / SAMPLE))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(0)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["hash"])
+
+    counts = some.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("n").to_numpy()[order]
+
+
+def _words(bits: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, WIDTH // 64)
 
-def _nearest(batches, radius: int):
-    """Rows (a, b) of two tiles -> (fp, other, apart): for each fingerprint its nearest one, and
-    its nearest among the smaller ones, where these are within the radius."""
-    far = np.uint8(255)
-    for batch in batches:
-        out = []
-        for row in range(batch.num_rows):
-            lists = [batch.column(k)[row] for k in range(2)]
-            a = lists[0].values.to_numpy(zero_copy_only=False)
-            b = lists[1].values.to_numpy(zero_copy_only=False) if lists[1].is_valid else a
-            for x, y in [(a, b)] if b is a else [(a, b), (b, a)]:
-                strip = max(1, (1 << 20) // max(1, len(y)))
-                for at in range(0, len(x), strip):
-                    own = x[at:at + strip]
-                    apart = np.bitwise_count(own[:, None] ^ y[None, :])
-                    apart = np.where((apart > radius) | (own[:, None] == y[None, :]), far, apart)
-                    for look in (apart, np.where(y[None, :] < own[:, None], apart, far)):
-                        best = look.argmin(1)
-                        least = look[np.arange(len(own)), best]
-                        hit = np.nonzero(least < far)[0]
-                        if len(hit):
-                            out.append((own[hit], y[best[hit]], least[hit].astype(np.int32)))
-        if out:
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "other", "apart"])
 
+def _possible(a: tuple, b: tuple, similarity: float) -> np.ndarray:
+    """Whether sets of (size, bitmap) can be of that similarity, each of a with each of b. Sets
+    with so many differing bits differ in as many shingles or more, so none is ruled out wrongly."""
+    differ = np.zeros((len(a[0]), len(b[0])), np.int64)
+    for k in range(WIDTH // 64):
+        differ += np.bitwise_count(a[1][:, None, k] ^ b[1][None, :, k])
+    total = a[0][:, None].astype(np.int64) + b[0][None, :]
+    differ = np.maximum(differ, np.abs(a[0][:, None].astype(np.int64) - b[0][None, :]))
+    return (total - differ) >= similarity * (total + differ) - 1e-6
 
-def _unsettled(batches, radius: int):
-    """Rows (a, b) of two tiles of (fp, label, again) -> each fp that has one of another label in
-    reach by both fingerprints."""
+
+def _unsettled(batches, similarity: float):
+    """Rows (a, b) of two tiles of (fp, label, size, bits, token) -> (fp, token) of each fp that may
+    be similar to one of another label."""
     for batch in batches:
         out = []
         for row in range(batch.num_rows):
-            a, la, ra = _fields(batch.column(0)[row], 3)
-            b, lb, rb = _fields(batch.column(1)[row], 3) or (a, la, ra)
-            strip = max(1, (1 << 20) // max(1, len(b)))
-            for at in range(0, len(a), strip):
-                near = (np.bitwise_count(a[at:at + strip, None] ^ b[None, :]) <= radius) & (la[at:at + strip, None] != lb[None, :])
-                near &= np.bitwise_count(ra[at:at + strip, None] ^ rb[None, :]) <= radius + 2
-                out += [a[at:at + strip][near.any(1)], b[near.any(0)]]
+            a, b = (batch.column(k)[row] for k in range(2))
+            a, b = a.values, (b if b.is_valid else a).values
+            (fa, la, sa), (fb, lb, sb) = ([t.field(k).to_numpy(zero_copy_only=False) for k in range(3)] for t in (a, b))
+            wa, wb, token = _words(a.field(3)), _words(b.field(3)), a.field(4)[0].as_py()
+            strip = max(1, (1 << 18) // max(1, len(fb)))
+            seen = np.zeros(len(fb), bool)
+            for at in range(0, len(fa), strip):
+                cut = slice(at, at + strip)
+                near = (la[cut, None] != lb[None, :]) & _possible((sa[cut], wa[cut]), (sb, wb), similarity)
+                out.append((fa[cut][near.any(1)], token))
+                seen |= near.any(0)
+            out.append((fb[seen], token))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["fp"])
-
-
-def _fields(tile: pa.ListScalar, n: int) -> list[np.ndarray] | None:
-    return [tile.values.field(k).to_numpy(zero_copy_only=False) for k in range(n)] if tile.is_valid else None
+            fps, tokens = np.concatenate([f for f, _ in out]), np.repeat(np.array([t for _, t in out], np.int64), [len(f) for f, _ in out])
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(tokens)], ["fp", "token"])
 
 
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -258,51 +289,29 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _settled(batches, radius: int, similarity: float):
+def _settled(batches, similarity: float):
     """Rows (a, b) of two tiles of (fp, label, set) -> edges that connect what pairs of different
-    labels in reach and of enough similarity connect, at most one for each fingerprint."""
+    labels and of enough similarity connect, at most one for each fp."""
     for batch in batches:
         us, vs = [], []
         for row in range(batch.num_rows):
             tiles = [batch.column(k)[row] for k in range(2)]
             tiles[1] = tiles[1] if tiles[1].is_valid else tiles[0]
-            (a, la), (b, lb) = (_fields(t, 2) for t in tiles)
-            near = (np.bitwise_count(a[:, None] ^ b[None, :]) <= radius) & (la[:, None] != lb[None, :])
-            i, j = np.nonzero(near.any(1))[0], np.nonzero(near.any(0))[0]
-            if not len(i):
-                continue
-            sets = [[t.values.field(2)[int(k)].values.to_numpy() for k in own] for t, own in zip(tiles, (i, j), strict=True)]
+            (a, la), (b, lb) = ([t.values.field(k).to_numpy(zero_copy_only=False) for k in range(2)] for t in tiles)
+            sets = [[x.values.to_numpy() for x in t.values.field(2)] for t in tiles]
+            size = [np.array([len(x) for x in own], np.float64) for own in sets]
             both = _shared(*sets)
-            size = [np.array([len(x) for x in own], np.float32) for own in sets]
-            alike = both >= similarity * (size[0][:, None] + size[1][None, :] - both) - 1e-3
-            x, y = np.nonzero(alike & near[np.ix_(i, j)])
-            points = np.concatenate([a[i], b[j]])
-            points, place = np.unique(points, return_inverse=True)
-            root = forest(len(points), place[x], place[len(i) + y])
+            alike = both >= similarity * (size[0][:, None] + size[1][None, :] - both) - 1e-6
+            x, y = np.nonzero(alike & (la[:, None] != lb[None, :]))
+            if not len(x):
+                continue
+            points, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = forest(len(points), place[x], place[len(a) + y])
             moved = np.nonzero(root != np.arange(len(points)))[0]
             us.append(points[moved])
             vs.append(points[root[moved]])
         if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["fp", "other"])
-
-
-def _with_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(fp, label, text) -> (fp, label, set): the shingles' 32-bit hashes, each once."""
-
-    def run(batches):
-        for batch in batches:
-            sets = [np.unique(np.array([xxhash.xxh32_intdigest(x, SEED) for x in shingle_set(t.as_py(), shingle)], np.uint32)).view(np.int32)
-                    for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int32()))], ["fp", "label", "set"])
-
-    return texts.select("fp", "label", "text").mapInArrow(run, "fp long, label long, set array<int>")
-
-
-def shingle_set(text: str | None, shingle: int) -> set[bytes]:
-    """The distinct shingles; all words of a shorter text are one; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    k = min(shingle, len(words))
-    return {b" ".join(words[j:j + k]) for j in range(len(words) - k + 1)} if k else set()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -317,83 +326,109 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
                     keep.append(k)
             yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
-    both = (pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("text_u")), "u")
-            .join(texts.select(F.col("key").alias("v"), F.col("text").alias("text_v")), "v"))
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u string, v string")
+    both = (pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("text_u")), "u")
+            .join(texts.select(F.col("fp").alias("v"), F.col("text").alias("text_v")), "v"))
+    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                      similarity: float = 0.8, radius: int = 13, recall: float = 0.9, tile: int = TILE) -> DataFrame:
+                      similarity: float = 0.8, tile: int = TILE) -> DataFrame:
     """(key, id, root): each distinct pair of text (by its MD5) and id, and the key of its group.
 
     Texts with a Jaccard similarity of `similarity` between their sets of word shingles belong
-    together. SimHash proposes, the sets decide. Fingerprints of such texts differ in more bits
-    than exact blocks can serve, so the masks under which they meet are sampled: two that differ
-    in radius - 1 bits meet with probability `recall`, nearer ones sooner. Tiles are compared
-    as for `links`. First each fingerprint's nearest link and its nearest to a smaller one are
-    verified on the whole texts, two at most whatever the size of its group; that joins nearly
-    all of a group. Fingerprints that still have one of another group in reach, by a second fingerprint
-    of other hashes too (within radius + 2; it rules out chance), are then compared in
-    tiles that hold their shingle sets, which settles every such pair inside a task; what comes
-    out is a spanning forest. Exact copies always belong together, and so do texts without words. Null texts
-    are empty, null ids are kept, other columns are not read, an empty table gives no rows.
+    together, and none is missed. A set is named by a 64-bit hash of its shingles' hashes; texts
+    of equal sets are one. Under any order of all shingles, two similar sets share one of their
+    first ones (a fifth of each, for 0.8), so sets meet under those; rare shingles come first,
+    which keeps the groups small. First each set is verified, on the whole texts, against at
+    most two of the smallest sets that it meets, which joins nearly all of a group. Sets that
+    still meet one of another group, and that their sizes and the parities of their shingles do
+    not rule out, are then compared in tiles that hold the sets, which settles every such pair
+    inside a task; what comes out is a spanning forest. Exact copies always belong together, and
+    so do texts without words. Null texts are empty, null ids are kept, other columns are not
+    read, an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
     keyed = own.withColumn("pair", F.struct("key", "id"))
-    def two(batches):
+    held = docs.sparkSession.sparkContext.broadcast(_common(own, shingle))
+
+    def read(batches):
         for batch in batches:
-            found = [[fingerprint(t.as_py(), shingle, SEED + k) for t in batch.column(1)] for k in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f, pa.int64()) for f in found)], ["pair", "fp", "again"])
+            sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(1)]
+            names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            first = [_prefix(s, similarity, *held.value).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names), pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array([_bitmap(s) for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["pair", "fp", "size", "bits", "first"])
 
     kind = keyed.schema["pair"].dataType.simpleString()
-    marked = keyed.select("pair", "text").mapInArrow(two, f"pair {kind}, fp long, again long")
-    marked = stored(marked.select("pair.*", "fp", "again").distinct(), "similar-fps")
-    texts = marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("again").alias("again"), F.min("id").alias("first"))
-    texts = stored(texts, "similar-texts")
-    fps = texts.groupBy("fp").agg(F.min(F.struct("key", "again")).alias("low"))
-    fps = stored(fps.select("fp", F.col("low.key").alias("low"), "low.again"), "similar-distinct")
-    masks = _sampled_masks(fps.count(), radius - 1, recall)
-    run = lambda batches: _nearest(batches, radius)
-    kinds = "fp long, other long, apart int"
-    whole, split = _tiles(fps.select("fp"), masks, radius, tile)
-    found = whole.mapInArrow(run, kinds).unionAll(split.mapInArrow(run, kinds))
-    near = F.struct("apart", "other")
-    best = found.groupBy("fp").agg(F.min(near).alias("any"), F.min(F.when(F.col("other") < F.col("fp"), near)).alias("less"))
-    best = stored(best, "similar-nearest")
-    first = best.select("fp", F.explode(F.array_distinct(F.array("any.other", "less.other"))).alias("other")).where("other is not null")
-    low = fps.select(F.col("fp").alias("other"), F.col("low").alias("v"))
-
-    def keys(found: DataFrame) -> DataFrame:
-        return found.join(fps, "fp").join(low, "other").select(F.col("low").alias("u"), "v")
-
-    def bodies(keys: DataFrame) -> DataFrame:
-        # The texts of keys, one row of each: that of the smallest id.
-        nodes = keys.join(texts, "key").select("key", "first")
-        return own.join(nodes, "key").where(F.col("id").eqNullSafe(F.col("first"))).select("key", "text")
-
-    ordered = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
-    within = texts.join(fps.drop("again"), "fp").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v"))
-    pairs = stored(keys(first).unionAll(within).select(*ordered).distinct(), "similar-pairs")
-    ends = bodies(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
+    marked = keyed.select("pair", "text").mapInArrow(read, f"pair {kind}, fp long, size int, bits binary, first array<long>")
+    marked = stored(marked, "similar-fps")
+    sets = stored(marked.groupBy("fp").agg(F.min("pair").alias("pair"), F.first("size").alias("size"), F.first("bits").alias("bits"),
+                                           F.first("first").alias("first")), "similar-sets")
+    about = sets.select("fp", "size", "bits")
+
+    def bodies(fps: DataFrame) -> DataFrame:
+        # The texts of sets, one of each: that of the smallest MD5 and id.
+        nodes = fps.join(sets, "fp").select("fp", "pair.key", F.col("pair.id").alias("first"))
+        return own.join(nodes, "key").where(F.col("id").eqNullSafe(F.col("first"))).select("fp", "text")
+
+    entries = sets.select("fp", F.explode("first").alias("key"))
+    # Shingles that the same sets hold are one: near copies share dozens.
+    same = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"x{k}") for k in range(2))]
+    shared = entries.groupBy("key").agg(*same, F.min("fp").alias("low")).where("n > 1")
+    shared = stored(shared.groupBy("n", "x0", "x1", "low").agg(F.min("key").alias("key")).select("key", "low"), "similar-shared")
+    met = stored(entries.join(shared, "key"), "similar-met")
+
+    def possible(batches):
+        for batch in batches:
+            size = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 4)]
+            bits = [_words(batch.column(k)) for k in (3, 5)]
+            differ = np.maximum(np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64), np.abs(size[0] - size[1]))
+            total = size[0] + size[1]
+            keep = np.nonzero(total - differ >= similarity * (total + differ) - 1e-6)[0]
+            part = batch.select(["u", "v"]).take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(differ[keep])], ["u", "v", "apart"])
+
+    named = [about.select(F.col("fp").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}")) for n in "uv"]
+    pairs = met.where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
+    pairs = pairs.join(named[0], "u").join(named[1], "v").select("u", "v", "size_u", "bits_u", "size_v", "bits_v")
+    pairs = pairs.mapInArrow(possible, "u long, v long, apart long").groupBy("u").agg(
+        F.min(F.struct("apart", "v")).alias("near"), F.min("v").alias("low"))
+    pairs = stored(pairs.select("u", F.explode(F.array_distinct(F.array("near.v", "low"))).alias("v")), "similar-pairs")
+    ends = bodies(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct())
     roots = connected(_verified(pairs, ends, shingle, similarity))
 
-    # What the nearest links leave apart: fingerprints of different groups in reach of each
-    # other. They carry their sets and are compared tile by tile, so no pair leaves a task.
-    label = stored(best.select("fp").join(fps, "fp").join(roots.withColumnRenamed("node", "low"), "low", "left")
-                   .select("fp", "low", "again", F.xxhash64(F.coalesce("root", "low")).alias("label")), "similar-labels")
-    look = lambda batches: _unsettled(batches, radius)
-    whole, split = _tiles(label.select("fp", "label", "again"), masks, radius, tile)
-    open_ = stored(whole.mapInArrow(look, "fp long").unionAll(split.mapInArrow(look, "fp long")).distinct().join(label, "fp"), "similar-open")
-    sets = _with_sets(open_.join(bodies(open_.select(F.col("low").alias("key"))).withColumnRenamed("key", "low"), "low"), shingle)
-    settle = lambda batches: _settled(batches, radius, similarity)
-    masks = _sampled_masks(open_.count(), radius - 1, recall)
-    whole, split = _tiles(stored(sets, "similar-sets"), masks, radius, min(tile, SET_TILE))
-    more = whole.mapInArrow(settle, "fp long, other long").unionAll(split.mapInArrow(settle, "fp long, other long"))
+    # What these pairs leave apart: sets of different groups that share a first shingle.
+    label = roots.select(F.col("node").alias("fp"), "root")
+    met = stored(met.select("fp", "key").join(label, "fp", "left").select("fp", "key", F.coalesce("root", "fp").alias("label")), "similar-labels")
+    torn = met.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    ones = F.floor(F.log("size") / F.lit(log(1 / similarity) + 1e-6)).cast("int").alias("ones")
+    torn = stored(met.join(torn, "key").join(about, "fp").select(
+        "fp", "label", "size", "bits", F.col("key").alias("token"), F.lit(0).alias("mask"), "key", ones), "similar-torn")
+    look = lambda batches: _unsettled(batches, similarity)
+    whole, split = _met(torn, ["fp", "label", "size", "bits", "token"], 1, tile)
+    kinds = "fp long, token long"
+    seen = stored(whole.mapInArrow(look, kinds).unionAll(split.mapInArrow(look, kinds)).distinct().withColumnRenamed("token", "key"), "similar-seen")
+    once = seen.groupBy("key").agg(*same).groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+    open_ = stored(seen.join(once, "key").join(torn.select("fp", "label", "mask", "key", "ones"), ["fp", "key"]), "similar-open")
+
+    def full(batches):
+        for batch in batches:
+            found = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["fp", "set"])
+
+    whole_sets = bodies(open_.select("fp").distinct()).mapInArrow(full, "fp long, set array<long>").dropDuplicates(["fp"])
+    settle = lambda batches: _settled(batches, similarity)
+    whole, split = _met(stored(open_.join(whole_sets, "fp"), "similar-open-sets"), ["fp", "label", "set"], 1, min(tile, SET_TILE))
+    more = whole.mapInArrow(settle, "u long, v long").unionAll(split.mapInArrow(settle, "u long, v long")).distinct()
     stars = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = connected(stars.unionAll(keys(more.distinct()).select("u", "v")))
-    return (marked.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left")
-            .select("key", "id", F.coalesce("root", "key").alias("root")))
+    roots = connected(stars.unionAll(more))
+    named = sets.select("fp", "pair.key").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "key", F.coalesce("root", "fp").alias("root"))
+    low = named.groupBy("root").agg(F.min("key").alias("low"))
+    named = named.join(low, "root").select("fp", F.col("low").alias("root"))
+    return marked.select("pair.key", "pair.id", "fp").distinct().join(named, "fp").select("key", "id", "root")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

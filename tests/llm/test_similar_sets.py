@@ -1,0 +1,55 @@
+"""Near copies that a fingerprint of 64 bits does not propose."""
+
+import random
+
+from priorview.llm import simhash
+from test_near_copies import jaccard
+
+
+def words(rng, n, of=5000):
+    return ["w%d" % rng.randrange(of) for _ in range(n)]
+
+
+def kept(spark, texts, **how):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash.without_near_copies(docs, **how).collect())
+
+
+def test_copies_among_texts_of_one_filler(spark):
+    # More than half of all shingles are the same one, so all texts have that shingle's hash as fingerprint.
+    rng = random.Random(3)
+    bodies = [words(rng, 60) for _ in range(12)]
+    texts = []
+    for b in bodies:
+        texts += [" ".join(["-"] * 300 + b), " ".join(["-"] * 300 + b[:58])]
+    assert len({simhash.fingerprint(t, 5) for t in texts}) == 1
+    for tile in (2048, 4):
+        assert kept(spark, texts, tile=tile) == list(range(0, 24, 2))
+
+
+def test_repeated_passages(spark):
+    rng = random.Random(5)
+    texts = []
+    for times in (5, 20, 60):
+        body, line = words(rng, 300), words(rng, 14)
+        texts += [" ".join(body + line + line), " ".join(body + line * times)]
+        assert jaccard(*texts[-2:]) == 1
+    assert kept(spark, texts) == [0, 2, 4]
+
+
+def test_every_link_at_the_least_similarity(spark):
+    rng = random.Random(7)
+    texts, near = [], 0
+    for _ in range(150):
+        a = words(rng, rng.randint(80, 400))
+        b = list(a)
+        while jaccard(" ".join(a), " ".join(b)) > 0.85:
+            last = list(b)
+            b[rng.randrange(len(b))] = "changed"
+            if jaccard(" ".join(a), " ".join(b)) < 0.8:
+                b = last
+                break
+        texts += [" ".join(a), " ".join(b)]
+        near += 0.8 <= jaccard(*texts[-2:]) <= 0.85
+    assert near > 120
+    assert kept(spark, texts) == list(range(0, 300, 2))
