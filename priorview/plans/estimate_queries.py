@@ -370,18 +370,28 @@ def late_outcome_join(t):
 SELECT o_orderkey AS request_id, l_partkey AS outcome_ref, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days_waited
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1
 WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 28 DAY""")
-def late_outcome_stream(t):
+def late_outcome_stream(t, first_line=True):
     """M4 as a stream-stream join: outcomes within 28 days of their result row, for which both
-    sides' state is kept and no longer."""
+    sides' state is kept and no longer. Only outcomes of an order's first line; see
+    `late_outcome_stream_all`."""
     home = scratch_dir(t.spark)
 
     def feed(name, frame):
         return stream.request_stream(t.spark, t.sf_dir, frame.schema, "parquet", pathGlobFilter=f"{name}.parquet")
 
     results = feed("orders", t.orders).select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("priced_at"))
-    outcomes = feed("lineitem", t.lineitem).where(F.col("l_linenumber") == 1).select(
+    outcomes = feed("lineitem", t.lineitem).where(F.col("l_linenumber") == 1 if first_line else F.lit(True)).select(
         F.col("l_orderkey").alias("request_id"), F.col("l_shipdate").cast("timestamp").alias("outcome_at"), F.col("l_partkey").alias("outcome_ref"))
     joined = stream.join_late_outcomes(results, outcomes)
     stream.start_sink(joined, f"{home}/joined", f"{home}/state", once=True).awaitTermination()
     found = t.spark.read.schema(joined.schema).parquet(f"{home}/joined")
     return found.select("request_id", "outcome_ref", F.date_diff(F.col("outcome_at").cast("date"), F.col("priced_at").cast("date")).alias("days_waited"))
+
+
+@query("late_outcome_stream_all", """
+SELECT o_orderkey AS request_id, l_partkey AS outcome_ref, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days_waited
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 28 DAY""")
+def late_outcome_stream_all(t):
+    """The same over the outcomes of all lines."""
+    return late_outcome_stream(t, first_line=False)

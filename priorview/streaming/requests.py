@@ -53,7 +53,7 @@ def join_late_outcomes(results: DataFrame, outcomes: DataFrame, result_time: str
                        outcome_time: str = "outcome_at", max_delay: str = "28 days",
                        lateness: str = "1 day") -> DataFrame:
     """Stream-stream form: an outcome meets the result row of its request when it comes within
-    ``max_delay`` of it; that bounds the state. Both streams need distinct request ids."""
+    ``max_delay`` of it; that bounds the state. All outcomes of a request meet it."""
     left = results.withWatermark(result_time, lateness)
     right = outcomes.withWatermark(outcome_time, lateness).withColumnRenamed("request_id", "_outcome_of")
     near = ((F.col(outcome_time) >= F.col(result_time))

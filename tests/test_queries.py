@@ -33,3 +33,9 @@ def test_every_query_has_sql():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_outcomes_of_all_lines(spark):
+    got = QUERIES["late_outcome_stream_all"](spark, SF).collect()
+    assert len(got) > QUERIES["late_outcome_stream"](spark, SF).count()
+    assert len(got) > len({r.request_id for r in got})
