@@ -17,7 +17,7 @@ from ..session import scratch_dir
 from ..sources import requests as rq
 from ..streaming import requests as stream
 from . import bindings as b
-from .catalog import query
+from .catalog import ORACLES, query
 from .history_queries import LOOKBACK_SQL, MEMBER_FACTS_SQL, REQUESTS_SQL, ledger_sql, member_history
 from .request_queries import K_SQL, TILES_FLAT_SQL, TILES_SQL
 from .resolve_queries import CONTEXT_SQL, LINES_SQL, chains
@@ -26,8 +26,16 @@ from .scorecard_queries import as_double
 GROUP_SCOPE = ["org_id", "group_number"]
 
 
-def _group_ledger(t, reqs):
-    return lg.ledger_history(reqs, b.ledger_star(t), GROUP_SCOPE, "asof", n=200)
+def _group_ledger(t, reqs, n=None):
+    return lg.ledger_history(reqs, b.ledger_star(t), GROUP_SCOPE, "asof", n=n)
+
+
+def _whole(name):
+    """The SQL of a limited query without its limits."""
+    sql = ORACLES[name]
+    for limited, whole in ((ledger_sql("group_number", 200), ledger_sql("group_number")), ("FROM h WHERE rank <= 400 GROUP", "FROM h GROUP")):
+        sql = sql.replace(limited, whole)
+    return sql
 
 
 @query("peer_distribution", ledger_sql("group_number", 200) + """,
@@ -39,10 +47,10 @@ s AS (SELECT rid, code, COUNT(*) AS n_lines, median(CAST(allowable AS DOUBLE)) A
 SELECT s.rid AS request_id, s.code AS procedurecode, n_lines, median_allowable, CAST(m.copay AS DOUBLE) AS copay_mode, zero_share,
        zero_share BETWEEN 0.25 AND 0.75 AS is_split
 FROM s LEFT JOIN modes m ON m.rid = s.rid AND m.code IS NOT DISTINCT FROM s.code AND m.rn = 1""")
-def peer_distribution(t):
-    """What the group's lines of each code cost, as of each request."""
+def peer_distribution(t, n=200):
+    """What the group's lines of each code cost, as of each request: its newest ``n`` lines."""
     reqs = b.requests(t).select("request_id", *GROUP_SCOPE, "asof")
-    peers = es.peer_distribution(_group_ledger(t, reqs), [*GROUP_SCOPE, "asof"])
+    peers = es.peer_distribution(_group_ledger(t, reqs, n), [*GROUP_SCOPE, "asof"])
     return reqs.join(peers, [*GROUP_SCOPE, "asof"]).drop(*GROUP_SCOPE, "asof")
 
 
@@ -55,12 +63,12 @@ SELECT ln.rid AS request_id, ln.code AS procedurecode, COALESCE(t1.m, t2.m, t3.m
        CASE WHEN t1.m IS NOT NULL THEN 1 WHEN t2.m IS NOT NULL THEN 2 WHEN t3.m IS NOT NULL THEN 3 END AS peer_tier
 FROM ln LEFT JOIN t1 ON t1.rid = ln.rid AND t1.code = ln.code LEFT JOIN t2 ON t2.rid = ln.rid AND t2.fam = left(ln.code, 1)
 LEFT JOIN t3 ON t3.rid = ln.rid""")
-def peer_tiers(t):
-    """Exact code, then its family, then any code."""
+def peer_tiers(t, n=200):
+    """Exact code, then its family, then any code, of the group's newest ``n`` lines."""
     k = F.col("request_id")
     code = F.when(k % 3 == 0, F.concat(F.lit("P"), k % 5)).when(k % 3 == 1, "P9").otherwise("Q1")
     reqs = b.requests(t).select("request_id", *GROUP_SCOPE, "asof").withColumn("procedurecode", code)
-    out = es.tiered_allowable(reqs, _group_ledger(t, reqs), [*GROUP_SCOPE, "asof"], family_length=1)
+    out = es.tiered_allowable(reqs, _group_ledger(t, reqs, n), [*GROUP_SCOPE, "asof"], family_length=1)
     return out.drop(*GROUP_SCOPE, "asof")
 
 
@@ -198,16 +206,16 @@ x3 AS (SELECT *, CASE WHEN same THEN mx ELSE rule END AS est, COALESCE(NOT (same
     AND ABS(mean - CAST(rule AS DOUBLE)) > 0.25 * ABS(CAST(rule AS DOUBLE)), FALSE) AS dif FROM x2)
 SELECT request_id, srt AS srt_id, surgical AS is_surgical, has_tile AS has_primary_tile, CAST(CASE WHEN has_tile THEN est END AS DOUBLE) AS estimate,
   CASE WHEN est IS NULL OR NOT has_tile THEN 0 WHEN dif THEN 1 ELSE 3 END AS conf_rank FROM x3""")
-def estimate_from_evidence(t):
+def estimate_from_evidence(t, n=200):
     """D18-D24 from real evidence: the line's chain, procedure context and tile, the group's ledger
-    without codes of the wrong class, and the member's own outcomes of the same code."""
+    without codes of the wrong class, and the member's own outcomes of the same code. Of the group, its newest ``n`` lines."""
     ctx = r.srt_context(b.srt(t), b.srt_codes(t), b.billing_codes(t)).select("srt_id", "pos_code", "billing_codes")
     lines = (chains(t).select("request_id", "srt_id", "primary").join(ctx, "srt_id", "left")
              .withColumn("billing_codes", F.coalesce("billing_codes", F.array().cast(ctx.schema["billing_codes"].dataType)))
              .withColumn("is_surgical", es.is_surgical()).drop("pos_code", "billing_codes")
              .withColumn("procedurecode", F.concat(F.lit("P"), F.col("srt_id") % 5)))
     reqs = b.requests(t).select("request_id", *GROUP_SCOPE, "asof")
-    ledger = _group_ledger(t, reqs)
+    ledger = _group_ledger(t, reqs, n)
     # Peers of surgical and of other lines, each without the codes that say nothing about them.
     classes = F.explode(F.array(F.lit(False), F.lit(True)))
     peers = ledger.withColumn("is_surgical", classes).where(es.usable_evidence("procedurecode", "is_surgical"))
@@ -268,12 +276,12 @@ li AS (SELECT c.request_id, COUNT(*) AS n, '[' || string_agg('{{"srt_id":' || c.
 SELECT r.request_id, '{{"org_id":' || org_id || ',"asof":"' || r.asof || '"}}' AS header, o.n AS n_own, left(sha256(o.j), 16) AS own_digest,
        g.n AS n_grp, left(sha256(g.j), 16) AS grp_digest, tl.j AS tiles, li.n AS n_lines, left(sha256(replace(li.j, '[""]', '[]')), 16) AS lines_digest
 FROM requests r LEFT JOIN o USING (request_id) LEFT JOIN g USING (request_id) LEFT JOIN tl USING (request_id) LEFT JOIN li USING (request_id)""")
-def evidence_bundle(t):
+def evidence_bundle(t, n=200):
     """What a request is priced from: its lines with names and service-type chains, its
-    good tiles, its member's newest claims and its group's newest ledger lines. Whole JSON."""
+    good tiles, its member's newest claims and its group's newest ``n`` ledger lines. Whole JSON. Without ``n``, all claims and lines."""
     reqs = b.requests(t)
-    own = member_history(t).select("request_id", F.col("rank").alias("pos"), F.struct("claim_ref", "pnr").alias("entry"))
-    grp = (reqs.select("request_id", *GROUP_SCOPE, "asof").join(_group_ledger(t, reqs), [*GROUP_SCOPE, "asof"])
+    own = member_history(t, n and 400).select("request_id", F.col("rank").alias("pos"), F.struct("claim_ref", "pnr").alias("entry"))
+    grp = (reqs.select("request_id", *GROUP_SCOPE, "asof").join(_group_ledger(t, reqs, n), [*GROUP_SCOPE, "asof"])
            .select("request_id", F.col("rank").alias("pos"), F.struct("claimid", "allowable").alias("entry")))
     tiles = b.tiles(t).where("ok").select("request_id", "pos", F.struct("stc", "eligibility_source").alias("entry"))
     lines = chains(t).join(b.srt(t).select("srt_id", "srt_name"), "srt_id", "left").select(
@@ -395,3 +403,27 @@ WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 28 DAY"
 def late_outcome_stream_all(t):
     """The same over the outcomes of all lines."""
     return late_outcome_stream(t, first_line=False)
+
+
+@query("peer_distribution_all", _whole("peer_distribution"))
+def peer_distribution_all(t):
+    """Over all visible lines of the group."""
+    return peer_distribution(t, None)
+
+
+@query("peer_tiers_all", _whole("peer_tiers"))
+def peer_tiers_all(t):
+    """Over all visible lines of the group."""
+    return peer_tiers(t, None)
+
+
+@query("estimate_from_evidence_all", _whole("estimate_from_evidence"))
+def estimate_from_evidence_all(t):
+    """With peers from all visible lines of the group."""
+    return estimate_from_evidence(t, None)
+
+
+@query("evidence_bundle_all", _whole("evidence_bundle"))
+def evidence_bundle_all(t):
+    """With all claims of the member and all visible lines of the group."""
+    return evidence_bundle(t, None)

@@ -8,7 +8,7 @@ from ..operators import ledger as lg
 from ..operators import resolve as r
 from ..operators import stc_rules as st
 from . import bindings as b
-from .catalog import query
+from .catalog import ORACLES, query
 from .history_queries import LOOKBACK_SQL, MEMBER_FACTS_SQL, ledger_sql
 
 PAYER_SQL = """payer AS (
@@ -48,9 +48,9 @@ def payer_lookup_top5(t):
 @query("payer_candidates", f"""WITH {CAND_SQL}
 SELECT q.request_id, COALESCE(string_agg(c.code, '|' ORDER BY c.nth), '') AS candidates
 FROM preq q LEFT JOIN cand c USING (request_id) GROUP BY q.request_id""")
-def payer_candidates(t):
-    """D1."""
-    return (r.request_candidates(b.payer_requests(t), b.payers(t), n=5)
+def payer_candidates(t, n=5):
+    """D1, from the first ``n`` payer rows of a text."""
+    return (r.request_candidates(b.payer_requests(t), b.payers(t), n=n)
             .select("request_id", F.array_join("candidates", "|").alias("candidates")))
 
 
@@ -60,15 +60,27 @@ SELECT q.request_id, COALESCE(arg_min(p.code, p.nth) FILTER (WHERE p.ok), arg_mi
        COUNT(*) FILTER (WHERE p.ok) > 0 AS accepted
 FROM preq q LEFT JOIN cand c ON c.request_id = q.request_id
 LEFT JOIN probe p ON p.request_id = c.request_id AND p.code = c.code GROUP BY q.request_id""")
-def payer_first_ok(t):
-    """D2 over a table of probe outcomes."""
-    candidates = r.request_candidates(b.payer_requests(t), b.payers(t), n=5)
+def payer_first_ok(t, n=5):
+    """D2 over a table of probe outcomes, from the first ``n`` payer rows of a text."""
+    candidates = r.request_candidates(b.payer_requests(t), b.payers(t), n=n)
     probes = (candidates.where(F.col("request_id") % 7 != 0)
               .select("request_id", F.explode("candidates").alias("code"))
               .withColumn("ok", (F.col("request_id") + F.col("code").cast("int")) % 3 == 0))
     return r.first_accepted(candidates, probes)
 
 
+@query("payer_candidates_all", ORACLES["payer_candidates"].replace(" WHERE row_no <= 5", ""))
+def payer_candidates_all(t):
+    """From all payer rows of a text."""
+    return payer_candidates(t, None)
+
+
+@query("payer_first_ok_all", ORACLES["payer_first_ok"].replace(" WHERE row_no <= 5", ""))
+def payer_first_ok_all(t):
+    """From all payer rows of a text."""
+    return payer_first_ok(t, None)
+
+
 @query("provider_resolution", """
 WITH dp AS (SELECT s_nationkey AS org_id,
          CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN 'TEST' || s_suppkey
