@@ -27,6 +27,7 @@ RATE = 0.2              # most edits, as a share of an item's words
 LEAST = 5               # words of the shortest item that is looked for
 STEPS = 4               # sampled steps of a bucket key
 RECALL = 0.98           # at the largest distance
+TRIED = 1000            # edited copies on which recall is measured
 GROWTH = 1.25           # of the window from one class of items to the next
 BLOCK = 20_000          # items sent to a task at once
 RUN = 500_000           # words looked at together
@@ -124,14 +125,23 @@ class Index:
         heads = np.concatenate([self.items[k][:window] for k in own])
         starts = np.arange(len(own)) * window
         out = _Class(window, max(self.most[k] for k in own), [], [], [])
-        # Keys are added until the largest number of edits is survived with the wanted probability,
-        # measured on edited copies of the items.
-        tried = [self.items[k] for k in rng.choice(own, 200)]
-        originals = np.concatenate([x[:window] for x in tried])
-        copies = np.concatenate([_edited(x, floor(rate * window), rng)[:window] for x in tried])
-        at = np.arange(len(tried)) * window
-        found = np.zeros(len(tried), bool)
-        while found.mean() < recall:
+        # Keys are added until the largest number of edits of each item is survived with the wanted
+        # probability, measured on edited copies of the items, and until fresh copies agree.
+        def copies():
+            tried = [(self.items[k], self.most[k]) for k in rng.choice(own, TRIED)]
+            return (np.concatenate([x[:window] for x, _ in tried]), np.concatenate([_edited(x, n, rng)[:window] for x, n in tried]))
+
+        def meet(walk, originals, edited):
+            return _walk(edited, at, window, *walk) == _walk(originals, at, window, *walk)
+
+        at = np.arange(TRIED) * window
+        tried, found = copies(), np.zeros(TRIED, bool)
+        while True:
+            if found.mean() >= recall:
+                tried = copies()
+                found = np.logical_or.reduce([meet(walk, *tried) for walk in out.walks])
+                if found.mean() >= recall:
+                    break
             mult = rng.integers(1, 1 << 63, 2 * window, np.uint64) * np.uint64(2) + np.uint64(1)
             where = np.sort(rng.choice(2 * window, min(steps, 2 * window), replace=False))
             keys = _walk(heads, starts, window, mult, where)
@@ -139,7 +149,7 @@ class Index:
             out.walks.append((mult, where))
             out.keys.append(keys[order])
             out.items.append(np.array(own)[order])
-            found |= _walk(copies, at, window, mult, where) == _walk(originals, at, window, mult, where)
+            found |= meet(out.walks[-1], *tried)
         return out
 
     def scan(self, texts: list[str | None]):

@@ -88,3 +88,21 @@ def test_empty(spark):
     assert d.passages(dd, ii.where("false")).count() == 0
     assert d.decontaminated(dd, ii.where("false")).count() == len(docs)
     assert d.decontaminated(dd, ii).schema == dd.schema
+
+
+def test_recall_of_each_class_at_the_largest_distance():
+    rng = random.Random(8)
+    items = [(k, " ".join("w%d" % rng.randrange(3000) for _ in range(n))) for k, n in enumerate([20] * 20 + [25] * 20 + [40] * 20 + [50] * 20)]
+    index = d.Index(items)
+    made = np.random.default_rng(99)
+    for n in (20, 25, 40, 50):
+        own = [k for k, x in enumerate(index.items) if len(x) == n]
+        c = next(c for c in index.classes if any(np.isin(own, i).any() for i in c.items))
+        w, picked = c.window, own * 40
+        heads = np.concatenate([index.items[k][:w] for k in picked])
+        copies = np.concatenate([d._edited(index.items[k], index.most[k], made)[:w] for k in picked])
+        at = np.arange(len(picked)) * w
+        found = np.zeros(len(picked), bool)
+        for walk in c.walks:
+            found |= d._walk(heads, at, w, *walk) == d._walk(copies, at, w, *walk)
+        assert found.mean() >= 0.965, n
