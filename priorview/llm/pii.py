@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from math import ceil
 from string import ascii_lowercase, ascii_uppercase
@@ -27,7 +27,6 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?()[]{}<>\"'|*#&%$"   # stripped from a word to give the term
 FOLD = str.maketrans(ascii_uppercase, ascii_lowercase)
 WINDOW = 8            # words on either side of an entity
-REACH = 400           # characters on either side in which those words are looked for
 SUPPORT = 3           # different contexts in which a term stands near an entity
 REMOVE, GENERALISE = 0.9, 0.75
 BROADCAST = 200_000   # most terms sent to a task at once
@@ -109,10 +108,12 @@ def _contexts(text: str, window: int):
     context is a hash of the words around, so copies of a passage are one context."""
     spans = base_spans(text)
     taken = _taken(spans)
+    found = list(WORD.finditer(text)) if spans else []
+    starts, ends = [m.start() for m in found], [m.end() for m in found]
     for kind, a, b in spans:
-        low = max(0, a - REACH)
-        before = [m for m in WORD.finditer(text, low, a) if not m.start() == low > 0][-window:]
-        after = [m for m, _ in zip(WORD.finditer(text, b, b + REACH), range(window), strict=False)]
+        # Whole words only: what is left of a word that the entity is part of is no term.
+        last, first = bisect_right(ends, a), bisect_left(starts, b)
+        before, after = found[max(0, last - window):last], found[first:first + window]
         near = [m for m in before + after if not taken(m.start(), m.end())]
         terms = [t for m in near if len(t := term(m[0])) > 2]
         context = xxhash.xxh64_intdigest(" ".join(terms)) - (1 << 63)

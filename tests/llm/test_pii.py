@@ -74,3 +74,9 @@ def test_terms(spark):
 
 def test_empty(spark):
     assert pii.with_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_eight_whole_words_however_long():
+    far = ["%s%d" % ("x" * 150, k) for k in range(20)]
+    text = " ".join(far[:10] + ["a.b@example.com"] + far[10:])
+    assert {t for _, t, _ in pii._contexts(text, 8) if t} == set(far[2:18])
