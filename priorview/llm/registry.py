@@ -7,6 +7,7 @@ from . import chat, chunks, decontaminate, language, licenses, lines, packing, p
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_url_filter": urls.op2_url_filter,
+    "op2_url_filter_whole": urls.op2_url_filter_whole,
     "op3_chat_format": chat.op3_chat_format,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_language_id": language.op5_language_id,

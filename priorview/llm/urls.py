@@ -41,27 +41,38 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return out
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(urls: DataFrame, depth: int | None = None, share: int | None = None) -> DataFrame:
     """(host, path, n, labelled, bad) of distinct urls -> the same with their `template`.
 
-    Level by level, a segment below the template so far stays literal if enough of that
-    template's urls have it, and becomes a wildcard otherwise. A level is a partial aggregate
+    Level by level, a segment below the template so far stays literal if LEAST urls of that
+    template have it (and one in `share`, if given), and becomes a wildcard otherwise. Without
+    `depth` the levels end where no segment has so many urls. A level is a partial aggregate
     and an equi-join back, written to the shared folder.
     """
     tree = urls.withColumns({"segs": F.when(F.col("path") == "", F.array().cast("array<string>"))
                              .otherwise(F.split(F.expr("substring(path, 2)"), "/", -1)), "template": F.lit("")})
     most = int(urls.agg(F.coalesce(F.max(F.size(F.split("path", "/", -1))), F.lit(0))).first()[0])
-    for level in range(min(depth, most)):
+    level = 0
+    while level < (most if depth is None else min(depth, most)):
         tree = stored(tree.withColumn("seg", F.get("segs", F.lit(level))), "url-tree")
         counts = (tree.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("own"))
                   .withColumn("key", F.when(F.col("own") >= LEAST, F.col("seg"))))
-        totals = counts.groupBy("host", "template").agg(F.sum("own").alias("all"))
-        kept = (counts.where("key is not null").join(totals, ["host", "template"])
-                .where(F.col("own") * SHARE >= F.col("all")).select("host", "template", "seg", F.lit(True).alias("literal")))
+        kept = counts.where("key is not null")
+        if share is not None:
+            totals = counts.groupBy("host", "template").agg(F.sum("own").alias("all"))
+            kept = kept.join(totals, ["host", "template"]).where(F.col("own") * share >= F.col("all"))
+        kept = kept.select("host", "template", "seg", F.lit(True).alias("literal"))
+        if depth is None and kept.isEmpty():
+            tree = tree.drop("seg")
+            break
         tree = tree.join(kept, ["host", "template", "seg"], "left").withColumn(
             "template", F.when(F.col("seg").isNull(), F.col("template"))
             .when(F.col("literal"), F.concat("template", F.lit("/"), "seg")).otherwise(F.concat("template", F.lit("/*")))
         ).drop("seg", "literal")
+        level += 1
+    if depth is None:  # no deeper segment is literal
+        rest = F.greatest(F.lit(0), F.size("segs") - level)
+        return tree.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).drop("segs")
     more = F.when(F.size("segs") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
     return tree.withColumn("template", more).drop("segs")
 
@@ -92,7 +103,7 @@ def rejected_templates(found: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, url_col: str = "url", bad_col: str | None = None,
-           rules: list[tuple[str, str]] = RULES, depth: int = DEPTH) -> DataFrame:
+           rules: list[tuple[str, str]] = RULES, depth: int | None = None, share: int | None = None) -> DataFrame:
     """Every page with host, path, rule, template and verdict.
 
     The verdict is the rule's; without a rule it is `block` if the url's template is rejected by
@@ -110,7 +121,7 @@ def judged(pages: DataFrame, url_col: str = "url", bad_col: str | None = None,
     rows = pages.withColumns({h: host, p: path, b: bad})
     urls = rows.groupBy(F.col(h).alias("host"), F.col(p).alias("path")).agg(
         F.count("*").alias("n"), F.count(b).alias("labelled"), F.count_if(F.col(b)).alias("bad"))
-    found = stored(templates(urls, depth).select("host", "path", "template", "labelled", "bad"), "url-found")
+    found = stored(templates(urls, depth, share).select("host", "path", "template", "labelled", "bad"), "url-found")
     verdicts = found.join(rejected_templates(found), ["host", "template"])
     th, tp, t, r = fresh(rows, "tree_host", "tree_path", "tree_template", "tree_rejected")
     verdicts = verdicts.select(F.col("host").alias(th), F.col("path").alias(tp), F.col("template").alias(t), F.col("rejected").alias(r))
@@ -127,19 +138,24 @@ def judged(pages: DataFrame, url_col: str = "url", bad_col: str | None = None,
 NUMBER = r"/([0-9]{1,18})(\.html)?/?$"
 
 
-def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_url_filter(spark: SparkSession, sf_dir: str, depth: int | None = DEPTH, share: int | None = SHARE) -> DataFrame:
     """Labels are those of the document that a url's last number names: bad if of low quality
-    or toxic."""
+    or toxic. Templates name up to `depth` segments, each of one in `share` of its parent's urls."""
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("number")).agg(
         F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     number = F.expr("try_cast(x as bigint)")
     path = host_and_path(F.col("url"))[1]
     pages = pages.withColumn("x", F.regexp_extract(path, NUMBER, 1)).withColumn("number", number).drop("x")
-    out = judged(pages.join(labels, "number", "left"), bad_col="bad")
+    out = judged(pages.join(labels, "number", "left"), bad_col="bad", depth=depth, share=share)
     return out.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op2_url_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every segment of LEAST urls as a branch, at any depth."""
+    return op2_url_filter(spark, sf_dir, None, None)
+
+
 def _sql() -> str:
     def purity_sql(bad: str, labelled: str, prior: str) -> str:
         return f"(({bad}) + {WEIGHT} * ({prior})) / (({labelled}) + {WEIGHT})"

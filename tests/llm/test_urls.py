@@ -56,3 +56,11 @@ def test_bad_templates_are_rejected(spark):
     got = urls.judged(docs, bad_col="bad").groupBy("template", "verdict").count().collect()
     assert {(r.template, r.verdict): r["count"] for r in got} == {("/spam/*", "block"): 200, ("/good/*", "allow"): 200}
     assert got and docs.where(F.col("bad").isNull()).count() == 200
+
+
+def test_small_and_deep_sections_are_told_apart(spark):
+    rows = [(f"http://h.com/s{k % 30}/{k}", k % 30 == 7) for k in range(1200)]
+    rows += [(f"http://d.com/a/b/c/d/e/f/{'bad' if k % 4 == 0 else 'good'}/{k}", k % 4 == 0) for k in range(400)]
+    got = urls.judged(spark.createDataFrame(rows, "url string, bad boolean"), bad_col="bad").collect()
+    assert {r.verdict == "block" for r in got if r.bad} == {True} and {r.verdict == "block" for r in got if not r.bad} == {False}
+    assert {r.template for r in got if r.bad} == {"/s7/*", "/a/b/c/d/e/f/bad/*"}
