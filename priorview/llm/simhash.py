@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, comb, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, stored, table
@@ -16,10 +16,8 @@ from .components import connected, forest
 
 SEED = 42      # fixed value: the hash seed of a shingle
 TILE = 2048    # most fingerprints of a tile
-SET_TILE = 256  # the same where fingerprints carry their shingle sets
+STRIP = 128    # fingerprints of a tile that meet another tile at once
 BITS = 64
-WIDTH = 1024    # parity bits of a shingle set
-SAMPLE, COMMON = 32_768, 200_000  # texts in which common shingles are counted, and most of these
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = SEED) -> int:
@@ -42,17 +40,24 @@ def fingerprint(text: str | None, shingle: int, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64))
 
 
+def _text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       shingle: int = 4) -> DataFrame:
-    """(id, fp) for every row. Null and blank texts have fingerprint zero."""
+    """(id, key, fp) for every row, key being the text's MD5. Null and blank texts have
+    fingerprint zero."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["id", "key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), _text_key(text).alias("key"), text.alias("text")).mapInArrow(
+        run, f"id {kind}, key string, fp long")
 
 
 def _masks(radius: int, agree: int) -> list[int]:
@@ -75,13 +80,19 @@ def agreeing_blocks(n: int, radius: int, pair_cost: float = 1e-3) -> int:
 
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two tiles within the radius: exclusive-or and bit counts, in strips."""
-    left, right = [], []
-    strip = max(1, (1 << 20) // max(1, len(b)))
-    for at in range(0, len(a), strip):
-        i, j = np.nonzero(np.bitwise_count(a[at:at + strip, None] ^ b[None, :]) <= radius)
-        left.append(i + at)
-        right.append(j)
+    """Index pairs of two tiles within the radius: exclusive-or and bit counts, in strips. Both
+    tiles stand in the order of their population counts, and a strip meets only those whose
+    counts are within the radius of its own."""
+    first, second = (np.argsort(np.bitwise_count(x), kind="stable") for x in (a, b))
+    a, b = a[first], b[second]
+    ones, others = np.bitwise_count(a).astype(np.int64), np.bitwise_count(b).astype(np.int64)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(a), STRIP):
+        end = min(at + STRIP, len(a))
+        low, high = np.searchsorted(others, [ones[at] - radius, ones[end - 1] + radius + 1])
+        i, j = np.nonzero(np.bitwise_count(a[at:end, None] ^ b[None, low:high]) <= radius)
+        left.append(first[i + at])
+        right.append(second[j + low])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -112,28 +123,21 @@ def _stars(batches, radius: int):
 
 def _tiles(fps: DataFrame, masks: list[int], radius: int, tile: int) -> list[DataFrame]:
     """Rows (a, b) of tiles to be compared (b null: the tile with itself) such that all pairs of
-    distinct `fp` that are equal under a mask and within the radius meet. Tiles are arrays of
-    fp, or of structs if fps has more columns.
+    distinct `fp` that are equal under a mask and within the radius meet.
 
     Fingerprints are grouped by the bits under each mask; a group of up to `tile` is compared
     whole. A larger one is cut into tiles by population count and a hash; pairs of tiles whose
     counts differ beyond the radius are skipped, and the others are separate rows, so no task
     holds more than two tiles at once.
     """
-    keyed = stored(fps.select(*fps.columns, F.bit_count("fp").cast("int").alias("ones"),
-                       F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")),
+    keyed = stored(fps.select("fp", F.bit_count("fp").cast("int").alias("ones"),
+                              F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")),
                    "simhash-keys")
-    return _met(keyed, fps.columns, radius, tile)
-
-
-def _met(keyed: DataFrame, columns: list[str], radius: int, tile: int) -> list[DataFrame]:
-    """The tiles of rows (columns, mask, key, ones) that share mask and key, as `_tiles` has them."""
-    item = F.struct(*columns) if len(columns) > 1 else F.col("fp")
     counts = keyed.groupBy("mask", "key", "ones").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("mask", "key").agg(F.sum("n").alias("total")).where("total > 1")
 
     whole = (keyed.join(sizes.where(F.col("total") <= tile), ["mask", "key"])
-             .groupBy("mask", "key").agg(F.collect_list(item).alias("a")).select("a"))
+             .groupBy("mask", "key").agg(F.collect_list("fp").alias("a")).select("a"))
     whole = whole.withColumn("b", F.lit(None).cast(whole.schema["a"].dataType))
 
     # Tiles of the large groups: (mask, key, ones, part).
@@ -142,7 +146,7 @@ def _met(keyed: DataFrame, columns: list[str], radius: int, tile: int) -> list[D
     named = large.select("mask", "key", "ones", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     tiles = (keyed.join(large, ["mask", "key", "ones"])
              .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-             .groupBy("mask", "key", "ones", "part").agg(F.collect_list(item).alias("fps")))
+             .groupBy("mask", "key", "ones", "part").agg(F.collect_list("fp").alias("fps")))
     tiles = stored(tiles, "simhash-tiles")
     other = named.select("mask", "key", F.col("ones").alias("ones2"), F.col("part").alias("part2"))
     pairs = (named.join(other, ["mask", "key"])
@@ -168,6 +172,15 @@ def links(fps: DataFrame, radius: int = 4, agree: int | None = None, tile: int =
     return whole.mapInArrow(run, "u long, v long").unionAll(split.mapInArrow(run, "u long, v long"))
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, agree: int | None,
+                tile: int) -> tuple[DataFrame, DataFrame]:
+    """Stored (id, key, fp) of every row, and (fp, root) of every distinct fingerprint."""
+    marked = stored(with_fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
+    fps = stored(marked.select("fp").distinct(), "simhash-distinct")
+    roots = connected(links(fps, radius, agree, tile)).withColumnRenamed("node", "fp")
+    return marked, stored(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     radius: int = 4, agree: int | None = None, tile: int = TILE) -> DataFrame:
     """(id, fp, component): every row with its fingerprint and the smallest id reachable over
@@ -178,273 +191,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a component unless all ids of the component are null. Repeated rows stay. Other columns are
     not read. An empty table gives no rows.
     """
-    marked = stored(with_fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
-    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    roots = connected(links(fps.select("fp"), radius, agree, tile))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = named.join(low, "root").select("fp", "component")
+    marked, fps = _components(docs, id_col, text_col, shingle, radius, agree, tile)
+    first = marked.groupBy("fp").agg(F.min("id").alias("first")).join(fps, "fp")
+    low = first.groupBy("root").agg(F.min("first").alias("component"))
+    named = fps.join(low, "root").select("fp", "component")
     return marked.join(named, "fp").select("id", "fp", "component")
 
 
-def shingle_set(text: str | None, shingle: int) -> set[bytes]:
-    """The distinct shingles; all words of a shorter text are one; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    k = min(shingle, len(words))
-    return {b" ".join(words[j:j + k]) for j in range(len(words) - k + 1)} if k else set()
-
-
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct shingles' 64-bit hashes, sorted."""
-    found = shingle_set(text, shingle)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, len(found)))
-
-
-def _bitmap(hashes: np.ndarray) -> bytes:
-    """The parity of the number of hashes at each of WIDTH places."""
-    count = np.bincount((hashes % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH)
-    return np.packbits((count & 1).astype(np.uint8)).tobytes()
-
-
-def _prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The first hashes in the order of weight (zero where not common) and hash, so many that sets
-    of that similarity share one of them."""
-    n = len(hashes)
-    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
-    own = np.where(common[at] == hashes, weight[at], 0) if len(common) else np.zeros(n, np.int64)
-    return hashes[np.lexsort((hashes, own))[:n - ceil(similarity * n - 1e-9) + 1 if n else 0]]
-
-
-def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that several texts of a sample hold, sorted, and how many texts do. They
-    only set the order of shingles, so the sample and the limit change the work, never the result."""
-    every = max(1, ceil(texts.count() / SAMPLE))
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(0)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["hash"])
-
-    counts = some.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 2")
-    found = counts.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
-    hashes = found.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], found.column("n").to_numpy()[order]
-
-
-def _words(bits: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, WIDTH // 64)
-
-
-def _possible(a: tuple, b: tuple, similarity: float) -> np.ndarray:
-    """Whether sets of (size, bitmap) can be of that similarity, each of a with each of b. Sets
-    with so many differing bits differ in as many shingles or more, so none is ruled out wrongly."""
-    differ = np.zeros((len(a[0]), len(b[0])), np.int64)
-    for k in range(WIDTH // 64):
-        differ += np.bitwise_count(a[1][:, None, k] ^ b[1][None, :, k])
-    total = a[0][:, None].astype(np.int64) + b[0][None, :]
-    differ = np.maximum(differ, np.abs(a[0][:, None].astype(np.int64) - b[0][None, :]))
-    return (total - differ) >= similarity * (total + differ) - 1e-6
-
-
-def _unsettled(batches, similarity: float):
-    """Rows (a, b) of two tiles of (fp, label, size, bits, token) -> (fp, token) of each fp that may
-    be similar to one of another label."""
-    for batch in batches:
-        out = []
-        for row in range(batch.num_rows):
-            a, b = (batch.column(k)[row] for k in range(2))
-            a, b = a.values, (b if b.is_valid else a).values
-            (fa, la, sa), (fb, lb, sb) = ([t.field(k).to_numpy(zero_copy_only=False) for k in range(3)] for t in (a, b))
-            wa, wb, token = _words(a.field(3)), _words(b.field(3)), a.field(4)[0].as_py()
-            strip = max(1, (1 << 18) // max(1, len(fb)))
-            seen = np.zeros(len(fb), bool)
-            for at in range(0, len(fa), strip):
-                cut = slice(at, at + strip)
-                near = (la[cut, None] != lb[None, :]) & _possible((sa[cut], wa[cut]), (sb, wb), similarity)
-                out.append((fa[cut][near.any(1)], token))
-                seen |= near.any(0)
-            out.append((fb[seen], token))
-        if out:
-            fps, tokens = np.concatenate([f for f, _ in out]), np.repeat(np.array([t for _, t in out], np.int64), [len(f) for f, _ in out])
-            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(tokens)], ["fp", "token"])
-
-
-def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of sets, each of a with each of b: products of 0/1 matrices over
-    strips of the values."""
-    values, at = np.unique(np.concatenate(a + b), return_inverse=True)
-    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in a + b])
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
-    out = np.zeros((len(a), len(b)), np.float32)
-    width = 1 << 14
-    for low in range(0, len(values), width):
-        lo, hi = np.searchsorted(at, [low, low + width])
-        held = np.zeros((len(a) + len(b), min(width, len(values) - low)), np.float32)
-        held[owner[lo:hi], at[lo:hi] - low] = 1
-        out += held[:len(a)] @ held[len(a):].T
-    return out
-
-
-def _settled(batches, similarity: float):
-    """Rows (a, b) of two tiles of (fp, label, set) -> edges that connect what pairs of different
-    labels and of enough similarity connect, at most one for each fp."""
-    for batch in batches:
-        us, vs = [], []
-        for row in range(batch.num_rows):
-            tiles = [batch.column(k)[row] for k in range(2)]
-            tiles[1] = tiles[1] if tiles[1].is_valid else tiles[0]
-            (a, la), (b, lb) = ([t.values.field(k).to_numpy(zero_copy_only=False) for k in range(2)] for t in tiles)
-            sets = [[x.values.to_numpy() for x in t.values.field(2)] for t in tiles]
-            size = [np.array([len(x) for x in own], np.float64) for own in sets]
-            both = _shared(*sets)
-            alike = both >= similarity * (size[0][:, None] + size[1][None, :] - both) - 1e-6
-            x, y = np.nonzero(alike & (la[:, None] != lb[None, :]))
-            if not len(x):
-                continue
-            points, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-            root = forest(len(points), place[x], place[len(a) + y])
-            moved = np.nonzero(root != np.arange(len(points)))[0]
-            us.append(points[moved])
-            vs.append(points[root[moved]])
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The (u, v) whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (shingle_set(t.as_py(), shingle) for t in (x, y))
-                if len(x & y) >= similarity * len(x | y):
-                    keep.append(k)
-            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
-
-    both = (pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("text_u")), "u")
-            .join(texts.select(F.col("fp").alias("v"), F.col("text").alias("text_v")), "v"))
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                      similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """(key, id, root): each distinct pair of text (by its MD5) and id, and the key of its group.
-
-    Texts with a Jaccard similarity of `similarity` between their sets of word shingles belong
-    together, and none is missed. A set is named by a 64-bit hash of its shingles' hashes; texts
-    of equal sets are one. Under any order of all shingles, two similar sets share one of their
-    first ones (a fifth of each, for 0.8), so sets meet under those; rare shingles come first,
-    which keeps the groups small. First each set is verified, on the whole texts, against at
-    most two of the smallest sets that it meets, which joins nearly all of a group. Sets that
-    still meet one of another group, and that their sizes and the parities of their shingles do
-    not rule out, are then compared in tiles that hold the sets, which settles every such pair
-    inside a task; what comes out is a spanning forest. Exact copies always belong together, and
-    so do texts without words. Null texts are empty, null ids are kept, other columns are not
-    read, an empty table gives no rows.
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                            radius: int = 4, agree: int | None = None, tile: int = TILE) -> DataFrame:
+    """The documents with one of each group that links of `radius` or fewer differing bits connect:
+    that of the smallest id (nulls last), then of the smallest MD5 of the text; of rows equal in
+    both, one. Null and blank texts have fingerprint zero and link like any other. All columns
+    stay, whatever their names; an empty table stays empty.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
-    keyed = own.withColumn("pair", F.struct("key", "id"))
-    held = docs.sparkSession.sparkContext.broadcast(_common(own, shingle))
-
-    def read(batches):
-        for batch in batches:
-            sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(1)]
-            names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            first = [_prefix(s, similarity, *held.value).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([_bitmap(s) for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["pair", "fp", "size", "bits", "first"])
-
-    kind = keyed.schema["pair"].dataType.simpleString()
-    marked = keyed.select("pair", "text").mapInArrow(read, f"pair {kind}, fp long, size int, bits binary, first array<long>")
-    marked = stored(marked, "similar-fps")
-    sets = stored(marked.groupBy("fp").agg(F.min("pair").alias("pair"), F.first("size").alias("size"), F.first("bits").alias("bits"),
-                                           F.first("first").alias("first")), "similar-sets")
-    about = sets.select("fp", "size", "bits")
-
-    def bodies(fps: DataFrame) -> DataFrame:
-        # The texts of sets, one of each: that of the smallest MD5 and id.
-        nodes = fps.join(sets, "fp").select("fp", "pair.key", F.col("pair.id").alias("first"))
-        return own.join(nodes, "key").where(F.col("id").eqNullSafe(F.col("first"))).select("fp", "text")
-
-    entries = sets.select("fp", F.explode("first").alias("key"))
-    # Shingles that the same sets hold are one: near copies share dozens.
-    same = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"x{k}") for k in range(2))]
-    shared = entries.groupBy("key").agg(*same, F.min("fp").alias("low")).where("n > 1")
-    shared = stored(shared.groupBy("n", "x0", "x1", "low").agg(F.min("key").alias("key")).select("key", "low"), "similar-shared")
-    met = stored(entries.join(shared, "key"), "similar-met")
-
-    def possible(batches):
-        for batch in batches:
-            size = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 4)]
-            bits = [_words(batch.column(k)) for k in (3, 5)]
-            differ = np.maximum(np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64), np.abs(size[0] - size[1]))
-            total = size[0] + size[1]
-            keep = np.nonzero(total - differ >= similarity * (total + differ) - 1e-6)[0]
-            part = batch.select(["u", "v"]).take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(differ[keep])], ["u", "v", "apart"])
-
-    named = [about.select(F.col("fp").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}")) for n in "uv"]
-    pairs = met.where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
-    pairs = pairs.join(named[0], "u").join(named[1], "v").select("u", "v", "size_u", "bits_u", "size_v", "bits_v")
-    pairs = pairs.mapInArrow(possible, "u long, v long, apart long").groupBy("u").agg(
-        F.min(F.struct("apart", "v")).alias("near"), F.min("v").alias("low"))
-    pairs = stored(pairs.select("u", F.explode(F.array_distinct(F.array("near.v", "low"))).alias("v")), "similar-pairs")
-    ends = bodies(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct())
-    roots = connected(_verified(pairs, ends, shingle, similarity))
-
-    # What these pairs leave apart: sets of different groups that share a first shingle.
-    label = roots.select(F.col("node").alias("fp"), "root")
-    met = stored(met.select("fp", "key").join(label, "fp", "left").select("fp", "key", F.coalesce("root", "fp").alias("label")), "similar-labels")
-    torn = met.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    ones = F.floor(F.log("size") / F.lit(log(1 / similarity) + 1e-6)).cast("int").alias("ones")
-    torn = stored(met.join(torn, "key").join(about, "fp").select(
-        "fp", "label", "size", "bits", F.col("key").alias("token"), F.lit(0).alias("mask"), "key", ones), "similar-torn")
-    look = lambda batches: _unsettled(batches, similarity)
-    whole, split = _met(torn, ["fp", "label", "size", "bits", "token"], 1, tile)
-    kinds = "fp long, token long"
-    seen = stored(whole.mapInArrow(look, kinds).unionAll(split.mapInArrow(look, kinds)).distinct().withColumnRenamed("token", "key"), "similar-seen")
-    once = seen.groupBy("key").agg(*same).groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
-    open_ = stored(seen.join(once, "key").join(torn.select("fp", "label", "mask", "key", "ones"), ["fp", "key"]), "similar-open")
-
-    def full(batches):
-        for batch in batches:
-            found = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["fp", "set"])
-
-    whole_sets = bodies(open_.select("fp").distinct()).mapInArrow(full, "fp long, set array<long>").dropDuplicates(["fp"])
-    settle = lambda batches: _settled(batches, similarity)
-    whole, split = _met(stored(open_.join(whole_sets, "fp"), "similar-open-sets"), ["fp", "label", "set"], 1, min(tile, SET_TILE))
-    more = whole.mapInArrow(settle, "u long, v long").unionAll(split.mapInArrow(settle, "u long, v long")).distinct()
-    stars = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = connected(stars.unionAll(more))
-    named = sets.select("fp", "pair.key").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "key", F.coalesce("root", "fp").alias("root"))
-    low = named.groupBy("root").agg(F.min("key").alias("low"))
-    named = named.join(low, "root").select("fp", F.col("low").alias("root"))
-    return marked.select("pair.key", "pair.id", "fp").distinct().join(named, "fp").select("key", "id", "root")
-
-
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents with one of each group of `similar_documents`: that of the smallest id
-    (nulls last), then of the smallest MD5; of rows equal in both, one. All columns stay."""
-    groups = stored(similar_documents(docs, id_col, text_col, **how), "similar-groups")
+    marked, fps = _components(docs, id_col, text_col, shingle, radius, agree, tile)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    winners = groups.groupBy("root").agg(F.min(order).alias("best")).select("best.none", "best.id", "best.key")
-    key, none, ident, place = fresh(docs, "near_key", "near_none", "near_id", "near_place")
-    winners = winners.select(F.col("key").alias(key), F.col("none").alias(none),
-                             F.coalesce(F.col("id").cast("string"), F.lit("")).alias(ident))
-    rows = docs.withColumns({key: F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), none: F.col(id_col).isNull(),
-                             ident: F.coalesce(F.col(id_col).cast("string"), F.lit(""))})
-    first = Window.partitionBy(key, none, ident).orderBy(F.lit(0))
-    return (rows.join(winners, [key, none, ident], "left_semi").withColumn(place, F.row_number().over(first))
-            .where(F.col(place) == 1).drop(key, none, ident, place))
+    winners = marked.groupBy("fp").agg(F.min(order).alias("best")).join(fps, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    key, ident = fresh(docs, "near_key", "near_id")
+    winners = winners.select(F.col("best.key").alias(key), F.col("best.id").alias(ident))
+    rows = docs.withColumns({key: _text_key(F.col(text_col)), ident: F.col(id_col)})
+    same = (rows[key] == winners[key]) & rows[ident].eqNullSafe(winners[ident])
+    return rows.join(winners, same, "left_semi").dropDuplicates([key, ident]).drop(key, ident)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -91,3 +93,31 @@ def test_empty(spark):
 def test_components_of_a_path(spark):
     edges = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r.root for r in connected(edges).collect()} == {0}
+
+
+def test_pruned_pairs_are_all_pairs():
+    rng = np.random.default_rng(1)
+    a = rng.integers(-2**63, 2**63 - 1, 500)
+    b = np.concatenate([a[:200] ^ (1 << rng.integers(0, 60, 200)), rng.integers(-2**63, 2**63 - 1, 300)])
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if int(np.bitwise_count(x ^ y)) <= 4}
+    i, j = simhash._close(a, b, 4)
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) >= 200
+
+
+def test_one_document_of_each_group_stays(spark):
+    schema = "doc_id long, text string, near_key string, near_id int, fp int"
+    rows = [(k if k % 9 else None, t) for k, t in enumerate(texts())]
+    rows += rows[3:6] + [(900 + k, rows[1][1]) for k in range(300)] + [(None, "alone, without an id")] * 3
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], schema)
+    fps = [slow_fingerprint(t) for _, t in rows]
+    groups = slow_components(list(range(len(rows))), fps, 4)
+    best = {}
+    for g, (i, t) in zip(groups, rows):
+        own = (i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest())
+        best[g] = min(best.get(g, own), own)
+    got = simhash.without_near_duplicates(docs)
+    assert got.columns == docs.columns
+    rows_out = got.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).hexdigest()) for r in rows_out) == sorted(best.values())
+    assert {(r.near_key, r.near_id, r.fp) for r in rows_out} == {("x", 1, 2)}
+    assert simhash.without_near_duplicates(docs.where("false")).count() == 0
