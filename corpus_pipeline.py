@@ -33,9 +33,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies (five-word shingles,
-    similarity 0.8). Documents without words are one group."""
-    return simhash.without_near_copies(docs)
+    """Keeps the document of smallest id of each group of near duplicates (four-word shingles,
+    four differing bits). Documents without words are one group."""
+    return simhash.without_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
