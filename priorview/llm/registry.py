@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, decontaminate, language, licenses, lines, packing, pii, simhash, urls
+from . import align, chat, chunks, decontaminate, language, licenses, lines, packing, pii, repair, simhash, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,10 +16,13 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_document_fingerprints": chunks.op10_document_fingerprints,
+    "op11_token_alignment": align.op11_token_alignment,
+    "op12_conversation_repair": repair.op12_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": urls.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
+    "op12_conversation_repair": repair.OP12_SQL,
 }
