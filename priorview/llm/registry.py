@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, chat, chunks, decontaminate, language, licenses, lines, packing, pii, repair, simhash, urls
+from . import align, chat, chunks, decontaminate, language, licenses, lines, packing, pii, quality, repair, simhash, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_document_fingerprints": chunks.op10_document_fingerprints,
     "op11_token_alignment": align.op11_token_alignment,
     "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_quality_rules": quality.op13_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op3_chat_format": chat.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op12_conversation_repair": repair.OP12_SQL,
+    "op13_quality_rules": quality.OP13_SQL,
 }
