@@ -62,11 +62,12 @@ FROM preq q LEFT JOIN cand c ON c.request_id = q.request_id
 LEFT JOIN probe p ON p.request_id = c.request_id AND p.code = c.code GROUP BY q.request_id""")
 def payer_first_ok(t, n=5):
     """D2 over a table of probe outcomes, from the first ``n`` payer rows of a text."""
-    candidates = r.request_candidates(b.payer_requests(t), b.payers(t), n=n)
-    probes = (candidates.where(F.col("request_id") % 7 != 0)
-              .select("request_id", F.explode("candidates").alias("code"))
+    requests = b.payer_requests(t)
+    positions = r.code_positions(requests, b.payers(t), n=n)
+    asked = requests.where(F.col("request_id") % 7 != 0).select("request_id", F.lower("payer").alias("needle"), F.col("state").alias("_state"))
+    probes = (asked.join(positions, "needle").where(F.col("_state").eqNullSafe(F.col("state"))).select("request_id", "code")
               .withColumn("ok", (F.col("request_id") + F.col("code").cast("int")) % 3 == 0))
-    return r.first_accepted(candidates, probes)
+    return r.first_accepted(requests, positions, probes)
 
 
 @query("payer_candidates_all", ORACLES["payer_candidates"].replace(" WHERE row_no <= 5", ""))
