@@ -7,13 +7,16 @@ valid until the next one. A request then looks up the states valid on its as-of
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import last_asof_date
+from ..sources import commits as cm
 from .asof import asof_topn, distinct_asof
 
 LINE_KEY = ["procedurecode", "patientid", "claimappointmentid", "claimservicedate"]
@@ -30,6 +33,7 @@ TRANSFER_TYPES = ("TRANSFERIN", "TRANSFEROUT")
 ALLOWABLE_TYPES = ("CHARGE", "ADJUSTMENT")
 PAYMENT_TYPE = "PAYMENT"
 CLOSED = "CLOSED"
+NO_STATES = "-"  # of a month in a record
 
 def forever() -> Column:
     return F.lit("9999-12-31").cast("date")
@@ -105,6 +109,31 @@ def _unique(*cols: str) -> list[str]:
     return list(dict.fromkeys(cols))
 
 
+def _line_key(scope: Sequence[str], totals_per_claim: bool = False) -> list[str]:
+    return _unique(*scope, *LINE_KEY, *(["claimid"] if totals_per_claim else []))
+
+
+def _rank_key(scope: Sequence[str], rank_per_claim: bool = False) -> list[str]:
+    return _unique(*scope, "patientinsuranceid", "claimservicedate", "procedurecode",
+                   *(["patientid", "claimid"] if rank_per_claim else []))
+
+
+def daily_postings(star: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Postings of one line and day in one row: sums, how many postings each has, and how many
+    there are. Such rows add up, so those of several batches may stand side by side."""
+    scoped = star.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*scope, "posted_on"]]))
+    parts = [F.count(F.lit(1)).alias("n_postings")]
+    for name, (cond, value) in amount_rules().items():
+        parts += [F.sum(F.when(cond, value)).alias(name), F.count(F.when(cond, value)).alias(f"n_{name}")]
+    return scoped.groupBy(*_unique(*scope, *CODE_KEY, "posted_on")).agg(*parts)
+
+
+def without(daily: DataFrame) -> DataFrame:
+    """Daily rows that take postings back, as when they are voided after they were counted."""
+    signed = [c for name in AMOUNTS for c in (name, f"n_{name}")]
+    return daily.withColumns({c: (-F.col(c)).cast(daily.schema[c].dataType) for c in ["n_postings", *signed]})
+
+
 def line_states(star: DataFrame, scope: Sequence[str], lookback_months: int = 24,
                 totals_per_claim: bool = False, rank_per_claim: bool = False) -> DataFrame:
     """Claim-line states with the interval of as-of dates in which each one is the answer.
@@ -114,21 +143,18 @@ def line_states(star: DataFrame, scope: Sequence[str], lookback_months: int = 24
     the source's behaviour. The line is chosen before the ``allowable > 0 and other is NULL``
     filter, and lines whose keys are NULL still take part in that choice.
     """
-    scope = list(scope)
-    line_key = LINE_KEY + (["claimid"] if totals_per_claim else [])
-    scoped = star.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*scope, "posted_on"]]))
+    return states_of(daily_postings(star, scope), scope, lookback_months, totals_per_claim, rank_per_claim)
 
-    # Postings of one line and day in one row; everything below works on this reduced table.
-    parts = []
-    for name, (cond, value) in amount_rules().items():
-        parts += [F.sum(F.when(cond, value)).alias(name), F.count(F.when(cond, value)).alias(f"n_{name}")]
-    daily = scoped.groupBy(*_unique(*scope, *CODE_KEY, "posted_on")).agg(*parts)
 
+def states_of(daily: DataFrame, scope: Sequence[str], lookback_months: int = 24,
+              totals_per_claim: bool = False, rank_per_claim: bool = False) -> DataFrame:
+    """``line_states`` from daily rows; everything here works on this reduced table."""
     # Running totals per line key, one version per posting day.
-    by_line = _unique(*scope, *line_key)
-    keyed = daily.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in line_key]))
+    by_line = _line_key(scope, totals_per_claim)
+    keyed = daily.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by_line]))
     per_day = keyed.groupBy(*by_line, "posted_on").agg(
-        *[F.sum(c).alias(c) for name in AMOUNTS for c in (name, f"n_{name}")])
+        F.sum("n_postings").alias("n_postings"),
+        *[F.sum(c).alias(c) for name in AMOUNTS for c in (name, f"n_{name}")]).where("n_postings > 0")
     in_order = Window.partitionBy(*by_line).orderBy("posted_on")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = [F.when(F.sum(f"n_{name}").over(so_far) > 0, F.sum(name).over(so_far)).alias(name) for name in AMOUNTS]
@@ -138,11 +164,9 @@ def line_states(star: DataFrame, scope: Sequence[str], lookback_months: int = 24
         F.coalesce(F.date_add(F.lead("posted_on").over(in_order), 1), forever()).alias("v_to"))
 
     # Which line stands for its (insurance, date, code), and until when.
-    codes = (daily.groupBy(*_unique(*scope, *CODE_KEY))
-             .agg(F.date_add(F.min("posted_on"), 1).alias("c_from")))
-    rank_key = _unique(*scope, "patientinsuranceid", "claimservicedate", "procedurecode",
-                       *(["patientid", "claimid"] if rank_per_claim else []))
-    better = (Window.partitionBy(*rank_key).orderBy(*code_order())
+    line_days = daily.groupBy(*_unique(*scope, *CODE_KEY), "posted_on").agg(F.sum("n_postings").alias("n")).where("n > 0")
+    codes = line_days.groupBy(*_unique(*scope, *CODE_KEY)).agg(F.date_add(F.min("posted_on"), 1).alias("c_from"))
+    better = (Window.partitionBy(*_rank_key(scope, rank_per_claim)).orderBy(*code_order())
               .rowsBetween(Window.unboundedPreceding, -1))
     chosen = (codes.withColumn("c_to", F.coalesce(F.min("c_from").over(better), forever()))
               .where(F.col("c_from") < F.col("c_to")))
@@ -165,13 +189,84 @@ def code_order() -> list[Column]:
 
 def build_line_states(star: DataFrame, scope: Sequence[str], path: str, lookback_months: int = 24, **options) -> None:
     """Write the states of a whole ledger, partitioned by service month, for many later look-ups
-    with ``ledger_lookup``. This is the maintained form of the table; it is the only function
-    here that runs a job."""
+    with ``ledger_lookup``. `apply_postings` keeps such a table up to date instead."""
     states = line_states(star, scope, lookback_months, **options)
     months = states.withColumn("service_month", F.trunc("claimservicedate", "month"))
     months.repartition("service_month", F.pmod(F.xxhash64(*scope), F.lit(64))).write.partitionBy("service_month").parquet(path)
 
 
+def apply_postings(star: DataFrame, path: str, scope: Sequence[str], batch: str, voided: DataFrame | None = None,
+                   lookback_months: int = 24, totals_per_claim: bool = False, rank_per_claim: bool = False) -> bool:
+    """Bring a stored ledger up to date with a batch of postings (rows of ``claim_star``), and take
+    ``voided`` ones back. The first batch founds it. False if the batch is in already.
+
+    The batch's daily rows are appended. States change only where a line key or a rank key has
+    postings of the batch; both hold the service date, so only its service months are read and
+    written anew, and in them only the groups of those keys are worked out again: their old
+    intervals go, the new versions come, other rows are carried over. One record makes both
+    tables visible at once, so a job that fails in between changes nothing. Scopes of a month
+    are spread over its files by hash.
+    """
+    spark, scope = star.sparkSession, list(scope)
+    daily = daily_postings(star, scope)
+    if voided is not None:
+        daily = daily.unionByName(without(daily_postings(voided, scope)))
+    daily = daily.where(F.col("claimservicedate").isNotNull()).withColumn("service_month", F.trunc("claimservicedate", "month"))
+    records = cm.live(cm.commits(spark, path))
+    ids = {"_line": F.xxhash64(*_line_key(scope, totals_per_claim)), "_rank": F.xxhash64(*_rank_key(scope, rank_per_claim))}
+
+    def touching(rows: DataFrame, keys: DataFrame) -> Column:
+        """rows with ``_hit``: whether their line or rank group is among those of keys. Groups go by
+        their hashes; two groups of one hash are only worked out together."""
+        marked = rows.withColumns(ids)
+        for name in ids:
+            own = keys.select(F.col(name).alias("_key")).distinct().withColumn(f"{name}_hit", F.lit(True))
+            marked = marked.join(own, marked[name] == own["_key"], "left").drop("_key")
+        return marked.withColumn("_hit", F.coalesce("_line_hit", "_rank_hit", F.lit(False))).drop("_line_hit", "_rank_hit")
+
+    def write() -> tuple[list[str], str]:
+        folder = cm.part(path, batch, "daily")
+        daily.hint("rebalance", "service_month").write.mode("overwrite").partitionBy("service_month").parquet(folder)
+        own = cm.read(spark, path, daily.schema, [folder], "daily")
+        # One value for each month of the calendar that the batch has.
+        months = sorted(r[0] for r in own.select("service_month").distinct().collect())
+        every = [*(cm.part(path, r["id"], "daily") for r in records), folder]
+        known = cm.read(spark, path, daily.schema, every, "daily").where(F.col("service_month").isin(months))
+        keys = own.withColumns(ids).select(*ids)
+        near = touching(known, keys).where("_hit").select(*ids)  # lines to work out, and the whole groups that they are in
+        groups = touching(known, near).where("_hit").drop("_hit", *ids)
+        fresh = states_of(groups.drop("service_month"), scope, lookback_months, totals_per_claim, rank_per_claim)
+        fresh = touching(fresh, keys).where("_hit").drop("_hit", *ids).withColumn("service_month", F.trunc("claimservicedate", "month"))
+        old = cm.read(spark, path, fresh.schema, _state_folders(path, records, months), "states")
+        carried = touching(old, keys).where("not _hit").drop("_hit", *ids)
+        both = fresh.unionByName(carried)
+        states = cm.part(path, batch, "states")
+        both.repartition("service_month", F.pmod(F.xxhash64(*scope), F.lit(64))).write.mode("overwrite").partitionBy("service_month").parquet(states)
+        held = {r[0] for r in cm.read(spark, path, both.schema, [states], "states").select("service_month").distinct().collect()}
+        return [f"{m}" if m in held else f"{m} {NO_STATES}" for m in months], both.schema.json()
+
+    return cm.commit(spark, path, batch, write)
+
+
+def _state_folders(path: str, records: list[dict], months: Sequence | None = None) -> list[str]:
+    """The folder of the newest states of each month that has any."""
+    newest = {}
+    for r in records:
+        for key in r["keys"]:
+            month, _, none = key.partition(" ")
+            newest[month] = None if none else r["id"]
+    wanted = newest if months is None else map(str, months)
+    return [f"{cm.part(path, newest[m], 'states')}/service_month={m}" for m in sorted(wanted) if newest.get(m)]
+
+
+def kept_states(spark: SparkSession, path: str) -> DataFrame:
+    """The states of a ledger that `apply_postings` keeps, for ``ledger_lookup``."""
+    records = cm.live(cm.commits(spark, path))
+    if not records:
+        raise ValueError(f"no ledger in {path}")
+    return cm.read(spark, path, StructType.fromJson(json.loads(records[-1]["note"])), _state_folders(path, records), "states")
+
+
 def asked_part(rows: DataFrame, probes: DataFrame, scope: Sequence[str], asof: str, lookback_months: int = 24) -> DataFrame:
     """The ledger rows that some probe can see: of its scopes, and of service dates from the
     first probe's lookback up to the last probe. Both are part of the plan and start no job."""
