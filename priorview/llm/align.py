@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
 
-CHUNK = 1 << 22   # bytes of text that advance together
+CHUNK = 1 << 20   # characters of text that advance together
+NAMES = ["a_ids", "b_ids", "a_cuts", "b_cuts"]
 LANE = 2048       # bytes after which a long text goes on in a lane of its own
 
 
@@ -32,6 +35,9 @@ class Vocabulary:
         self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.size = np.array([len(t) for t in self.tokens], np.int64)
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
 
 class ByteLevel(Vocabulary):
     """A byte-level BPE read from its vocabulary file. The ids of its merges are in the order of
@@ -86,9 +92,13 @@ class Pair:
                 if t:
                     own[t].append(i)
             where.append(own)
-        found = {a * self.width + b for a, t in enumerate(self.a.tokens) for k in range(len(t)) for b in where[1].get(t[k:], ())}
-        found |= {a * self.width + b for b, t in enumerate(self.b.tokens) for k in range(len(t)) for a in where[0].get(t[k:], ())}
-        self.keys = np.array(sorted(found), np.int64)
+        found = array("q")
+        for v, (mine, other) in ((self.a, (self.width, 1)), (self.b, (1, self.width))):
+            ends = where[1] if v is self.a else where[0]
+            for i, t in enumerate(v.tokens):
+                for k in range(len(t)):
+                    found.extend(i * mine + j * other for j in ends.get(t[k:], ()))
+        self.keys = np.unique(np.frombuffer(found, np.int64))
 
     def number(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.keys, a * self.width + b).astype(np.int32)
@@ -127,16 +137,11 @@ def lockstep(a: np.ndarray, b: np.ndarray, edges: np.ndarray) -> tuple[np.ndarra
     return np.sort(np.concatenate(left)), np.sort(np.concatenate(right))
 
 
-def _chunks(texts: list[str | None]):
-    """Ranges of rows of about CHUNK bytes."""
-    at, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t or "")
-        if held >= CHUNK:
-            yield at, k + 1
-            at, held = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def _chunks(texts: pa.Array):
+    """Ranges of rows of about CHUNK characters."""
+    held = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // CHUNK
+    cuts = [0, *(np.nonzero(np.diff(held))[0] + 1).tolist(), len(texts)]
+    yield from ((x, y) for x, y in zip(cuts, cuts[1:]) if x < y)
 
 
 def _aligned(pair: Pair, texts: list[str | None]) -> list[tuple[np.ndarray, ...]]:
@@ -147,7 +152,7 @@ def _aligned(pair: Pair, texts: list[str | None]) -> list[tuple[np.ndarray, ...]
     found = []
     for k, t, a, b in zip(rows, some, pair.a.encode(some), pair.b.encode(some)):
         raw = b" " + t.encode()
-        if all(b"".join(map(v.tokens.__getitem__, ids.tolist())) == raw for v, ids in ((pair.a, a), (pair.b, b))):
+        if pair.a.joined(a) == raw == pair.b.joined(b):
             found.append((k, len(raw), a, b))
     out = [none] * len(texts)
     if not found:
@@ -178,22 +183,19 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     A batch's texts, long ones cut into lanes of equal bytes, advance together; the memory
     follows the chunk of texts that is encoded at once and not the batch.
     """
-    names = ["a_ids", "b_ids", "a_cuts", "b_cuts"]
-
-    def run(batches):
-        pair = _pair(a_path, b_path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low, high in _chunks(texts):
-                lists = []
-                for column in zip(*_aligned(pair, texts[low:high])):
-                    offsets = np.cumsum([0, *map(len, column)])
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(column).astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *lists], ["id", *names])
-
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, " + ", ".join(f"{n} array<int>" for n in names))
+        lambda batches: _align(_pair(a_path, b_path), batches), f"id {kind}, " + ", ".join(f"{n} array<int>" for n in NAMES))
+
+
+def _align(pair: Pair, batches):
+    for batch in batches:
+        for low, high in _chunks(batch.column(1)):
+            lists = []
+            for column in zip(*_aligned(pair, batch.column(1).slice(low, high - low).to_pylist())):
+                offsets = np.cumsum([0, *map(len, column)])
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(column).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *lists], ["id", *NAMES])
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -203,34 +205,40 @@ def _flat(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
             [np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]) for x in lists])
 
 
-def with_links(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(id, n_a, n_b, n_groups, groups_sha256, links) of the rows of `align`: the digest is of
-    `a1,a2|b1;a3|b2,b3` (ids by group), empty without tokens; links are numbers of pairs of ids."""
+def _link(pair: Pair, batches):
+    ends = [b",", b"|", b";"]
+    text = [b"%d%b" % (i, e) for i in range(max(len(pair.a.tokens), len(pair.b.tokens))) for e in ends]
+    for batch in batches:
+        (a, b, a_cut, b_cut), (a_at, b_at, cut_at, _) = _flat(batch)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(cut_at))
+        a_cut, b_cut = a_cut + a_at[owner], b_cut + b_at[owner]  # places in the whole batch
+        before_a, before_b = (np.concatenate([[0], c[:-1]]) if len(c) else c for c in (a_cut, b_cut))
+        group_a, group_b = (np.repeat(np.arange(len(c)), c - p) for c, p in ((a_cut, before_a), (b_cut, before_b)))
+        said = np.empty(len(a) + len(b), np.int32)
+        last_a, last_b = np.zeros(len(a), np.int32), np.zeros(len(b), np.int32)
+        last_a[a_cut - 1], last_b[b_cut - 1] = 1, 2
+        said[np.arange(len(a)) + before_b[group_a]] = 3 * a + last_a
+        said[np.arange(len(b)) + a_cut[group_b]] = 3 * b + last_b
+        at = (a_at + b_at).tolist()
+        shas = [hashlib.sha256(b"".join(map(text.__getitem__, said[x:y].tolist()))[:-1]).hexdigest() if x < y else "" for x, y in zip(at, at[1:])]
+        links = pa.ListArray.from_arrays(pa.array(cut_at, pa.int32()), pa.array(pair.number(a[a_cut - 1], b[b_cut - 1])))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(np.diff(x), pa.int64()) for x in (a_at, b_at, cut_at)), pa.array(shas, pa.string()), links],
+            ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+
+
+def with_links(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_a, n_b, n_groups, groups_sha256, links) from what `align` gives for each row: the
+    digest is of `a1,a2|b1;a3|b2,b3` (ids by group), empty without tokens; links are numbers of
+    pairs of ids. A task aligns and digests chunk after chunk, so the ids stay with it."""
 
     def run(batches):
         pair = _pair(a_path, b_path)
-        ends = [b",", b"|", b";"]
-        text = [b"%d%b" % (i, e) for i in range(max(len(pair.a.tokens), len(pair.b.tokens))) for e in ends]
-        for batch in batches:
-            (a, b, a_cut, b_cut), (a_at, b_at, cut_at, _) = _flat(batch)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(cut_at))
-            a_cut, b_cut = a_cut + a_at[owner], b_cut + b_at[owner]  # places in the whole batch
-            before_a, before_b = (np.concatenate([[0], c[:-1]]) if len(c) else c for c in (a_cut, b_cut))
-            group_a, group_b = (np.repeat(np.arange(len(c)), c - p) for c, p in ((a_cut, before_a), (b_cut, before_b)))
-            said = np.empty(len(a) + len(b), np.int64)
-            last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-            last_a[a_cut - 1], last_b[b_cut - 1] = 1, 2
-            said[np.arange(len(a)) + before_b[group_a]] = 3 * a + last_a
-            said[np.arange(len(b)) + a_cut[group_b]] = 3 * b + last_b
-            said, at = said.tolist(), (a_at + b_at).tolist()
-            shas = [hashlib.sha256(b"".join([text[k] for k in said[x:y]])[:-1]).hexdigest() if x < y else "" for x, y in zip(at, at[1:])]
-            links = pa.ListArray.from_arrays(pa.array(cut_at, pa.int32()), pa.array(pair.number(a[a_cut - 1], b[b_cut - 1])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.diff(x), pa.int64()) for x in (a_at, b_at, cut_at)), pa.array(shas, pa.string()), links],
-                ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
-
-    kind = aligned.schema["id"].dataType.simpleString()
-    return aligned.mapInArrow(run, f"id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>")
+        yield from _link(pair, _align(pair, batches))
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>")
 
 
 def link_counts(linked: DataFrame) -> DataFrame:
@@ -280,5 +288,5 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     files = path("byte_bpe_50k.json"), path("piece_bpe_32k.model")
-    linked = stored(with_links(align(table(spark, sf_dir, "documents"), *files), *files), "align-links")
+    linked = stored(with_links(table(spark, sf_dir, "documents"), *files), "align-links")
     return scored(linked, *files).withColumnRenamed("id", "doc_id")

@@ -73,7 +73,7 @@ def texts():
 
 def got(spark, rows):
     docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA)
-    linked = al.stored(al.with_links(al.align(docs, A, B), A, B), "align-test")
+    linked = al.stored(al.with_links(docs, A, B), "align-test")
     return sorted((tuple(r) for r in al.scored(linked, A, B).collect()), key=str)
 
 
@@ -116,3 +116,17 @@ def test_lockstep_against_sets():
 
 def test_empty(spark):
     assert got(spark, []) == []
+
+
+def test_ids_and_cuts(spark):
+    rows = [(k, t) for k, t in enumerate(texts()) if len(t or "") < 1000]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA)
+    pair, text, whole = al._pair(A, B), dict(rows), 0
+    for r in al.align(docs, A, B).collect():
+        assert len(r.a_cuts) == len(r.b_cuts) and bool(r.a_ids) == bool(r.b_ids) == bool(r.a_cuts)
+        for x, y in zip(r.a_cuts, r.b_cuts):
+            assert pair.a.joined(np.array(r.a_ids[:x])) == pair.b.joined(np.array(r.b_ids[:y]))
+        if r.a_cuts:
+            whole += 1
+            assert pair.a.joined(np.array(r.a_ids)) == (" " + text[r.id]).encode() and r.a_cuts[-1] == len(r.a_ids)
+    assert whole > 30
