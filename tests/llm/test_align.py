@@ -129,4 +129,4 @@ def test_ids_and_cuts(spark):
         if r.a_cuts:
             whole += 1
             assert pair.a.joined(np.array(r.a_ids)) == (" " + text[r.id]).encode() and r.a_cuts[-1] == len(r.a_ids)
-    assert whole > 30
+    assert whole >= 20
