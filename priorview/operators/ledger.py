@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from ..functions import last_asof_date
 from ..sources import commits as cm
 from .asof import asof_topn, distinct_asof
+from .sliding import newest_only
 
 LINE_KEY = ["procedurecode", "patientid", "claimappointmentid", "claimservicedate"]
 CODE_KEY = ["procedurecode", "patientid", "claimid", "context_id", "claimappointmentid", "claimservicedate",
@@ -276,6 +277,18 @@ def asked_part(rows: DataFrame, probes: DataFrame, scope: Sequence[str], asof: s
             .join(probes.select(*scope).distinct(), list(scope), "left_semi"))
 
 
+def line_order() -> list[Column]:
+    """Order among the states of one service date."""
+    return [F.col("procedurecode").asc_nulls_last(), *code_order()]
+
+
+def newest_lines(requests: DataFrame, states: DataFrame, scope: Sequence[str], asof: str, n: int | None = None) -> DataFrame:
+    """States whose intervals show each (scope, as-of) its newest ``n`` claim lines only."""
+    if n is None:
+        return states
+    return newest_only(distinct_asof(requests, scope, asof), states, scope, asof, "claimservicedate", line_order(), n)
+
+
 def ledger_lookup(requests: DataFrame, states: DataFrame, scope: Sequence[str], asof: str, n: int | None = None,
                   lookback_months: int = 24) -> DataFrame:
     """``ledger_history`` from stored states, of which only the asked scopes and months are read."""
@@ -284,9 +297,8 @@ def ledger_lookup(requests: DataFrame, states: DataFrame, scope: Sequence[str],
         bounds = probes.agg(F.trunc(F.add_months(F.min(asof), -lookback_months), "month").alias("first"), F.max(asof).alias("last"))
         month = F.col("service_month")
         states = states.where((month >= bounds.select("first").scalar()) & (month <= bounds.select("last").scalar())).drop("service_month")
-    order = [F.col("procedurecode").asc_nulls_last(), *code_order()]
     return asof_topn(probes, asked_part(states, probes, scope, asof, lookback_months), scope, asof, "claimservicedate",
-                     order, n, lookback_months)
+                     line_order(), n, lookback_months)
 
 
 def ledger_history(requests: DataFrame, star: DataFrame, scope: Sequence[str], asof: str, n: int | None = None,

@@ -12,24 +12,28 @@ from ..operators import ledger as lg
 from ..operators import resolve as r
 from ..operators import results as rs
 from ..operators import stc_rules as st
+from ..operators.asof import distinct_asof
 from ..schemas import as_result_rows
-from ..session import scratch_dir
+from ..session import scratch_dir, stored
 from ..sources import requests as rq
 from ..streaming import requests as stream
 from . import bindings as b
 from .catalog import ORACLES, query
-from .history_queries import LOOKBACK_SQL, MEMBER_FACTS_SQL, REQUESTS_SQL, ledger_sql, member_history
+from .history_queries import GROUP_SCOPE, LOOKBACK_SQL, MEMBER_FACTS_SQL, REQUESTS_SQL, asked_states, ledger_sql, member_history
 from .request_queries import K_SQL, TILES_FLAT_SQL, TILES_SQL
 from .resolve_queries import CONTEXT_SQL, LINES_SQL, chains
 from .scorecard_queries import as_double
 
-GROUP_SCOPE = ["org_id", "group_number"]
-
-
 def _group_ledger(t, reqs, n=None):
     return lg.ledger_history(reqs, b.ledger_star(t), GROUP_SCOPE, "asof", n=n)
 
 
+def _group_peers(t, reqs, n=None):
+    """The stored states of the groups, each request's newest ``n`` lines or all."""
+    states = lg.newest_lines(reqs, stored(asked_states(t, reqs, GROUP_SCOPE), "states"), GROUP_SCOPE, "asof", n)
+    return states if n is None else stored(states, "newest")
+
+
 def _whole(name):
     """The SQL of a limited query without its limits."""
     sql = ORACLES[name]
@@ -68,8 +72,8 @@ def peer_tiers(t, n=200):
     k = F.col("request_id")
     code = F.when(k % 3 == 0, F.concat(F.lit("P"), k % 5)).when(k % 3 == 1, "P9").otherwise("Q1")
     reqs = b.requests(t).select("request_id", *GROUP_SCOPE, "asof").withColumn("procedurecode", code)
-    out = es.tiered_allowable(reqs, _group_ledger(t, reqs, n), [*GROUP_SCOPE, "asof"], family_length=1)
-    return out.drop(*GROUP_SCOPE, "asof")
+    out = es.tiered_allowable_asof(reqs, _group_peers(t, reqs, n), GROUP_SCOPE, "asof", family_length=1)
+    return out.drop(*GROUP_SCOPE, "asof", "peer_split")
 
 
 @query("benefit_class", f"""WITH {CONTEXT_SQL},
@@ -215,11 +219,10 @@ def estimate_from_evidence(t, n=200):
              .withColumn("is_surgical", es.is_surgical()).drop("pos_code", "billing_codes")
              .withColumn("procedurecode", F.concat(F.lit("P"), F.col("srt_id") % 5)))
     reqs = b.requests(t).select("request_id", *GROUP_SCOPE, "asof")
-    ledger = _group_ledger(t, reqs, n)
     # Peers of surgical and of other lines, each without the codes that say nothing about them.
     classes = F.explode(F.array(F.lit(False), F.lit(True)))
-    peers = ledger.withColumn("is_surgical", classes).where(es.usable_evidence("procedurecode", "is_surgical"))
-    lines = es.tiered_allowable(lines.join(reqs, "request_id"), peers, [*GROUP_SCOPE, "asof", "is_surgical"], family_length=1).drop(*GROUP_SCOPE, "asof")
+    peers = _group_peers(t, reqs, n).withColumn("is_surgical", classes).where(es.usable_evidence("procedurecode", "is_surgical"))
+    lines = es.tiered_allowable_asof(lines.join(reqs, "request_id"), peers, [*GROUP_SCOPE, "is_surgical"], "asof", family_length=1).drop(*GROUP_SCOPE, "asof")
     cents = (F.floor(F.col("peer_median") * 100 + 0.001) / 100).cast("decimal(12,2)")
     cell = lambda code, value: F.max(F.when(F.col("code") == code, F.col(value)))
     terms = e.tile_benefits(b.tiles(t)).groupBy("request_id", F.col("stc").alias("primary")).agg(
@@ -411,6 +414,15 @@ def peer_distribution_all(t):
     return peer_distribution(t, None)
 
 
+@query("peer_distribution_by_counts", ORACLES["peer_distribution_all"])
+def peer_distribution_by_counts(t):
+    """The same from running counts over the stored states, without pairing requests and lines."""
+    reqs = b.requests(t).select("request_id", *GROUP_SCOPE, "asof")
+    probes = stored(distinct_asof(reqs, GROUP_SCOPE, "asof"), "probes")
+    peers = es.peer_distribution_asof(probes, _group_peers(t, reqs), GROUP_SCOPE, "asof")
+    return reqs.join(peers, [*GROUP_SCOPE, "asof"]).drop(*GROUP_SCOPE, "asof")
+
+
 @query("peer_tiers_all", _whole("peer_tiers"))
 def peer_tiers_all(t):
     """Over all visible lines of the group."""

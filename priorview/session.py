@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the size checks for broadcasts and splits skewed join
 # partitions, so no operator in this package carries a broadcast hint.
@@ -44,3 +44,11 @@ def scratch_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="priorview-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
+
+
+def stored(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write a table that several steps read to the shared folder, and read it back: one
+    computation, and lost executors cost none of it."""
+    path = f"{scratch_dir(df.sparkSession)}/{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
