@@ -8,14 +8,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import fresh, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
-SAMPLE = 8_000        # labelled rows that a model is fitted on, expected
-WORDS = 50_000        # most words of a language in a model
+SAMPLE = 4_000        # labelled rows that a model is fitted on, expected
 LONGEST = 5           # letters of the longest n-gram
 MIX = 0.01            # share of the mean over the languages in each frequency
 EVIDENCE = 25         # words that a score counts at most
@@ -24,8 +23,11 @@ UNKNOWN = "und"
 
 
 def words_of(chunk: str) -> list[str]:
-    """The runs of letters of a lower-case text."""
-    return [w for w in WORD.findall(chunk) if not w.isnumeric()]
+    """The runs of letters (Unicode L) of a lower-case text."""
+    found = []
+    for w in WORD.findall(chunk):
+        found += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
+    return found
 
 
 def _grams(marked: str, size: int) -> list[str]:
@@ -145,18 +147,18 @@ class Scorer:
         return self.model.languages[best], float(1 / np.exp(score - score[best]).sum())
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words: int = WORDS) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model of the rows' texts and labels. Rows without text or label teach nothing.
 
-    It is fitted on about `sample` rows, chosen by a hash of their text, and keeps the `words`
-    most frequent words of each language; so its size has a bound that the table's size does
-    not enter. Without labelled rows the model has no languages.
+    It is fitted on about `sample` rows, chosen by a hash of their id and text, and on all their
+    words; so its size has a bound that the table's size does not enter. Repeated texts
+    under different ids are different rows. Without labelled rows the model has no languages.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
     scale = 1 << 30
     share = min(scale, int(scale * sample / max(1, rows.count())))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < share) if share < scale else rows
+    chosen = (rows.where(F.pmod("hash", F.lit(scale)) < share) if share < scale else rows).drop("hash")
 
     def count(batches):
         for batch in batches:
@@ -170,9 +172,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
                                               pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
 
     counts = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = stored(counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= words).drop("rank"), "words")
-    return Model.of([tuple(r) for r in kept.select("lang", "word", "n").collect()])
+    return Model.of([tuple(r) for r in stored(counts, "words").collect()])
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -182,26 +182,29 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
     has no letter (or the model has no language). The score is the probability of the
     prediction, from at most 25 words' worth of evidence; text without a known letter gets an
     even score. Only the text is looked at. Rows are independent, repeated rows stay, an empty
-    table gives no rows. The names lang_pred and score must not be among the columns.
+    table gives no rows. Where a column is called lang_pred or score, the new one's name ends in _.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    kept = docs.select(*columns)
+    names = fresh(kept, "lang_pred", "score")
+
     def run(batches):
         score = Scorer(held.value)
         for batch in batches:
             found = [score(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in found], pa.string()),
                                               pa.array([s for _, s in found], pa.float64())],
-                                             [*batch.schema.names[1:], "lang_pred", "score"])
+                                             [*batch.schema.names[1:], *names])
 
-    kept = docs.select(*columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     text = F.col(text_col).alias("\x00text")
-    return docs.select(text, *columns).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(text, *columns).mapInArrow(run, f"{kinds}, {names[0]} string, {names[1]} double")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows whose language is known with a score of `least` or more, with all their columns."""
+    """The rows whose language is known with a score of `least` or more, with all their columns,
+    whatever their names. Repeated rows and null ids stay; null texts and texts without a letter go."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -55,3 +56,47 @@ def test_held_out_accuracy(spark):
     got = language.predict(docs, model, ["doc_id", "lang", "held_out"]).where("held_out").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.98
+
+
+def test_letters_are_a_category():
+    model = language.Model.of([("a", "hello", 3), ("b", "一二", 1)])
+    score = language.Scorer(model)
+    for text in ("一。", "一", "(一)x²", "一²"):
+        assert score(text)[0] == "b" or "x" in text
+    assert score("Ⅷ ² ½ 7")[0] == "und"  # numbers that are no letters
+    assert language.words_of("a²b ⅷ一x") == ["a", "b", "一x"]
+
+
+def test_names_that_are_taken(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en", 7, "x")], "doc_id long, text string, lang string, score int, lang_pred string")
+    got = language.predict(docs, language.fit(docs), ["doc_id", "score", "lang_pred"])
+    assert got.columns == ["doc_id", "score", "lang_pred", "lang_pred_", "score_"]
+    assert tuple(got.first())[:4] == (1, 7, "x", "en")
+
+
+def test_sample_of_a_text_that_is_half_the_table(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'same words' ELSE translate(id, '0123456789', 'abcdefghij') END AS text", "'en' AS lang")
+    sizes = [len(language.fit(docs.withColumn("text", F.concat("text", F.lit(f" v{k}"))), sample=1000).words) for k in range(4)]
+    assert all(350 < n < 700 for n in sizes)  # about 500 rows of distinct words, whichever way the hash falls
+
+
+def slow(model, text):
+    words, run = [], ""
+    for c in (text or "").lower() + " ":
+        if unicodedata.category(c)[0] == "L":
+            run += c
+        elif run:
+            words.append(run)
+            run = ""
+    if not words:
+        return "und", 0.0
+    total = np.sum([np.asarray(model.word(w), np.float64) for w in words], axis=0) / len(words) * min(len(words), language.EVIDENCE)
+    return model.languages[int(np.argmax(total))], float(1 / np.exp(total - total.max()).sum())
+
+
+def test_against_a_slow_scorer_on_every_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs, sample=300)
+    for r in language.predict(docs, model, ["doc_id", "text"]).collect():
+        lang, score = slow(model, r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3
