@@ -358,6 +358,33 @@ def stream_results(t):
             .unionAll(left.select(none.cast("string"), F.lit("REJECTED"), none.cast("bigint"), none.cast("string"), "reasons")))
 
 
+@query("result_feed", """
+SELECT 'r' || o_orderkey AS request_id, CASE WHEN o_orderkey % 4 = 3 THEN 'batch' ELSE 'stream' END AS source, CAST(o_custkey % 500 AS BIGINT) AS srt_id,
+       CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS pricing_date FROM orders""")
+def result_feed(t):
+    """One result table, which a stream of four files and a batch job fill. Repeats come
+    inside a file, in a file of a month later and in the batch; each request stays once, as it
+    came first."""
+    home = scratch_dir(t.spark)
+    k = F.col("o_orderkey")
+    rows = as_result_rows(t.orders.select(
+        F.concat(F.lit("r"), k).alias("request_id"), F.lit("stream").alias("run_id"), (F.col("o_custkey") % 500).cast("bigint").alias("srt_id"),
+        b.day("o_orderdate").alias("pricing_date"), F.lit("COMPLETED").alias("status"), F.timestamp_seconds(k % 3600).cast("timestamp_ntz").alias("created_at")))
+    number = F.substring("request_id", 2, 20).cast("bigint")
+    month = F.expr("INTERVAL 30 DAYS")
+    for i in range(3):
+        part = rows.where(number % 4 == i)
+        again = rows.where((number % 4 == i - 1) & (number % 10 == 0)).withColumns({"srt_id": F.lit(-1).cast("bigint"), "created_at": F.col("created_at") + month})
+        part.unionByName(part.where(number % 5 == 0)).unionByName(again).coalesce(1).write.mode("append").parquet(f"{home}/feed")
+    feed = stream.request_stream(t.spark, f"{home}/feed", rows.schema, "parquet", max_files=1)
+    stream.start_table(feed, f"{home}/results", f"{home}/state", "stream", buckets=8, once=True).awaitTermination()
+    late = rows.where((number % 4 == 3) | (number % 7 == 0)).withColumn("run_id", F.lit("batch"))
+    for _ in range(2):  # the second run finds its record
+        stream.append_new(late, f"{home}/results", "batch-1", buckets=8)
+    found = stream.read_new(t.spark, f"{home}/results", rows.schema)
+    return found.select("request_id", F.col("run_id").alias("source"), "srt_id", F.col("pricing_date").cast("string").alias("pricing_date"))
+
+
 @query("late_outcome_join", """
 WITH out AS (SELECT l_orderkey AS k, l_shipdate AS seen, l_partkey AS ref, l_suppkey AS sup FROM lineitem JOIN orders ON l_orderkey = o_orderkey
              WHERE l_shipdate >= o_orderdate),

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 
 from priorview.streaming import requests as st
 
@@ -46,3 +47,37 @@ def test_rescore_takes_the_latest_outcome_of_open_requests(spark):
     scored = spark.createDataFrame([("b",)], "request_id string")
     got = st.rescore_open(results, outcomes, scored).collect()
     assert [(r.request_id, r.paid) for r in got] == [("a", 20)]
+
+
+def test_stream_and_batch_fill_one_table(spark, tmp_path, monkeypatch):
+    src, table, state = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "state")
+    schema = spark.createDataFrame([], KIND).schema
+
+    def run():
+        posts = st.request_stream(spark, str(src), schema, max_files=1)
+        st.start_table(posts, table, state, "feed", once=True).awaitTermination()
+
+    def rows():
+        return sorted((str(r.request_id), r.v) for r in st.read_new(spark, table, schema).collect())
+
+    write(spark, src, [("a", T0, 1), ("a", T0, 1), ("b", T0, 2)])
+    run()
+    assert rows() == [("a", 1), ("b", 2)]
+    assert st.append_new(spark.createDataFrame([("b", T0, 9), ("c", T0, 3), (None, T0, 0), (None, T0, 0)], KIND), table, "job-1")
+    assert not st.append_new(spark.createDataFrame([("z", T0, 9)], KIND), table, "job-1")
+    write(spark, src, [("a", T0 + timedelta(days=40), 8), ("c", T0 + timedelta(days=40), 8), ("d", T0, 4)])
+
+    whole = st.cm.append
+
+    def torn(frame, path, batch, partition):
+        frame.limit(1).write.mode("overwrite").partitionBy(partition).parquet(st.cm.part(path, batch))
+        raise RuntimeError("lost between the files and the record")
+
+    monkeypatch.setattr(st.cm, "append", torn)
+    with pytest.raises(Exception):
+        run()
+    monkeypatch.setattr(st.cm, "append", whole)
+    assert ("d", 4) not in rows()
+    run()  # the same micro-batch again
+    run()
+    assert rows() == [("None", 0), ("None", 0), ("a", 1), ("b", 2), ("c", 3), ("d", 4)]
