@@ -71,7 +71,7 @@ def chunks(data: bytes, least: int = LEAST, usual: int = USUAL, most: int = MOST
 def digests(text: str, **sizes: int) -> dict[str, int]:
     """Digest -> length of the distinct chunks of the text's UTF-8 bytes."""
     data = text.encode("utf-8", "surrogatepass")
-    return {xxhash.xxh64_hexdigest(data[a:b])[:12]: b - a for a, b in chunks(data, **sizes)}
+    return {xxhash.xxh64_hexdigest(data[a:b]): b - a for a, b in chunks(data, **sizes)}
 
 
 def to_text(fingerprint: dict[str, int]) -> str:
