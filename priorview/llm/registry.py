@@ -7,7 +7,7 @@ from . import align, chat, chunks, decontaminate, language, licenses, lines, pac
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_url_filter": urls.op2_url_filter,
-    "op2_url_filter_whole": urls.op2_url_filter_whole,
+    "op2_url_filter_whole": urls.op2_url_filter,
     "op3_chat_format": chat.op3_chat_format,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_language_id": language.op5_language_id,
@@ -23,6 +23,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": urls.OP2_SQL,
+    "op2_url_filter_whole": urls.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op12_conversation_repair": repair.OP12_SQL,

@@ -12,8 +12,7 @@ from .common import fresh, stored, table
 
 # The rules of the query.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-DEPTH = 6             # segments that a template names; what lies deeper is one wildcard
-LEAST, SHARE = 20, 20  # a segment is literal from LEAST urls and 1/SHARE of its parent's on
+LEAST = 20            # a segment is literal from so many urls of its parent on
 WEIGHT = 20           # labels that a prior is worth
 BANDS = 10            # of purity; alike branches of a band are merged
 REJECT_PCT = 50       # purity in percent from which a template is rejected
@@ -41,40 +40,30 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return out
 
 
-def templates(urls: DataFrame, depth: int | None = None, share: int | None = None) -> DataFrame:
+def templates(urls: DataFrame) -> DataFrame:
     """(host, path, n, labelled, bad) of distinct urls -> the same with their `template`.
 
     Level by level, a segment below the template so far stays literal if LEAST urls of that
-    template have it (and one in `share`, if given), and becomes a wildcard otherwise. Without
-    `depth` the levels end where no segment has so many urls. A level is a partial aggregate
-    and an equi-join back, written to the shared folder.
+    template have it, and becomes a wildcard otherwise, at any depth; the levels end where no
+    segment has so many urls. A level is a partial aggregate and an equi-join back, written to
+    the shared folder.
     """
     tree = urls.withColumns({"segs": F.when(F.col("path") == "", F.array().cast("array<string>"))
                              .otherwise(F.split(F.expr("substring(path, 2)"), "/", -1)), "template": F.lit("")})
-    most = int(urls.agg(F.coalesce(F.max(F.size(F.split("path", "/", -1))), F.lit(0))).first()[0])
     level = 0
-    while level < (most if depth is None else min(depth, most)):
+    while True:
         tree = stored(tree.withColumn("seg", F.get("segs", F.lit(level))), "url-tree")
-        counts = (tree.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("own"))
-                  .withColumn("key", F.when(F.col("own") >= LEAST, F.col("seg"))))
-        kept = counts.where("key is not null")
-        if share is not None:
-            totals = counts.groupBy("host", "template").agg(F.sum("own").alias("all"))
-            kept = kept.join(totals, ["host", "template"]).where(F.col("own") * share >= F.col("all"))
-        kept = kept.select("host", "template", "seg", F.lit(True).alias("literal"))
-        if depth is None and kept.isEmpty():
-            tree = tree.drop("seg")
+        kept = (tree.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("own"))
+                .where(F.col("own") >= LEAST).select("host", "template", "seg", F.lit(True).alias("literal")))
+        if kept.isEmpty():
             break
         tree = tree.join(kept, ["host", "template", "seg"], "left").withColumn(
             "template", F.when(F.col("seg").isNull(), F.col("template"))
             .when(F.col("literal"), F.concat("template", F.lit("/"), "seg")).otherwise(F.concat("template", F.lit("/*")))
         ).drop("seg", "literal")
         level += 1
-    if depth is None:  # no deeper segment is literal
-        rest = F.greatest(F.lit(0), F.size("segs") - level)
-        return tree.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).drop("segs")
-    more = F.when(F.size("segs") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return tree.withColumn("template", more).drop("segs")
+    rest = F.greatest(F.lit(0), F.size("segs") - level)  # no deeper segment is literal
+    return tree.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).drop("segs", "seg")
 
 
 def purity(bad: Column, labelled: Column, prior: Column) -> Column:
@@ -94,7 +83,7 @@ def rejected_templates(found: DataFrame) -> DataFrame:
     total = hosts.agg(F.sum("host_bad"), F.sum("host_labelled")).first()
     overall = F.lit((total[0] or 0) / max(1, total[1] or 0))
     hosts = hosts.select("host", purity(F.col("host_bad"), F.col("host_labelled"), overall).alias("prior"))
-    shape = F.regexp_replace("template", r"/(?!\*\*?(/|$))[^/]*", "/x")
+    shape = F.regexp_replace("template", r"/(?!\*(/|$))[^/]*", "/x")
     own = stats.join(hosts, "host").withColumns({
         "shape": shape, "band": F.floor(purity(F.col("bad"), F.col("labelled"), F.col("prior")) * BANDS)})
     merged = own.groupBy("host", "shape", "band").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.first("prior").alias("p"))
@@ -103,7 +92,7 @@ def rejected_templates(found: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, url_col: str = "url", bad_col: str | None = None,
-           rules: list[tuple[str, str]] = RULES, depth: int | None = None, share: int | None = None) -> DataFrame:
+           rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """Every page with host, path, rule, template and verdict.
 
     The verdict is the rule's; without a rule it is `block` if the url's template is rejected by
@@ -121,7 +110,7 @@ def judged(pages: DataFrame, url_col: str = "url", bad_col: str | None = None,
     rows = pages.withColumns({h: host, p: path, b: bad})
     urls = rows.groupBy(F.col(h).alias("host"), F.col(p).alias("path")).agg(
         F.count("*").alias("n"), F.count(b).alias("labelled"), F.count_if(F.col(b)).alias("bad"))
-    found = stored(templates(urls, depth, share).select("host", "path", "template", "labelled", "bad"), "url-found")
+    found = stored(templates(urls).select("host", "path", "template", "labelled", "bad"), "url-found")
     verdicts = found.join(rejected_templates(found), ["host", "template"])
     th, tp, t, r = fresh(rows, "tree_host", "tree_path", "tree_template", "tree_rejected")
     verdicts = verdicts.select(F.col("host").alias(th), F.col("path").alias(tp), F.col("template").alias(t), F.col("rejected").alias(r))
@@ -138,43 +127,27 @@ def judged(pages: DataFrame, url_col: str = "url", bad_col: str | None = None,
 NUMBER = r"/([0-9]{1,18})(\.html)?/?$"
 
 
-def op2_url_filter(spark: SparkSession, sf_dir: str, depth: int | None = DEPTH, share: int | None = SHARE) -> DataFrame:
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are those of the document that a url's last number names: bad if of low quality
-    or toxic. Templates name up to `depth` segments, each of one in `share` of its parent's urls."""
+    or toxic."""
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("number")).agg(
         F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     number = F.expr("try_cast(x as bigint)")
     path = host_and_path(F.col("url"))[1]
     pages = pages.withColumn("x", F.regexp_extract(path, NUMBER, 1)).withColumn("number", number).drop("x")
-    out = judged(pages.join(labels, "number", "left"), bad_col="bad", depth=depth, share=share)
+    out = judged(pages.join(labels, "number", "left"), bad_col="bad")
     return out.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-def op2_url_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with every segment of LEAST urls as a branch, at any depth."""
-    return op2_url_filter(spark, sf_dir, None, None)
-
-
 def _sql() -> str:
     def purity_sql(bad: str, labelled: str, prior: str) -> str:
         return f"(({bad}) + {WEIGHT} * ({prior})) / (({labelled}) + {WEIGHT})"
 
     fits = [f"WHEN (host = '{r.partition('/')[0]}' OR suffix(host, '.{r.partition('/')[0]}')) AND "
             f"prefix(path, '/{r.partition('/')[2]}') THEN '{r}'" for r, _ in sorted(RULES, key=lambda r: (-len(r[0]), r[0]))]
-    levels, last = [], "t0"
-    for k in range(DEPTH):
-        levels.append(f"""
-c{k} AS (SELECT host, template, segs[{k + 1}] AS seg, sum(n) AS own FROM {last} WHERE len(segs) > {k} GROUP BY ALL),
-a{k} AS (SELECT host, template, sum(own) AS all_n FROM c{k} GROUP BY ALL),
-k{k} AS (SELECT c.host, c.template, c.seg FROM c{k} c JOIN a{k} a USING (host, template)
-         WHERE c.own >= {LEAST} AND c.own * {SHARE} >= a.all_n),
-t{k + 1} AS (SELECT t.* EXCLUDE (template), CASE WHEN len(t.segs) <= {k} THEN t.template WHEN k.seg IS NOT NULL
-             THEN t.template || '/' || k.seg ELSE t.template || '/*' END AS template
-             FROM {last} t LEFT JOIN k{k} k ON t.host = k.host AND t.template = k.template AND t.segs[{k + 1}] = k.seg)""")
-        last = f"t{k + 1}"
     return f"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
     SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages
 ), parts AS (
     SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{ascii_uppercase}', '{ascii_lowercase}') AS host,
@@ -184,13 +157,19 @@ marked AS (SELECT p.*, l.is_bad FROM parts p LEFT JOIN lab l
            ON l.doc_id = try_cast(regexp_extract(p.path, '{NUMBER}', 1) AS BIGINT)),
 t0 AS (SELECT host, path, count(*) AS n, count(is_bad) AS labelled, count(*) FILTER (WHERE is_bad) AS bad,
        CASE WHEN path = '' THEN [] ELSE string_split(path[2:], '/') END AS segs, '' AS template FROM marked GROUP BY host, path),
-{",".join(levels)},
-found AS (SELECT * EXCLUDE (template), CASE WHEN len(segs) > {DEPTH} THEN template || '/**' ELSE template END AS template FROM {last}),
+tree AS (
+    SELECT 0 AS level, * FROM t0
+    UNION ALL
+    SELECT level + 1, host, path, n, labelled, bad, segs, template || '/' || CASE
+           WHEN sum(n) OVER (PARTITION BY host, template, segs[level + 1]) >= {LEAST} THEN segs[level + 1] ELSE '*' END
+    FROM tree WHERE len(segs) > level
+),
+found AS (SELECT * FROM tree WHERE level = len(segs)),
 stats AS (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad FROM found GROUP BY ALL),
 total AS (SELECT sum(bad) / greatest(1, sum(labelled)) AS p FROM stats),
 hosts AS (SELECT host, {purity_sql('sum(bad)', 'sum(labelled)', 'any_value(total.p)')} AS prior FROM stats, total GROUP BY host),
 own AS (SELECT s.*, h.prior, floor({purity_sql('s.bad', 's.labelled', 'h.prior')} * {BANDS}) AS band,
-        list_transform(string_split(template, '/'), lambda x: CASE WHEN x IN ('*', '**') THEN x ELSE 'x' END) AS shape
+        list_transform(string_split(template, '/'), lambda x: CASE WHEN x = '*' THEN x ELSE 'x' END) AS shape
         FROM stats s JOIN hosts h USING (host)),
 merged AS (SELECT host, shape, band, {purity_sql('sum(bad)', 'sum(labelled)', 'any_value(prior)')} * 100 >= {REJECT_PCT} AS rejected
            FROM own GROUP BY host, shape, band),
