@@ -93,6 +93,22 @@ def column_profile(t):
     return tb.column_profile(t.supplier).select("ordinal", "column_name", "data_type", "null_count", "min_value", "max_value")
 
 
+PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+@query("column_distincts", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS null_count, COUNT(DISTINCT {c}) AS n_distinct, TRUE AS near FROM orders"
+    for c in PROFILED))
+def column_distincts(t):
+    """Sketches of each year, merged, against exact counts; near is within a twentieth."""
+    rows = t.orders.select(F.year("o_orderdate").alias("year"), *PROFILED)
+    merged = tb.merged_profile(tb.column_sketches(rows, "year"))
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in PROFILED]))
+    exact = t.orders.select(cells).where("value is not null").distinct().groupBy("column_name").agg(F.count("value").alias("n_distinct"))
+    off = F.abs(F.col("distinct_estimate") - F.col("n_distinct"))
+    return merged.join(exact, "column_name").select("column_name", "n_rows", "null_count", "n_distinct", (off <= 0.05 * F.col("n_distinct")).alias("near"))
+
+
 @query("eligibility_requests", f"""WITH {LINES_SQL},
 each AS (SELECT request_id, UNNEST(list_concat([prim], secs)) AS stc FROM per_srt UNION SELECT request_id, '30' FROM per_srt)
 SELECT DISTINCT e.request_id, e.stc,

@@ -57,3 +57,21 @@ def column_profile(df: DataFrame) -> DataFrame:
                              F.col(f"d{i}").alias("distinct_estimate"), F.col(f"l{i}").alias("min_value"),
                              F.col(f"h{i}").alias("max_value")))
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def column_sketches(df: DataFrame, *parts: str) -> DataFrame:
+    """(parts, column_name, n_rows, null_count, sketch): for each part of a table and each other
+    column a distinct-count sketch that adds up, to be kept beside the table."""
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("_value"))
+                               for c in df.columns if c not in parts]))
+    return df.select(*parts, cells).groupBy(*parts, "column_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("_value").isNull()).alias("null_count"),
+        F.hll_sketch_agg("_value").alias("sketch"))
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """(column_name, n_rows, null_count, distinct_estimate) of the parts together. The estimate is
+    usually within 2 % of the exact count; the table itself is not read again."""
+    return sketches.groupBy("column_name").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("null_count").alias("null_count"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_estimate"))
