@@ -191,15 +191,16 @@ surg AS (SELECT sc.srt, BOOL_OR(grp = 'Surgery' OR days > 0) AS sc FROM sc JOIN
 l AS (SELECT c.request_id, c.srt, 'P' || (c.srt % 5) AS code, c.prim, c.srt % 29 <> 0 AND
         (c.prim = '2' OR p.p_size % 6 = 0 OR COALESCE(surg.sc, FALSE)) OR c.srt % 29 = 0 AND c.prim = '2' AS surgical
       FROM per_srt c JOIN part p ON p.p_partkey = c.srt LEFT JOIN surg ON surg.srt = c.srt),
-cents AS (SELECT rid, code, allowable FROM topn),
-t1 AS (SELECT rid, code, median(CAST(allowable AS DOUBLE)) AS m FROM cents GROUP BY 1, 2),
-t2 AS (SELECT rid, left(code, 1) AS fam, median(CAST(allowable AS DOUBLE)) AS m FROM cents GROUP BY 1, 2),
-t3 AS (SELECT rid, median(CAST(allowable AS DOUBLE)) AS m FROM cents GROUP BY 1),
+cents AS (SELECT rid, code, allowable, CASE WHEN COALESCE(copay, 0) + COALESCE(coins, 0) + COALESCE(deduct, 0) = 0 THEN 1.0 ELSE 0.0 END AS z FROM topn),
+t1 AS (SELECT rid, code, median(CAST(allowable AS DOUBLE)) AS m, AVG(z) AS z FROM cents GROUP BY 1, 2),
+t2 AS (SELECT rid, left(code, 1) AS fam, median(CAST(allowable AS DOUBLE)) AS m, AVG(z) AS z FROM cents GROUP BY 1, 2),
+t3 AS (SELECT rid, median(CAST(allowable AS DOUBLE)) AS m, AVG(z) AS z FROM cents GROUP BY 1),
 mine AS (SELECT r.request_id, 'P' || (f.claim_ref % 5) AS code, COUNT(*) AS n, MAX(v) AS mx, MIN(v) AS mn, AVG(CAST(v AS DOUBLE)) AS mean
   FROM requests r JOIN (SELECT *, CASE WHEN member_id % 9 = 0 THEN 0 ELSE ROUND(pnr * CAST(0.001 AS DECIMAL(4,3)), 2) END AS v FROM facts) f
   ON f.member_id = r.member_id AND {LOOKBACK_SQL.format(d='f.dos')} GROUP BY 1, 2),
 x0 AS (SELECT l.*, bt.copay, COALESCE(bt.pct, 0) AS pct, COALESCE(bt.ded, 0) AS ded, good.stc IS NOT NULL AS has_tile, mine.n, mine.mx, mine.mn, mine.mean,
-    CAST(FLOOR(COALESCE(t1.m, t2.m, t3.m) * 100 + 0.001) / 100 AS DECIMAL(12,2)) AS allowable
+    CAST(FLOOR(COALESCE(t1.m, t2.m, t3.m) * 100 + 0.001) / 100 AS DECIMAL(12,2)) AS allowable,
+    COALESCE(CASE WHEN t1.m IS NOT NULL THEN t1.z WHEN t2.m IS NOT NULL THEN t2.z ELSE t3.z END BETWEEN 0.25 AND 0.75, FALSE) AS split
   FROM l LEFT JOIN bt ON bt.request_id = l.request_id AND bt.stc = l.prim LEFT JOIN good ON good.request_id = l.request_id AND good.stc = l.prim
   LEFT JOIN t1 ON t1.rid = l.request_id AND t1.code = l.code LEFT JOIN t2 ON t2.rid = l.request_id AND t2.fam = left(l.code, 1)
   LEFT JOIN t3 ON t3.rid = l.request_id LEFT JOIN mine ON mine.request_id = l.request_id AND mine.code = l.code),
@@ -209,7 +210,7 @@ x2 AS (SELECT *, CASE WHEN owed IS NOT NULL THEN ROUND(GREATEST(owed, 0), 2) END
 x3 AS (SELECT *, CASE WHEN same THEN mx ELSE rule END AS est, COALESCE(NOT (same AND mx = 0) AND ABS(mean - CAST(rule AS DOUBLE)) > 5
     AND ABS(mean - CAST(rule AS DOUBLE)) > 0.25 * ABS(CAST(rule AS DOUBLE)), FALSE) AS dif FROM x2)
 SELECT request_id, srt AS srt_id, surgical AS is_surgical, has_tile AS has_primary_tile, CAST(CASE WHEN has_tile THEN est END AS DOUBLE) AS estimate,
-  CASE WHEN est IS NULL OR NOT has_tile THEN 0 WHEN dif THEN 1 ELSE 3 END AS conf_rank FROM x3""")
+  CASE WHEN est IS NULL OR NOT has_tile THEN 0 WHEN dif THEN 1 WHEN split THEN 2 ELSE 3 END AS conf_rank FROM x3""")
 def estimate_from_evidence(t, n=200):
     """D18-D24 from real evidence: the line's chain, procedure context and tile, the group's ledger
     without codes of the wrong class, and the member's own outcomes of the same code. Of the group, its newest ``n`` lines."""
@@ -236,7 +237,7 @@ def estimate_from_evidence(t, n=200):
               .join(own, ["request_id", "procedurecode"], "left")
               .withColumns({"peer_median": cents, "own_allowable": none, "tile_rate": none, "market_allowable": none, "copay_mode": none,
                             "copay_differs": F.lit(False), "oop_remaining": none, "spend": none, "spend_override": none,
-                            "base_rank": F.lit(es.HIGH), "is_split": F.lit(False)})
+                            "base_rank": F.lit(es.HIGH), "is_split": F.coalesce("peer_split", F.lit(False))})
               .withColumn("deductible_remaining", es.remaining_amount("spend", "spend_override", "tile_remaining")))
     out = es.cap_confidence(es.estimate_cost_share(es.choose_allowable(joined)))
     return as_double(out.select("request_id", "srt_id", "is_surgical", "has_primary_tile", "estimate", "conf_rank"), "estimate")
