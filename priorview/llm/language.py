@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import fresh, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
-SAMPLE = 4_000        # labelled rows that a model is fitted on, expected
+SAMPLE = 2_000        # labelled rows that a model is fitted on, expected
 LONGEST = 5           # letters of the longest n-gram
 MIX = 0.01            # share of the mean over the languages in each frequency
 EVIDENCE = 25         # words that a score counts at most
