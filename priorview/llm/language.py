@@ -18,7 +18,7 @@ SAMPLE = 2_000        # labelled rows that a model is fitted on, expected
 LONGEST = 5           # letters of the longest n-gram
 MIX = 0.01            # share of the mean over the languages in each frequency
 EVIDENCE = 25         # words that a score counts at most
-CACHE = 500_000       # chunks of text that a Python worker remembers
+CACHE = 250_000       # chunks of text that a Python worker remembers
 UNKNOWN = "und"
 
 
