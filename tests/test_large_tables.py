@@ -7,6 +7,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from oracle import TABLES, compare, duck
+from priorview.operators import sliding as sl
+from priorview.plans import bindings as b
 from priorview.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +32,15 @@ def test_own_outcomes_count_every_claim(spark, busy_member):
     con = duck(busy_member)
     for name in ("confidence_caps", "estimate_cost_share"):
         assert compare(registry.QUERIES[name](spark, busy_member), con, registry.ORACLES[name]) == ""
+
+
+def test_states_are_not_sent_through_the_driver(spark, tmp_path):
+    spark.sql("SELECT 1 AS k, DATE'2023-01-01' AS valid_from, DATE'2023-09-01' AS valid_to, 1.0D AS v").write.parquet(f"{tmp_path}/states")
+    spark.sql("SELECT 1 AS k, DATE'2023-02-01' AS at").write.parquet(f"{tmp_path}/probes")
+    states, probes = spark.read.parquet(f"{tmp_path}/states"), spark.read.parquet(f"{tmp_path}/probes")
+    found = sl.visible_median(probes, states, ["k"], "at", "v")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert [r.median for r in found.collect()] == [1.0]
+    lines = b._lines_with_customer(b.Tables(spark, SF))
+    assert "SortMergeJoin" in lines._jdf.queryExecution().executedPlan().toString()
