@@ -9,7 +9,7 @@ import pytest
 from oracle import TABLES, compare, duck
 from priorview.operators import sliding as sl
 from priorview.plans import bindings as b
-from priorview.plans import registry
+from priorview.plans import estimate_queries, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,28 @@ def test_states_are_not_sent_through_the_driver(spark, tmp_path):
     assert [r.median for r in found.collect()] == [1.0]
     lines = b._lines_with_customer(b.Tables(spark, SF))
     assert "SortMergeJoin" in lines._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def crowded_days(tmp_path):
+    """Requests of one organisation's groups that come on few days, so that many share group and day."""
+    for name in TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    late = pq.read_table(f"{SF}/orders.parquet").to_pandas()
+    late["o_orderdate"] = late["o_orderdate"].where(late["o_orderdate"] < datetime(1996, 1, 1), datetime(1996, 6, 1))
+    (tmp_path / "orders.parquet").unlink()
+    pq.write_table(pa.Table.from_pandas(late, pq.read_schema(f"{SF}/orders.parquet"), preserve_index=False), tmp_path / "orders.parquet")
+    return str(tmp_path)
+
+
+def test_requests_of_a_group_and_day_share_one_list(spark, crowded_days, monkeypatch):
+    listed, bundles = [], estimate_queries.rs.evidence_bundles
+
+    def watched(requests, parts, **options):
+        listed.extend(part.select("request_id").distinct().count() for name, part in parts.items() if name == "grp")
+        return bundles(requests, parts, **options)
+
+    monkeypatch.setattr(estimate_queries.rs, "evidence_bundles", watched)
+    found = registry.QUERIES["evidence_bundle"](spark, crowded_days)
+    assert compare(found, duck(crowded_days), registry.ORACLES["evidence_bundle"]) == ""
+    assert 0 < listed[0] < found.where("n_grp > 0").count() / 2
