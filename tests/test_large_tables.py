@@ -69,3 +69,8 @@ def test_requests_of_a_group_and_day_share_one_list(spark, crowded_days, monkeyp
     found = registry.QUERIES["evidence_bundle"](spark, crowded_days)
     assert compare(found, duck(crowded_days), registry.ORACLES["evidence_bundle"]) == ""
     assert 0 < listed[0] < found.where("n_grp > 0").count() / 2
+
+
+def test_peers_of_all_lines_are_counted_not_paired(spark):
+    plan = registry.QUERIES["peer_distribution_all"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan
