@@ -74,3 +74,14 @@ def test_requests_of_a_group_and_day_share_one_list(spark, crowded_days, monkeyp
 def test_peers_of_all_lines_are_counted_not_paired(spark):
     plan = registry.QUERIES["peer_distribution_all"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_a_delivery_is_not_one_task(spark, monkeypatch):
+    frame, plain = type(spark.range(1)), type(spark.range(1)).coalesce
+
+    def watched(self, n):
+        assert "request_id" not in self.columns, "a delivery goes through one task"
+        return plain(self, n)
+
+    monkeypatch.setattr(frame, "coalesce", watched)
+    assert registry.QUERIES["result_feed"](spark, SF).count() > 0
