@@ -31,6 +31,7 @@ TRIED = 1000            # edited copies on which recall is measured
 GROWTH = 1.25           # of the window from one class of items to the next
 BLOCK = 20_000          # items sent to a task at once
 RUN = 500_000           # words looked at together
+GROUP = 1 << 14         # windows walked together
 
 
 PAIR_BITS = 22
@@ -53,15 +54,28 @@ def words(text: str | None) -> list[str]:
 
 def _walk(symbols: np.ndarray, starts: np.ndarray, window: int, mult: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """Bucket keys of the windows at `starts`: the symbols under the walk at the given steps."""
-    pos = np.zeros(len(starts), np.int64)
+    return _walk_after(symbols + np.uint64(1), starts, window, mult, steps)
+
+
+def _walk_after(after: np.ndarray, starts: np.ndarray, window: int, mult: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """`_walk` from the symbols plus one. Windows go in groups that stay in a core's cache."""
+    return np.concatenate([_keys(after, starts[k:k + GROUP], window, mult, steps) for k in range(0, len(starts), GROUP)]
+                          or [np.empty(0, np.uint64)])
+
+
+def _keys(after: np.ndarray, starts: np.ndarray, window: int, mult: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    at, end = starts.astype(np.int64), starts + window
     key = np.full(len(starts), np.uint64(0x9E3779B97F4A7C15), np.uint64)
     wanted = set(steps.tolist())
     for step in range(int(steps[-1]) + 1):
-        here = np.where(pos < window, symbols[np.minimum(starts + pos, len(symbols) - 1)], np.uint64(PAD))
+        # A walk is at most one word further with each step, so only the later steps can leave the window.
+        here = after[at] if step < window else np.where(at < end, after[np.minimum(at, len(after) - 1)], np.uint64(PAD + 1))
         if step in wanted:
-            key = (key ^ here) * np.uint64(0xD6E8FEB86659FD93)
+            key = (key ^ here - np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
-        pos += ((here + np.uint64(1)) * mult[step] >> np.uint64(63)).astype(np.int64)
+        here *= mult[step]
+        here >>= np.uint64(63)
+        at += here.view(np.int64)
     return key
 
 
@@ -164,6 +178,7 @@ class Index:
         symbols = np.zeros(int((lengths + gap).sum()) + 1, np.uint64)
         for (_, w), a in zip(rows, first, strict=True):
             symbols[a:a + len(w)] = np.fromiter(map(self.symbol.get, w, repeat(OTHER)), np.uint64, len(w))
+        after = symbols + np.uint64(1)
         known = np.concatenate([[0], np.cumsum(symbols > OTHER)])
         follow = np.concatenate([[0], np.cumsum(self.pairs[_pair_slots(symbols)])])
         pairs = []
@@ -178,7 +193,7 @@ class Index:
             for at in range(0, len(starts), 1 << 18):
                 some = starts[at:at + (1 << 18)]
                 for (mult, where), keys, items in zip(c.walks, c.keys, c.items, strict=True):
-                    key = _walk(symbols, some, c.window, mult, where)
+                    key = _walk_after(after, some, c.window, mult, where)
                     lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                     hit = np.nonzero(hi > lo)[0]
                     n = (hi - lo)[hit]
@@ -189,6 +204,7 @@ class Index:
         pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
         row = np.searchsorted(first, pairs[0], "right") - 1
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        held = np.zeros(len(self.symbol) + 2, bool)  # marks of the symbols of a stretch
         for k, start, item in zip(row.tolist(), pairs[0].tolist(), pairs[1].tolist(), strict=True):
             most, x = self.most[item], self.items[item]
             had = best.get((k, item))
@@ -196,7 +212,10 @@ class Index:
                 continue
             lo = max(int(first[k]), start - most)
             text = symbols[lo:min(int(first[k] + lengths[k]), start + len(x) + 2 * most)]
-            if np.isin(x, text).sum() < len(x) - most:
+            held[text] = True
+            enough = held[x].sum() >= len(x) - most
+            held[text] = False
+            if not enough:
                 continue
             edits, end = distance(x, text)
             if edits <= most and (not had or edits < had[0]):

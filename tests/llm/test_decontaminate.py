@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -106,3 +107,34 @@ def test_recall_of_each_class_at_the_largest_distance():
         for walk in c.walks:
             found |= d._walk(heads, at, w, *walk) == d._walk(copies, at, w, *walk)
         assert found.mean() >= 0.965, n
+
+
+def test_walks_read_a_word_once():
+    """The walk is the plain one, over windows up to the last word, at well under its work."""
+    rng = np.random.default_rng(4)
+    symbols, window = rng.integers(0, 900, 120_000).astype(np.uint64), 30
+    starts = np.arange(len(symbols) - window + 1)
+    mult = rng.integers(1, 1 << 63, 2 * window, np.uint64) * np.uint64(2) + np.uint64(1)
+    steps = np.array([3, 17, 38, 51])
+
+    def plain():
+        pos, key = np.zeros(len(starts), np.int64), np.full(len(starts), np.uint64(0x9E3779B97F4A7C15), np.uint64)
+        for step in range(52):
+            here = np.where(pos < window, symbols[np.minimum(starts + pos, len(symbols) - 1)], np.uint64(d.PAD))
+            if step in steps:
+                key = (key ^ here) * np.uint64(0xD6E8FEB86659FD93)
+                key ^= key >> np.uint64(32)
+            pos += ((here + np.uint64(1)) * mult[step] >> np.uint64(63)).astype(np.int64)
+        return key
+
+    def seconds(run):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            run()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    assert (d._walk(symbols, starts, window, mult, steps) == plain()).all()
+    assert not len(d._walk(symbols, starts[:0], window, mult, steps))
+    assert seconds(lambda: d._walk(symbols, starts, window, mult, steps)) < 0.8 * seconds(plain)
