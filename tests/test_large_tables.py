@@ -5,11 +5,14 @@ from datetime import datetime, timedelta
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import TABLES, compare, duck
+from priorview.operators import ledger as lg
 from priorview.operators import sliding as sl
 from priorview.plans import bindings as b
 from priorview.plans import estimate_queries, registry
+from test_ledger import STAR, random_star
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +88,10 @@ def test_a_delivery_is_not_one_task(spark, monkeypatch):
 
     monkeypatch.setattr(frame, "coalesce", watched)
     assert registry.QUERIES["result_feed"](spark, SF).count() > 0
+
+
+def test_states_come_without_a_table_of_daily_rows(spark):
+    star = b.ledger_star(b.Tables(spark, SF))
+    plan = lg.line_states(star, ["org_id", "patientid"])._jdf.queryExecution().optimizedPlan().toString()
+    sums = [line for line in plan.splitlines() if "Aggregate [" in line and "posted_on" in line]
+    assert len(sums) == 1, "only the first day of a claim line is an aggregate of postings"
