@@ -95,3 +95,8 @@ def test_states_come_without_a_table_of_daily_rows(spark):
     plan = lg.line_states(star, ["org_id", "patientid"])._jdf.queryExecution().optimizedPlan().toString()
     sums = [line for line in plan.splitlines() if "Aggregate [" in line and "posted_on" in line]
     assert len(sums) == 1, "only the first day of a claim line is an aggregate of postings"
+
+
+def test_a_history_with_eligibility_is_worked_out_once(spark):
+    plan = registry.QUERIES["ledger_with_eligibility"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posted_on" not in plan
