@@ -100,3 +100,13 @@ def test_states_come_without_a_table_of_daily_rows(spark):
 def test_a_history_with_eligibility_is_worked_out_once(spark):
     plan = registry.QUERIES["ledger_with_eligibility"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "posted_on" not in plan
+
+
+def test_a_batch_meets_its_cells_in_one_join(spark, tmp_path, monkeypatch):
+    worked, states_of = [], lg.states_of
+    monkeypatch.setattr(lg, "states_of", lambda daily, *more: worked.append(daily) or states_of(daily, *more))
+    star = spark.createDataFrame(random_star(3), STAR)
+    for batch, rows in (("a", F.col("claimid") % 2 == 0), ("b", F.col("claimid") % 2 == 1)):
+        lg.apply_postings(star.where(rows), str(tmp_path / "ledger"), ["org_id", "patientid"], batch)
+    joins = [frame._jdf.queryExecution().optimizedPlan().toString().count("Join ") for frame in worked]
+    assert joins == [0, 1]
