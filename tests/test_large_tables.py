@@ -116,3 +116,11 @@ def test_a_claim_is_found_before_codes_multiply_its_lines(spark):
     plan = registry.QUERIES["scorecard_line_level"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = lambda key: next(i for i, line in enumerate(plan) if f"Join Inner, ({key}#" in line)
     assert at("srt_id") < at("request_id"), "the join on request_id is the inner one"
+
+
+@pytest.mark.parametrize("name", ["group_history_topn", "group_ledger_with_eligibility", "peer_distribution"])
+def test_newest_lines_of_a_group_are_sought_month_by_month(spark, monkeypatch, name):
+    seen, topn = [], lg.asof_topn
+    monkeypatch.setattr(lg, "asof_topn", lambda *args: seen.append(args[-1]) or topn(*args))
+    registry.QUERIES[name](spark, SF)
+    assert seen == [1]
