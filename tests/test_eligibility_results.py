@@ -51,6 +51,22 @@ def test_forwarded_own_and_gate(spark):
     assert gate[5].gate_error == "no tile came back"
 
 
+def test_only_checks_that_count_are_parsed(spark):
+    sent = spark.createDataFrame([(1, 0, "98", None)], "request_id int, pos int, stc string, response string")
+    own = spark.createDataFrame([(1, 0, "30", 200, "{}"), (2, 0, "30", 200, "{}"), (None, 0, "30", 500, "{}")],
+                                "request_id int, pos int, stc string, http_status int, body string")
+    parsed = []
+
+    def classify(rows):
+        parsed.extend(x.request_id for x in rows.collect())
+        return se.classify_responses(rows)
+
+    tiles = e.choose_tiles(sent.withColumn("response", F.parse_json("response")), own, classify=classify)
+    assert set(parsed) == {2, None}
+    assert {(x.request_id, x.ok, x.eligibility_source) for x in tiles.collect()} == {
+        (1, True, "forwarded"), (2, True, "self"), (None, False, "self")}
+
+
 def test_request_rules_keep_unknown_keys(spark):
     good = ('{"requestId":"a","x":1,"dto":{"dateOfBirth":"d","serviceDate":"2024-01-02","orgId":1,"zz":[1],'
             '"primaryInsurance":{"memberId":"m","payer":"p"},"hrtToSrts":[{"hrtId":1,"srtIds":[2,2]}]}}')
