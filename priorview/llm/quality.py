@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from math import log, log1p, pi
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -74,6 +75,12 @@ def base_failed() -> Column:
     return F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
 
 
+def _value(rule: str) -> Column:
+    """A rule's value. Divisors are 1 at least: Spark may work a division out ahead of the base rules
+    that set texts without words aside."""
+    return F.least(F.expr(re.sub(r"div (\w+)", r"div greatest(\1, 1)", RULES[rule])), F.lit(TOP))
+
+
 def _log_factorial(x: Column) -> Column:
     """Of whole numbers: Stirling's series beyond 8, which is exact to a double's precision there."""
     y = x + 9.0
@@ -115,7 +122,7 @@ def cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     nothing. What is windowed here has at most TOP + 1 rows for a rule of a stratum.
     """
     known = labels.where("quality in (0, 1)").groupBy("id").agg(F.max("quality").alias("quality"))
-    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.expr(v), F.lit(TOP)).cast("int").alias("value")) for r, v in RULES.items()])
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), _value(r).cast("int").alias("value")) for r in RULES])
     rows = features.where(~base_failed()).join(known, "id").select(
         "stratum", "quality", (F.crc32(F.col("id").cast("string")) % 3 == 0).alias("chooses"), F.inline(rules))
     count = lambda cond: F.count_if(cond).alias
@@ -137,8 +144,8 @@ def with_verdicts(features: DataFrame, limits: DataFrame) -> DataFrame:
     reach a cutoff of their stratum are not kept."""
     limits = limits.withColumnsRenamed({c: f"{c}_cutoff" for c in limits.columns})
     reached = F.lit(False)
-    for rule, value in RULES.items():
-        reached = reached | F.coalesce(F.least(F.expr(value), F.lit(TOP)) >= F.col(f"{rule}_cutoff"), F.lit(False))
+    for rule in RULES:
+        reached = reached | F.coalesce(_value(rule) >= F.col(f"{rule}_cutoff"), F.lit(False))
     joined = features.join(limits, features.stratum.eqNullSafe(limits.stratum_cutoff), "left")
     return joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~reached}).drop(*limits.columns)
 

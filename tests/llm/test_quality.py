@@ -105,6 +105,15 @@ def test_no_labels_and_few_labels_reject_nothing_more(spark):
     assert q.judged(docs(spark, []), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_texts_without_words_beside_cutoffs(spark):
+    rows, labels = corpus(random.Random(11), 4000)
+    bare = [(10_000 + i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in (None, "", " \t\n ") for lang in ("en", "xx", None, "yy"))]
+    known = spark.createDataFrame(labels + [(i, i % 2) for i, _, _ in bare], "doc_id long, quality int")
+    got = {r.id: r for r in q.judged(docs(spark, rows + bare), known).collect()}
+    assert all(got[i].base_failed and not got[i].kept and got[i].n_words == 0 for i, _, _ in bare)
+    assert any(not r.base_failed and not r.kept for r in got.values())  # a cutoff was there
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     df = entry.queries()["op13_quality_rules"](spark, sf)
