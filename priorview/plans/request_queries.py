@@ -195,7 +195,7 @@ def _gated_lines(t):
              .groupBy("request_id", F.col("hrt_id").alias("_hrt"), "srt_id").agg(F.any_value("_last").alias("_last"), F.any_value("gate_error").alias("gate_error"))
              .select("request_id", "_hrt", "srt_id", "gate_error", "_last.*"))
     return (st.resolve_chains(lines, b.srt(t)).select("request_id", F.col("_hrt").alias("hrt_id"), "srt_id", "gate_error", "primary")
-            .join(b.srt(t).select("srt_id", "srt_name"), "srt_id", "left"))
+            .join(b.srt(t).select("srt_id", "srt_name").hint("merge"), "srt_id", "left"))
 
 
 @query("gate_rows", f"""WITH {TILES_SQL}, {LINES_SQL}, {GATE_SQL}

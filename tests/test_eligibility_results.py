@@ -160,3 +160,11 @@ def test_unit_weights_equal_the_unweighted_metric_and_rejects_are_counted(spark)
     assert (usable.count(), rejected.count()) == (2, 1)
     row = s.scorecard_by_build(df).first()
     assert (row.n_sampled, row.est_population_n, float(row.estimate_wmae), float(row.estimate_bias), float(row.estimate_underprice_rate)) == (2, 2, 2.0, 0.0, 0.5)
+
+def test_parsed_ids_stay_out_of_the_driver(spark):
+    from priorview.plans import bindings as b
+
+    t = b.Tables(spark, "/root/testdata/sf0.001")
+    plan = b.tiles(t)._jdf.queryExecution().executedPlan().toString()
+    anti = [line for line in plan.splitlines() if "LeftAnti" in line and "Join" in line]
+    assert anti and all("SortMergeJoin" in line for line in anti)
