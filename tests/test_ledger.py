@@ -105,3 +105,27 @@ def test_asking_for_a_history_starts_no_job(spark):
     lg.ledger_history(reqs, star, ["org_id", "patientid"], "asof")
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_states_read_the_ledger_once(spark, tmp_path):
+    spark.createDataFrame(random_star(7), STAR).write.parquet(str(tmp_path / "star"))
+    star = spark.read.parquet(str(tmp_path / "star"))
+    states = lg.line_states(star, ["org_id", "patientid"])
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+    assert states.count() > 20
+
+
+def test_dense_groups_make_the_pairs_of_their_newest_lines_only(spark):
+    scope, n = ["org_id", "group_number"], 3
+    rnd = random.Random(4)
+    reqs = spark.createDataFrame([(i, 1, f"g{rnd.randrange(2)}", date(2023, 1, 1) + timedelta(days=rnd.randrange(900))) for i in range(60)],
+                                 "request_id int, org_id int, group_number string, asof date")
+    states = lg.line_states(spark.createDataFrame(random_star(4), STAR), scope).localCheckpoint()
+    probes = lg.distinct_asof(reqs, scope, "asof")
+    want = lg.asked_lines(probes, states, scope, "asof", n)
+    got = lg.dense_lines(probes, states, scope, "asof", n).select(*want.columns)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    pairs = lg.dense_lines(probes, states, scope, "asof", n, ranked=False)
+    assert pairs.count() == want.count() > 50
